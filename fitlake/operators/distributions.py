@@ -31,7 +31,11 @@ def bin_edges(df: DataFrame, keys: Sequence[str], value: str,
     quarts = linear_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}).drop("rows")
     return ends.join(quarts, list(keys)).withColumn("bins", bin_count(
         F.col("lo"), F.col("hi"), F.col("_max") - F.col("_min"), F.col("total"), F.col("_q1"),
-        F.col("_q3"))).select(*keys, "lo", "hi", "total", "bins")
+        F.col("_q3"))).select(
+        *keys, F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
+        .alias("lo"),
+        F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"),
+        "total", "bins")
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str,
@@ -39,8 +43,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str,
     """Counts and density per (key, bin); bins are half open but for the last. Empty bins are out."""
     edges = bin_edges(df, keys, value, bounds)
     v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
-    slot = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * F.col("bins")),
-                                   F.col("bins") - 1)).otherwise(F.lit(0)).cast("long")
+    slot = F.least(F.floor((v - lo) / (hi - lo) * F.col("bins")), F.col("bins") - 1).cast("long")
     binned = df.select(*keys, value).join(edges, list(keys)).where(v.between(lo, hi))
     width = (hi - lo) / F.col("bins")
     return (binned.groupBy(*keys, "lo", "hi", "total", "bins", slot.alias("bin"))
@@ -75,7 +78,7 @@ def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
     """
     stats = df.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        (F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("_h"))
+        F.nullif(F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2)), F.lit(0.0)).alias("_h"))
     at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (j / (points - 1)) for j in range(points)]
     z = [(a - F.col(value)) / F.col("_h") for a in at]
     kernel = [F.exp(-0.5 * x * x) / (F.col("_h") * (2 * 3.141592653589793) ** 0.5) for x in z]
@@ -101,7 +104,8 @@ def objective_marginal(df: DataFrame, keys: Sequence[str], value: str, logp: str
     full = every.join(means, [*keys, "bin"], "left").withColumns({
         "p": F.coalesce("_p", F.lit(0.0)), "center": lo + (F.col("bin") + 0.5) * width})
     inner = F.when((F.col("bin") == 0) | (F.col("bin") == F.col("bins") - 1), 0.5).otherwise(1.0)
-    area = full.groupBy(*keys).agg((F.sum(F.col("p") * inner) * F.first(width)).alias("_area"))
+    area = full.groupBy(*keys).agg(
+        F.nullif(F.sum(F.col("p") * inner) * F.max(width), F.lit(0.0)).alias("_area"))
     note = F.when(F.col("bins") == 1, "all samples equal").when(F.col("bins") < 20, "few bins")
     return full.join(area, list(keys)).select(
         *keys, "bin", "center", (F.col("p") / F.col("_area")).alias("p"), note.alias("warning"))
