@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitlake.operators.ordered import linear_quantiles
+from fitlake.operators.ordered import linear_quantiles, number
+from fitlake.operators.tags import resolve
 
 
 def bin_count(lo: Column, hi: Column, ptp: Column, n: Column, q1: Column, q3: Column) -> Column:
@@ -132,7 +133,6 @@ def high_probability(df: DataFrame, keys: Sequence[str], z: str, boundary: Colum
 def discard_lowest(df: DataFrame, keys: Sequence[str], z: str, order: Sequence[str],
                    fraction: float, required: int, per_iter: int) -> DataFrame:
     """Drop the ``int(fraction * n)`` lowest points; the fraction is capped so enough remain."""
-    from fitlake.operators.ordered import number
     fraction = min(fraction, 1 / (1 + required / per_iter))
     ranked = number(df, keys, [z, *order], by=F.col(z), name="_rank", start=0)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -186,3 +186,15 @@ def text_differences(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> Data
                 "context_a": F.substr(F.col(a), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60)),
                 "context_b": F.substr(F.col(b), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60))})
             .drop(a, b))
+
+
+def compose_prior(priors: DataFrame, selectors: Mapping[str, Sequence[str]],
+                  overrides: Mapping[str, float] | None = None) -> DataFrame:
+    """Prior of a composite model: the selected priors of each submodel, names prefixed by it."""
+    chosen = resolve(priors, dict(sorted(selectors.items()))).withColumn(
+        "param", F.concat_ws(".", "selector", "param"))
+    if overrides:
+        table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
+        chosen = chosen.withColumn("scale", F.coalesce(F.try_element_at(table, F.col("param")),
+                                                       "scale"))
+    return chosen

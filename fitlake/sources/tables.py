@@ -38,8 +38,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("trial"), F.col("ts").alias("t"), "event_id",
+        F.col("user_id").alias("trial"), F.col("ts").alias("t"),
+        F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("us"), "event_id",
         F.col("event_type").alias("name"), "value")
 
 
