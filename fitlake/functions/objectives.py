@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitlake.functions.scalars import sigmoid, total
@@ -135,3 +135,12 @@ class Objective:
 
     def __abs__(self):
         return Objective(lambda **kw: F.abs(self.make(**kw)), self.tags)
+
+
+def mix_arrays(df: DataFrame, column: str, weights: Sequence[Sequence[float]],
+               keys: Sequence[str]) -> DataFrame:
+    """Product of a fixed matrix with an array column, one output row per matrix row."""
+    products = [F.aggregate(
+        F.zip_with(F.col(column).cast("array<double>"), F.array(*[F.lit(float(x)) for x in row]),
+                   lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v) for row in weights]
+    return df.select(*keys, F.posexplode(F.array(*products)).alias("j", "value"))

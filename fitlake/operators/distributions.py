@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitlake.functions.scalars import normal_pdf
 from fitlake.operators.ordered import linear_quantiles, number
 from fitlake.operators.tags import resolve
 
@@ -24,7 +26,7 @@ def bin_edges(df: DataFrame, keys: Sequence[str], value: str,
     """Range, size and automatic bin count per key; ``bounds`` fixes the range (lo, hi)."""
     if bounds is not None:
         df = df.join(bounds, list(keys)).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    fixed = [] if bounds is None else [F.first("lo").alias("lo"), F.first("hi").alias("hi")]
+    fixed = [] if bounds is None else [F.max("lo").alias("lo"), F.max("hi").alias("hi")]
     ends = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"),
                                  F.count("*").alias("total"), *fixed)
     if bounds is None:
@@ -85,7 +87,7 @@ def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
     kernel = [F.exp(-0.5 * x * x) / (F.col("_h") * (2 * 3.141592653589793) ** 0.5) for x in z]
     sums = (df.join(stats, list(keys)).groupBy(*keys, "_lo", "_hi")
             .agg(*[F.avg(k).alias(f"_d{j}") for j, k in enumerate(kernel)]))
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), at[j].alias("at"),
+    cells = F.array(*[F.struct(F.lit(j).alias("j"), at[j].alias("point"),
                                F.col(f"_d{j}").alias("density")) for j in range(points)])
     return sums.select(*keys, F.inline(cells))
 
@@ -198,3 +200,17 @@ def compose_prior(priors: DataFrame, selectors: Mapping[str, Sequence[str]],
         chosen = chosen.withColumn("scale", F.coalesce(F.try_element_at(table, F.col("param")),
                                                        "scale"))
     return chosen
+
+
+def truth_in_prior(df: DataFrame, keys: Sequence[str], points: int = 100) -> DataFrame:
+    """Density of a normal prior (mu, sigma) between its 5 % and 95 % quantiles, the range
+    widened to show the true value ``v``."""
+    z = NormalDist().inv_cdf(0.95)
+    mu, sigma, v = F.col("mu"), F.col("sigma"), F.col("v")
+    low, high = mu - z * sigma, mu + z * sigma
+    df = df.withColumns({"_lo": F.when(v < low, v - 0.05 * (high - v)).otherwise(low), "_h": high})
+    df = df.withColumn("_hi", F.when(v > F.col("_h"), v + 0.05 * (v - F.col("_lo")))
+                       .otherwise(F.col("_h")))
+    grid = df.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+        "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("j") / (points - 1))
+    return grid.select(*keys, "j", "x", normal_pdf(F.col("x"), mu, sigma).alias("pdf"))

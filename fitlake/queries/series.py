@@ -43,9 +43,9 @@ def segments(spark, sf):
 
 
 SEGMENTS = f"""segments AS (
-  SELECT user_id AS trial, s.segment, min(epoch_us(ts)) + s.a * {DAY} AS start,
-         min(epoch_us(ts)) + (s.a + s.b) * {DAY} AS stop
-  FROM events, (VALUES (0, 3, 5), (1, 10, 2), (2, 11, 9)) s(segment, a, b) GROUP BY ALL)"""
+  SELECT trial, s.segment, us0 + s.a * {DAY} AS start, us0 + (s.a + s.b) * {DAY} AS stop
+  FROM (SELECT user_id AS trial, min(epoch_us(ts)) AS us0 FROM events GROUP BY 1),
+       (VALUES (0, 3, 5), (1, 10, 2), (2, 11, 9)) s(segment, a, b))"""
 
 
 @query("join2_segment_slice", f"""
