@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitlake.functions import rng
@@ -38,16 +38,17 @@ def draw_trials(trials: DataFrame, key: str, n: int, stream: int | str = 0) -> D
     return draws.join(placed, "position").drop("position")
 
 
-def random_series(spark: SparkSession, n: int, variables: Mapping[str, tuple[str, int]],
+def random_series(axis: DataFrame, keys: Sequence[str], variables: Mapping[str, tuple[str, int]],
                   seed: int = 0) -> DataFrame:
-    """Independent draws on a time grid: per variable a distribution and a number of components."""
+    """Independent draws at every point of a grid: per variable a distribution and a number of
+    components."""
     cells = []
     for name, (dist, size) in variables.items():
         for i in range(size):
-            key = (seed, name, i, F.col("k"))
+            key = (seed, name, i, *[F.col(k) for k in keys])
             cells.append(F.struct(F.lit(name).alias("name"), F.lit(i).alias("idx"),
                                   _draw(dist, key).alias("value")))
-    return spark.range(n).withColumnRenamed("id", "k").select("k", F.inline(F.array(*cells)))
+    return axis.select(*keys, F.inline(F.array(*cells)))
 
 
 def _draw(dist: str, key: Sequence) -> Column:

@@ -1 +1,61 @@
+"""Streaming operators on the events; the SQL gives the batch result on the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fitlake.queries.registry import query
+from fitlake.streaming import live
+
+
+def steps(spark, sf):
+    df = live.read_files(spark, sf, "events.parquet")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return df.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value",
+                     F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))).alias("at"))
+
+
+@query("str1_thin_stream", """
+SELECT user_id AS run, event_id AS step, value FROM events
+WHERE event_id < 2 OR floor(ln(event_id) / ln(1.05::DOUBLE)) <> floor(ln(event_id - 1) / ln(1.05::DOUBLE))""")
+def _(spark, sf):
+    return live.run_to_table(live.thinned(steps(spark, sf), 1.05, "at"), "thin").select(
+        "run", "step", "value")
+
+
+@query("str2_live_convergence", """
+WITH e AS (SELECT user_id AS run, event_id AS step, value, row_number() OVER w - 1 AS k,
+  first_value(value) OVER w AS f, greatest(abs(value - lag(value, 1) OVER w), abs(value - lag(value, 2) OVER w)) AS gap,
+  lag(value, 2) OVER w IS NOT NULL AS full_window
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT run, step, k, CASE WHEN k >= 10 AND f - value > 60 THEN -1
+        WHEN full_window AND gap <= 2.5 THEN 3 ELSE 0 END AS st FROM e),
+r AS (SELECT run, step, k, bit_or(st) OVER (PARTITION BY run ORDER BY k) AS status FROM s)
+SELECT run, step, status FROM r QUALIFY status <> coalesce(lag(status) OVER (PARTITION BY run ORDER BY k), 0)""")
+def _(spark, sf):
+    changes = live.live_status(steps(spark, sf), n=3, tol=2.5, fall=60.0)
+    return live.run_to_table(changes, "status")
+
+
+@query("str3_last_records", """
+SELECT user_id AS run, event_id AS step, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def _(spark, sf):
+    return live.last_records(steps(spark, sf).select("run", "step", "value"), "run", "step", "last")
+
+
+@query("str4_refresh_catalogue", """
+SELECT DISTINCT user_id AS run FROM events""")
+def _(spark, sf):
+    return live.refresh_catalogue(steps(spark, sf).select("run"), ["run"], "catalogue")
+
+
+@query("str5_tumbling_statistics", """
+WITH w AS (SELECT user_id AS run, epoch_us(ts) // 21600000000 * 21600 AS start, value FROM events),
+m AS (SELECT max(epoch_us(ts)) / 1e6 - 3600 AS mark FROM events)
+SELECT run, start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+FROM w, m WHERE start + 21600 <= floor(mark * 1000) / 1000 GROUP BY run, start""")
+def _(spark, sf):
+    stats = live.tumbling_stats(steps(spark, sf), "run", "value", "at", "6 hours", "1 hour")
+    return live.run_to_table(stats, "stats").select(
+        "run", "start", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
