@@ -268,11 +268,11 @@ def _(spark, sf):
 @query("join14_better_than_truth", f"""
 WITH {VIEW}, g AS (SELECT unnest([50, 200, 500]) AS len),
 s AS (SELECT trial, len, sum({NOISE}) / len AS t,
-  {", ".join(f"sum({NOISE.replace('x2 - 0.05', f'x2 - {m}')}) / len AS c{i}" for i, m in enumerate((0.0313, 0.0457, 0.0521, 0.0703)))}
+  {", ".join(f"sum({NOISE.replace('x2 - 0.05', f'x2 - {m}')}) / len AS c{i}" for i, m in enumerate((0.03137, 0.04571, 0.05213, 0.07039)))}
   FROM v JOIN g ON k < len GROUP BY trial, len)
 SELECT trial, len AS "K", (c0 > t)::INT + (c1 > t)::INT + (c2 > t)::INT + (c3 > t)::INT AS n_better FROM s""")
 def _(spark, sf):
-    candidates = [noise([m, MU[1]]) for m in (0.0313, 0.0457, 0.0521, 0.0703)]
+    candidates = [noise([m, MU[1]]) for m in (0.03137, 0.04571, 0.05213, 0.07039)]
     return K.better_than_truth(view(spark, sf), "trial", noise(), candidates, [50, 200, 500])
 
 
