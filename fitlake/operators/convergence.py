@@ -6,10 +6,10 @@ All tests take traces with a dense record index ``k`` from 0 next to the recorde
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fitlake.functions.scalars import t_test_p
@@ -18,29 +18,35 @@ from fitlake.operators.ordered import frames, running
 NOT_CONVERGED, PARAMS, LATENTS, CONVERGED, FAILED = 0, 1, 2, 3, -1
 
 
-def diverging_cost(df: DataFrame, value: str, maximize: bool = True, tol: float = 100.0,
-                   key: str = "run") -> DataFrame:
-    first = df.where("k = 0").select(key, F.col(value).alias("_first"))
+@dataclass(frozen=True)
+class Test:
+    """A convergence test: window columns over the records before a step, and a status of them."""
+
+    before: int
+    columns: Mapping[str, Callable[[WindowSpec], Column]]
+    status: Column
+    first: str | None = None  # column whose first value the status needs, as ``_first``
+
+
+def diverging_cost(value: str, maximize: bool = True, tol: float = 100.0) -> Test:
     change = F.col(value) - F.col("_first")
     worse = -change if maximize else change
     broken = F.isnan(change) | (F.abs(change) == float("inf"))
-    status = F.when(broken | ((F.col("k") >= 10) & (worse > tol)), FAILED).otherwise(NOT_CONVERGED)
-    return df.join(first, key).select(key, "k", "step", status.alias("status"))
+    return Test(0, {}, F.when(broken | ((F.col("k") >= 10) & (worse > tol)), FAILED)
+                .otherwise(NOT_CONVERGED), value)
 
 
-def constant_cost(df: DataFrame, value: str, n: int, tol: float = 2**-7,
-                  key: str = "run") -> DataFrame:
+def constant_cost(value: str, n: int, tol: float = 2**-7) -> Test:
     v = F.col(value)
-    seen = frames(df, [key], "k", {
-        "_hi": lambda w: F.max(v).over(w.rowsBetween(-(n - 1), -1)),
-        "_lo": lambda w: F.min(v).over(w.rowsBetween(-(n - 1), -1)),
-        "_n": lambda w: F.count(v).over(w.rowsBetween(-(n - 1), 0))}, before=n - 1)
-    still = (F.col("_n") == n) & (F.col("_hi") - v <= tol) & (v - F.col("_lo") <= tol)
-    return seen.select(key, "k", "step", F.when(still, CONVERGED).otherwise(NOT_CONVERGED)
-                       .alias("status"))
+    columns = {"_c_hi": lambda w: F.max(v).over(w.rowsBetween(-(n - 1), -1)),
+               "_c_lo": lambda w: F.min(v).over(w.rowsBetween(-(n - 1), -1)),
+               "_c_n": lambda w: F.count(v).over(w.rowsBetween(-(n - 1), 0))}
+    still = (F.col("_c_n") == n) & (F.col("_c_hi") - v <= tol) & (v - F.col("_c_lo") <= tol)
+    return Test(n - 1, columns, F.when(still, CONVERGED).otherwise(NOT_CONVERGED))
 
 
-def _slopes(values: Sequence[str], x: Column, lo: int, hi: int) -> dict:
+def _slopes(values: Sequence[str], lo: int, hi: int) -> dict:
+    x = F.col("step").cast("double")
     out = {}
     for v in values:
         out[f"_m_{v}"] = lambda w, v=v: F.regr_slope(v, x).over(w.rowsBetween(lo, hi))
@@ -48,20 +54,31 @@ def _slopes(values: Sequence[str], x: Column, lo: int, hi: int) -> dict:
     return out
 
 
-def constant_params(df: DataFrame, values: Sequence[str], n: int, rtol: float = 2**-6,
-                    key: str = "run") -> DataFrame:
+def constant_params(values: Sequence[str], n: int, rtol: float = 2**-6) -> Test:
     """Converged where the regression over the last n records predicts no relative change."""
     s = F.col("step").cast("double")
-    fit = frames(df, [key], "k", {
-        **_slopes(values, s, -(n - 1), 0),
-        "_n": lambda w: F.count("*").over(w.rowsBetween(-(n - 1), 0))}, before=n - 1)
-    tests = []
+    columns = {**_slopes(values, -(n - 1), 0),
+               "_p_n": lambda w: F.count("*").over(w.rowsBetween(-(n - 1), 0))}
+    still = F.col("_p_n") == n
     for v in values:
         m, b = F.col(f"_m_{v}"), F.col(f"_b_{v}")
-        tests.append((m == 0) | (F.abs(m * s) <= rtol * F.abs(b + m * s)))
-    still = reduce(lambda a, b: a & b, tests) & (F.col("_n") == n)
-    return fit.select(key, "k", "step", F.when(still, PARAMS).otherwise(NOT_CONVERGED)
-                      .alias("status"))
+        still = still & ((m == 0) | (F.abs(m * s) <= rtol * F.abs(b + m * s)))
+    return Test(n - 1, columns, F.when(still, PARAMS).otherwise(NOT_CONVERGED))
+
+
+def evaluate(df: DataFrame, tests: Mapping[str, Test], key: str = "run") -> DataFrame:
+    """Status of each test at each record, all tests in one pass over the traces."""
+    columns = {n: c for t in tests.values() for n, c in t.columns.items()}
+    first = {t.first for t in tests.values() if t.first}
+    if len(first) > 1:
+        raise ValueError("tests against the first value must share its column")
+    out = df
+    if first:
+        start = df.groupBy(key).agg(F.min_by(first.pop(), "k").alias("_first"))
+        out = out.join(start, key)
+    if columns:
+        out = frames(out, [key], "k", columns, before=max(t.before for t in tests.values()))
+    return out.select(key, "k", "step", *[t.status.alias(n) for n, t in tests.items()])
 
 
 def both(first: Column, second: Column) -> Column:
@@ -69,17 +86,10 @@ def both(first: Column, second: Column) -> Column:
     return F.when(first.isin(NOT_CONVERGED, FAILED), first).otherwise(first.bitwiseAND(second))
 
 
-def combine(first: DataFrame, second: DataFrame, key: str = "run") -> DataFrame:
-    other = second.select(key, "k", F.col("status").alias("_other"))
-    return first.join(other, [key, "k"]).withColumn(
-        "status", both(F.col("status"), F.col("_other"))).drop("_other")
-
-
-def sticky(steps: DataFrame, results: DataFrame, key: str = "run") -> DataFrame:
+def sticky(results: DataFrame, status: str, evaluated: Column, key: str = "run") -> DataFrame:
     """Result at every step: the latest one evaluated, or not converged before the first."""
-    at = steps.join(results.select(key, "k", F.col("status").alias("_new")), [key, "k"], "left")
-    latest = F.when(F.col("_new").isNotNull(), F.struct("k", "_new"))
-    return running(at, [key], "k", {"_last": (latest, "max")}).select(
+    latest = F.when(evaluated, F.struct("k", F.col(status).alias("_new")))
+    return running(results, [key], "k", {"_last": (latest, "max")}).select(
         key, "k", "step", F.coalesce("_last._new", F.lit(NOT_CONVERGED)).alias("status"))
 
 
@@ -112,7 +122,7 @@ def regression_report(df: DataFrame, value: str, n: int, key: str = "run") -> Da
     step, the relative change of that projection and the p-value of a zero slope."""
     s = F.col("step").cast("double")
     fit = frames(df, [key], "k", {
-        **_slopes([value], s, -n, -1),
+        **_slopes([value], -n, -1),
         "r2": lambda w: F.regr_r2(value, s).over(w.rowsBetween(-n, -1)),
         "_n": lambda w: F.count("*").over(w.rowsBetween(-n, -1))}, before=n).where(F.col("_n") == n)
     m, b = F.col(f"_m_{value}"), F.col(f"_b_{value}")

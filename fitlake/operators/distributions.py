@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitlake.functions.scalars import normal_pdf
-from fitlake.operators.ordered import linear_quantiles, number
+from fitlake.operators.ordered import count_values, counted_summary, number
 from fitlake.operators.tags import resolve
 
 
@@ -21,36 +21,47 @@ def bin_count(lo: Column, hi: Column, ptp: Column, n: Column, q1: Column, q3: Co
     return F.when(hi > lo, F.ceil((hi - lo) / width)).otherwise(F.lit(1)).cast("long")
 
 
-def bin_edges(df: DataFrame, keys: Sequence[str], value: str,
-              bounds: DataFrame | None = None) -> DataFrame:
-    """Range, size and automatic bin count per key; ``bounds`` fixes the range (lo, hi)."""
-    if bounds is not None:
-        df = df.join(bounds, list(keys)).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    fixed = [] if bounds is None else [F.max("lo").alias("lo"), F.max("hi").alias("hi")]
-    ends = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"),
-                                 F.count("*").alias("total"), *fixed)
-    if bounds is None:
-        ends = ends.withColumns({"lo": F.col("_min"), "hi": F.col("_max")})
-    quarts = linear_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}).drop("rows")
-    return ends.join(quarts, list(keys)).withColumn("bins", bin_count(
-        F.col("lo"), F.col("hi"), F.col("_max") - F.col("_min"), F.col("total"), F.col("_q1"),
-        F.col("_q3"))).select(
-        *keys, F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
-        .alias("lo"),
-        F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"),
-        "total", "bins")
+def bin_edges(counted: DataFrame, keys: Sequence[str], value: str,
+              fixed: bool = False) -> DataFrame:
+    """Range, size and automatic bin count per key of a table of distinct values with counts.
+
+    With ``fixed`` the range comes from the columns lo and hi of the table.
+    """
+    stats = counted_summary(counted, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    low, high = F.col("lowest"), F.col("highest")
+    if fixed:
+        bounds = counted.groupBy(*keys).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+        stats = stats.join(bounds, list(keys))
+    else:
+        stats = stats.withColumns({"lo": low, "hi": high})
+    lo, hi = F.col("lo"), F.col("hi")
+    bins = bin_count(lo, hi, high - low, F.col("rows"), F.col("_q1"), F.col("_q3"))
+    return stats.withColumn("bins", bins).select(
+        *keys, F.when(hi > lo, lo).otherwise(lo - 0.5).alias("lo"),
+        F.when(hi > lo, hi).otherwise(hi + 0.5).alias("hi"), F.col("rows").alias("total"), "bins")
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str,
               bounds: DataFrame | None = None) -> DataFrame:
-    """Counts and density per (key, bin); bins are half open but for the last. Empty bins are out."""
-    edges = bin_edges(df, keys, value, bounds)
+    """Counts and density per (key, bin); bins are half open but for the last. Empty bins are out.
+
+    Range, quartiles and bins all come from one table of distinct values with counts, so the
+    data is scanned and shuffled once. ``bounds`` (keys, lo, hi) fixes the range.
+    """
+    return histogram_of_counts(count_values(df, keys, value), keys, value, bounds)
+
+
+def histogram_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
+                        bounds: DataFrame | None = None) -> DataFrame:
     v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
+    if bounds is not None:
+        counted = counted.join(bounds, list(keys)).where(v.between(lo, hi))
+    edges = bin_edges(counted, keys, value, fixed=bounds is not None)
     slot = F.least(F.floor((v - lo) / (hi - lo) * F.col("bins")), F.col("bins") - 1).cast("long")
-    binned = df.select(*keys, value).join(edges, list(keys)).where(v.between(lo, hi))
     width = (hi - lo) / F.col("bins")
-    return (binned.groupBy(*keys, "lo", "hi", "total", "bins", slot.alias("bin"))
-            .agg(F.count("*").alias("freq"))
+    return (counted.select(*keys, value, "n").join(edges, list(keys))
+            .groupBy(*keys, "lo", "hi", "total", "bins", slot.alias("bin"))
+            .agg(F.sum("n").alias("freq"))
             .withColumn("density", F.col("freq") / (F.col("total") * width)))
 
 
@@ -70,8 +81,9 @@ def truncation_bounds(hist: DataFrame, keys: Sequence[str], least: int = 50) ->
 
 def truncated_histogram(df: DataFrame, keys: Sequence[str], value: str,
                         least: int = 50) -> DataFrame:
-    bounds = truncation_bounds(histogram(df, keys, value), keys, least)
-    return histogram(df, keys, value, bounds)
+    counted = count_values(df, keys, value)
+    bounds = truncation_bounds(histogram_of_counts(counted, keys, value), keys, least)
+    return histogram_of_counts(counted, keys, value, bounds)
 
 
 def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 32) -> DataFrame:
@@ -98,7 +110,7 @@ def objective_marginal(df: DataFrame, keys: Sequence[str], value: str, logp: str
     Bins are open on the left and closed on the right, so a sample on the lowest edge is out;
     empty bins count as zero.
     """
-    edges = bin_edges(df, keys, value)
+    edges = bin_edges(count_values(df, keys, value), keys, value)
     lo, width = F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")
     slot = F.least(F.ceil((F.col(value) - lo) / width) - 1, F.col("bins") - 1)
     means = (df.join(edges, list(keys)).withColumn("bin", slot.cast("long")).where("bin >= 0")
@@ -179,11 +191,12 @@ def text_differences(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> Data
     """
     differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
     spots = F.filter(F.transform(differs, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
-    starts = F.filter(F.transform("_spots", lambda p, i: F.when(
-        (i == 0) | (p - F.get("_spots", i - 1) > 6), p)), lambda p: p.isNotNull())
     n = F.least(F.length(a), F.length(b))
-    return (df.withColumn("_spots", F.filter(spots, lambda i: i < n))
-            .select(*keys, a, b, F.explode(starts).alias("at"))
+    spots = F.filter(spots, lambda i: i < n)
+    before = F.concat(F.array(F.lit(-100)), spots)
+    starts = F.filter(F.zip_with(spots, before, lambda p, q: F.when(p - q > 6, p)),
+                      lambda p: p.isNotNull())
+    return (df.select(*keys, a, b, F.explode(starts).alias("at"))
             .withColumns({
                 "context_a": F.substr(F.col(a), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60)),
                 "context_b": F.substr(F.col(b), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60))})

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitlake.functions.scalars import total
-from fitlake.operators.ordered import CHUNK, hot_rows
+from fitlake.operators.ordered import CHUNK, frames, hot_rows
 from fitlake.operators.series import batch_rows
 from fitlake.session import checkpoint_dir
 
@@ -57,18 +56,21 @@ def batch_sums(df: DataFrame, batches: DataFrame, key: str, size: int,
         F.sum(d * p).alias("s_dp"), F.sum(p * p).alias("s_pp"), F.sum(d * d).alias("s_dd"))
 
 
-def ou_score(theta: Sequence[float], s: Sequence[float], dt: float) -> tuple[float, np.ndarray]:
-    """Log-likelihood of a batch and its gradient in (mu, log sigma, log tau), from the sums."""
-    mu, log_sigma, log_tau = theta
-    n, s_d, s_p, s_dp, s_pp, s_dd = s
-    a, c = dt * math.exp(-log_tau), 1 / (4 * math.exp(2 * log_sigma) * dt)
+def ou_score(theta: np.ndarray, s: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of a batch and its gradient in (mu, log sigma, log tau), from the sums.
+
+    ``theta`` has shape (..., 3) and ``s`` (..., 6); leading axes are independent fits.
+    """
+    mu, log_sigma, log_tau = np.moveaxis(theta, -1, 0)
+    n, s_d, s_p, s_dp, s_pp, s_dd = np.moveaxis(s, -1, 0)
+    a, c = dt * np.exp(-log_tau), 1 / (4 * np.exp(2 * log_sigma) * dt)
     level = s_pp - 2 * mu * s_p + n * mu * mu
     quad = s_dd + 2 * a * (s_dp - mu * s_d) + a * a * level
     score = -n * (log_sigma + 0.5 * math.log(2 * dt)) - c * quad
     by_mu = -c * (-2 * a * s_d + 2 * a * a * (n * mu - s_p))
     by_sigma = -n + 2 * c * quad
     by_tau = c * a * (2 * (s_dp - mu * s_d) + 2 * a * level)
-    return score, np.array([by_mu, by_sigma, by_tau])
+    return score, np.stack([by_mu, by_sigma, by_tau], axis=-1)
 
 
 @dataclass(frozen=True)
@@ -84,49 +86,69 @@ class Adam:
         default_factory=lambda: ((0.0, 1.0), (0.0, 3.0), (0.0, 3.0)))
 
 
-def fit_parameters(sums: DataFrame, key: str, start: Sequence[float], share: float, dt: float,
-                   passes: int = 1, settings: Adam = Adam()) -> DataFrame:
+def climb(theta: np.ndarray, batches: np.ndarray, share: float, dt: float, passes: int,
+          settings: Adam) -> np.ndarray:
+    """Adam ascent of many fits side by side: (fits, batches, 6) to (fits, steps, 4)."""
+    mean, spread = np.array(settings.prior, dtype=float).T
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    trace = np.empty((len(theta), passes * batches.shape[1], 4))
+    for t in range(trace.shape[1]):
+        s = batches[:, t % batches.shape[1]]
+        score, grad = ou_score(theta, s, dt)
+        grad = grad - share * (theta - mean) / spread**2
+        if settings.clip:
+            grad = grad / np.maximum(1.0, np.abs(grad).max(axis=1, keepdims=True) / settings.clip)
+        m = settings.b1 * m + (1 - settings.b1) * grad
+        v = settings.b2 * v + (1 - settings.b2) * grad**2
+        step = m / (1 - settings.b1 ** (t + 1))
+        step /= np.sqrt(v / (1 - settings.b2 ** (t + 1))) + settings.eps
+        theta = theta + settings.rate * step
+        trace[:, t, 0] = score / np.maximum(s[:, 0], 1.0)
+        trace[:, t, 1:] = theta
+    return trace
+
+
+def fit_parameters(sums: DataFrame, key: str, start: Sequence[float] | Sequence[Column],
+                   share: float, dt: float, passes: int = 1,
+                   settings: Adam = Adam()) -> DataFrame:
     """Gradient ascent of each (run, component), batch after batch in order of their start.
 
-    ``share`` is the batch length over the segment length, the weight of the prior. A group
-    holds one row per batch, never the data itself.
+    ``share`` is the batch length over the segment length, the weight of the prior. A fit is one
+    row with six sums per batch, never the data itself; fits of an Arrow batch move together.
     """
-    kind = sums.schema[key].dataType.simpleString()
-    mean, spread = np.array(settings.prior, dtype=float).T
 
-    def climb(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["b", "batch"])
-        theta, m, v = np.array(start, dtype=float), np.zeros(3), np.zeros(3)
-        rows, t = [], 0
-        for _ in range(passes):
-            for s in frame[list(SUMS)].to_numpy():
-                t += 1
-                score, grad = ou_score(theta, s, dt)
-                grad = grad - share * (theta - mean) / spread**2
-                if settings.clip:
-                    grad = grad / max(1.0, np.max(np.abs(grad)) / settings.clip)
-                m = settings.b1 * m + (1 - settings.b1) * grad
-                v = settings.b2 * v + (1 - settings.b2) * grad**2
-                step = m / (1 - settings.b1**t) / (np.sqrt(v / (1 - settings.b2**t)) + settings.eps)
-                theta = theta + settings.rate * step
-                rows.append((t, score / max(s[0], 1.0), *theta))
-        out = pd.DataFrame(rows, columns=["step", "mean_logp", "mu", "log_sigma", "log_tau"])
-        out.insert(0, "comp", frame["comp"].iloc[0])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    return sums.groupBy(key, "comp").applyInPandas(
-        climb, f"{key} {kind}, comp int, step int, mean_logp double, mu double, "
-               "log_sigma double, log_tau double")
+    @F.pandas_udf("array<double>")
+    def run(batches: pd.Series, mu: pd.Series, log_sigma: pd.Series,
+            log_tau: pd.Series) -> pd.Series:
+        theta = np.stack([mu, log_sigma, log_tau], axis=1).astype(float)
+        out: list = [None] * len(batches)
+        lengths = np.array([len(b) for b in batches])
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            data = np.stack([batches.iloc[i] for i in at]).reshape(len(at), -1, len(SUMS))
+            for i, row in zip(at, climb(theta[at], data, share, dt, passes, settings)):
+                out[i] = row.ravel()
+        return pd.Series(out)
+
+    ordered = F.sort_array(F.collect_list(F.struct("b", "batch", *SUMS)))
+    first = [c if isinstance(c, Column) else F.lit(float(c)) for c in start]
+    fits = sums.groupBy(key, "comp").agg(
+        F.flatten(F.transform(ordered, lambda s: F.array(*[s[c] for c in SUMS]))).alias("_s"),
+        *[F.max(c).alias(f"_t{i}") for i, c in enumerate(first)])
+    flat = fits.select(key, "comp", run("_s", "_t0", "_t1", "_t2").alias("_f"))
+    steps = F.transform(F.sequence(F.lit(1), F.floor(F.size("_f") / 4).cast("int")), lambda t: F.struct(
+        t.alias("step"), *[F.get("_f", 4 * t - 4 + i).alias(name) for i, name in enumerate(
+            ("mean_logp", "mu", "log_sigma", "log_tau"))]))
+    return flat.select(key, "comp", F.inline(steps))
 
 
 @dataclass(frozen=True)
 class LatentModel:
     """Fixed parameters behind a latent update: dynamics per component and the mixing."""
 
-    mu: Sequence[float]
-    sigma: Sequence[float]
-    tau: Sequence[float]
+    mu: Sequence[float | Column]
+    sigma: Sequence[float | Column]
+    tau: Sequence[float | Column]
     weights: Sequence[Sequence[float]]
     dt: float
 
@@ -206,7 +228,6 @@ def clipped_latent_passes(df: DataFrame, keys: Sequence[str], latents: Sequence[
 
 def frames_gradient(df: DataFrame, keys: Sequence[str], latents: Sequence[str],
                     seen: Sequence[str], model: LatentModel) -> DataFrame:
-    from fitlake.operators.ordered import frames
     x, y = [F.col(c) for c in latents], [F.col(c) for c in seen]
     return frames(df, keys, "k", {
         f"_g_{c}": lambda w, m=m, c=c: model.gradient(m, x, F.lag(c).over(w), F.lead(c).over(w), y)
@@ -258,6 +279,7 @@ def adaptive_search(
         raise ValueError("decay must not be negative")
     gen = np.random.default_rng(seed)
     loc, scale = np.array(loc, dtype=float), np.array(scale, dtype=float)
+    df = df.persist()  # scored once per iteration
     discard = min(discard, 1 / (1 + required / per_iter))
     found: list[tuple[int, list[float], float]] = []
     kept: list[tuple[list[float], float]] = []
@@ -274,8 +296,5 @@ def adaptive_search(
         loc = np.array(pool[int(gen.integers(len(pool)))])
         if decay:
             scale = scale * (1 - math.exp(-decay))
+    df.unpersist()
     return found
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

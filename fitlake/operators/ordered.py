@@ -144,30 +144,34 @@ def running(
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, mark: Column, prev: str, nxt: str,
+    df: DataFrame, keys: Sequence[str], pos: str, mark: Column, prev: str, nxt: str, seen: str,
 ) -> DataFrame:
     """Nearest non-null ``mark`` at or before (``prev``) and at or after (``nxt``) each ``pos``.
 
-    ``mark`` must be null or equal to ``pos``, so carrying it is a running max/min.
+    ``mark`` is null or a struct that starts with ``pos``, so carrying it is a running max/min.
+    ``seen`` counts the marks at or before the row.
     """
     chunked = with_chunk(df.withColumn("_mark", mark), keys, F.col(pos))
     local = Window.partitionBy(*keys, CHUNK).orderBy(pos)
     back = local.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = local.rangeBetween(Window.currentRow, Window.unboundedFollowing)
     chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    earlier, later = (chunks.rowsBetween(Window.unboundedPreceding, -1),
+                      chunks.rowsBetween(1, Window.unboundedFollowing))
     edges = (
         chunked.where("_hot").groupBy(*keys, CHUNK)
-        .agg(F.max("_mark").alias("_hi"), F.min("_mark").alias("_lo"))
-        .select(*keys, CHUNK,
-                F.max("_hi").over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_pp"),
-                F.min("_lo").over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_pn"))
+        .agg(F.max("_mark").alias("_hi"), F.min("_mark").alias("_lo"), F.count("_mark").alias("_n"))
+        .select(*keys, CHUNK, F.max("_hi").over(earlier).alias("_pp"),
+                F.min("_lo").over(later).alias("_pn"), F.sum("_n").over(earlier).alias("_ps"))
     )
     return (
-        chunked.withColumns({prev: F.max("_mark").over(back), nxt: F.min("_mark").over(ahead)})
+        chunked.withColumns({prev: F.max("_mark").over(back), nxt: F.min("_mark").over(ahead),
+                             seen: F.count("_mark").over(back)})
         .join(F.broadcast(edges), [*keys, CHUNK], "left")
         .withColumns({prev: F.coalesce(F.col(prev), F.col("_pp")),
-                      nxt: F.coalesce(F.col(nxt), F.col("_pn"))})
-        .drop("_mark", "_hot", "_pp", "_pn", CHUNK)
+                      nxt: F.coalesce(F.col(nxt), F.col("_pn")),
+                      seen: F.col(seen) + F.coalesce(F.col("_ps"), F.lit(0))})
+        .drop("_mark", "_hot", "_pp", "_pn", "_ps", CHUNK)
     )
 
 
@@ -176,7 +180,14 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Copies collapse on the map side first, so one value holding a third of the rows is one row.
     """
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return rank_counted(count_values(df, keys, value), keys, value)
+
+
+def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
+def rank_counted(counted: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     chunked = with_chunk(counted, keys, F.col(value))
     chunk = Window.partitionBy(*keys, CHUNK)
     local = chunk.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -205,28 +216,48 @@ def order_statistics(
     """
     if not keys:
         return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
-    low = F.col("upto") - F.col("n")
-    hits = [
-        F.max(F.when((make(F.col("rows")) >= low) & (make(F.col("rows")) < F.col("upto")),
-                     F.col(value))).alias(name)
-        for name, make in ranks.items()
-    ]
+    hits = [c.alias(name) for name, c in _at_ranks(value, ranks).items()]
     return rank_values(df, keys, value).groupBy(*keys).agg(*hits, F.max("rows").alias("rows"))
 
 
-def linear_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
-) -> DataFrame:
-    """Exact quantiles per key, linearly interpolated between neighbouring order statistics."""
+def _at_ranks(value: str, ranks: Mapping[str, Callable[[Column], Column]]) -> dict[str, Column]:
+    low = F.col("upto") - F.col("n")
+    return {name: F.max(F.when((make(F.col("rows")) >= low) & (make(F.col("rows")) < F.col("upto")),
+                               F.col(value))) for name, make in ranks.items()}
+
+
+def quantile_ranks(quantiles: Mapping[str, float]) -> dict[str, Callable[[Column], Column]]:
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in quantiles.items():
         ranks[f"_l_{name}"] = lambda n, q=q: F.floor((n - 1) * F.lit(q))
         ranks[f"_u_{name}"] = lambda n, q=q: F.ceil((n - 1) * F.lit(q))
-    stats = order_statistics(df, keys, value, ranks)
-    part = {
-        name: (F.col("rows") - 1) * F.lit(q) - F.floor((F.col("rows") - 1) * F.lit(q))
-        for name, q in quantiles.items()
-    }
-    return stats.select(*keys, "rows", *[
-        (F.col(f"_l_{n}") + (F.col(f"_u_{n}") - F.col(f"_l_{n}")) * part[n]).alias(n)
-        for n in quantiles])
+    return ranks
+
+
+def interpolate_ranks(quantiles: Mapping[str, float]) -> list[Column]:
+    out = []
+    for name, q in quantiles.items():
+        at = (F.col("rows") - 1) * F.lit(q)
+        lo, hi = F.col(f"_l_{name}"), F.col(f"_u_{name}")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return out
+
+
+def linear_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
+) -> DataFrame:
+    """Exact quantiles per key, linearly interpolated between neighbouring order statistics."""
+    stats = order_statistics(df, keys, value, quantile_ranks(quantiles))
+    return stats.select(*keys, "rows", *interpolate_ranks(quantiles))
+
+
+def counted_summary(
+    counted: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
+) -> DataFrame:
+    """Range, size and exact quantiles per key of a table of distinct values with counts ``n``."""
+    ranked = rank_counted(counted, keys, value)
+    hits = [c.alias(name) for name, c in _at_ranks(value, quantile_ranks(quantiles)).items()]
+    stats = ranked.groupBy(*keys).agg(
+        F.min(value).alias("lowest"), F.max(value).alias("highest"), F.max("rows").alias("rows"),
+        *hits)
+    return stats.select(*keys, "lowest", "highest", "rows", *interpolate_ranks(quantiles))

@@ -31,9 +31,10 @@ def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int) ->
     return flat.withColumn("value", deep)
 
 
-def search(flat: DataFrame, text: str) -> DataFrame:
-    """Leaves whose path or value contains the text."""
-    return flat.where(F.contains("path", F.lit(text)) | F.contains("value", F.lit(text)))
+def search(flat: DataFrame, *texts: str) -> DataFrame:
+    """Leaves whose path or value contains one of the texts."""
+    hits = [F.contains("path", F.lit(t)) | F.contains("value", F.lit(t)) for t in texts]
+    return flat.where(reduce(lambda a, b: a | b, hits))
 
 
 def subparams(flat: DataFrame, submodel: str, check: bool = True) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitlake.operators.ordered import frames, neighbours, number
-from fitlake.operators.series import at_grid, grid_knots
+from fitlake.operators.ordered import frames, neighbours
+from fitlake.operators.series import grid_knots
 
 # Default recording intervals of parameters, log-likelihood and latents.
 INTERVALS = {"Θ": 1.1, "log L": 1.05, "latents": 1.65}
@@ -53,26 +55,26 @@ def increments(df: DataFrame, key: str, idx: str, value: str) -> DataFrame:
                   before=1).where(F.col("diff").isNotNull())
 
 
-def nearest_step(recorded: DataFrame, asked: DataFrame, key: str = "run") -> DataFrame:
-    """Recorded step closest to each asked step; of two equally close ones the earlier.
+def nearest_step(recorded: DataFrame, asked: DataFrame, key: str = "run",
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """Recorded step closest to each ``asked`` one; of two equally close ones the earlier.
 
-    Returns (key, asked, nearest, exact). One shuffle over both inputs, no range join.
+    Adds to the asked rows ``nearest``, its ``index`` in the trace, ``exact`` and the ``carry``
+    columns of the record. One shuffle over both inputs: no range join, no second lookup.
     """
-    both = recorded.select(key, F.col("step").alias("_at"), F.lit(False).alias("_ask")).unionByName(
-        asked.select(key, F.col("asked").alias("_at"), F.lit(True).alias("_ask")))
-    mark = F.when(~F.col("_ask"), F.col("_at"))
-    near = neighbours(both, [key], "_at", mark, "_prev", "_next").where("_ask")
-    pick = (F.when(F.col("_next").isNull(), F.col("_prev"))
-            .when(F.col("_prev").isNull(), F.col("_next"))
-            .when(F.col("_at") - F.col("_prev") <= F.col("_next") - F.col("_at"), F.col("_prev"))
-            .otherwise(F.col("_next")))
-    return near.select(key, F.col("_at").alias("asked"), pick.alias("nearest")).where(
-        "nearest IS NOT NULL").withColumn("exact", F.col("nearest") == F.col("asked"))
-
-
-def with_index(recorded: DataFrame, key: str = "run") -> DataFrame:
-    """Position of each recorded step in its trace, from 0."""
-    return number(recorded, [key], ["step"], by=F.col("step"), name="index", start=0)
+    record = F.struct(F.col("step").alias("at"), *carry)
+    extra = [c for c in asked.columns if c not in (key, "asked")]
+    both = recorded.select(key, F.col("step").alias("asked"), record.alias("_rec")).unionByName(
+        asked.withColumn("_want", F.lit(True)), allowMissingColumns=True)
+    near = neighbours(both, [key], "asked", F.col("_rec"), "_prev", "_next", "_seen").where("_want")
+    back, ahead = F.col("asked") - F.col("_prev.at"), F.col("_next.at") - F.col("asked")
+    take_next = F.col("_prev").isNull() | F.coalesce(ahead < back, F.lit(False))
+    pick = F.when(take_next, F.col("_next")).otherwise(F.col("_prev"))
+    return (near.withColumn("_pick", pick).where("_pick IS NOT NULL").select(
+        key, "asked", *extra, F.col("_pick.at").alias("nearest"),
+        F.when(take_next, F.col("_seen")).otherwise(F.col("_seen") - 1).alias("index"),
+        (F.col("_pick.at") == F.col("asked")).alias("exact"),
+        *[F.col(f"_pick.{c}").alias(c) for c in carry]))
 
 
 def rebuild_state(
@@ -83,14 +85,10 @@ def rebuild_state(
     want = asked.join(last, key).select(
         key, F.col("asked").alias("request"),
         F.when(F.col("asked") == -1, F.col("_last")).otherwise(F.col("asked")).alias("asked"))
-    first = nearest_step(latents, want.select(key, "asked").distinct(), key)
-    found = want.join(first.select(key, "asked", F.col("nearest").alias("latent_step")),
-                      [key, "asked"]).drop("asked")
-    second = nearest_step(params, found.select(key, F.col("latent_step").alias("asked")).distinct(),
-                          key)
-    return found.join(second.select(key, F.col("asked").alias("latent_step"),
-                                    F.col("nearest").alias("param_step")), [key, "latent_step"]
-                      ).withColumn("differs", F.col("latent_step") != F.col("param_step"))
+    first = nearest_step(latents, want, key).select(key, "request", F.col("nearest").alias("asked"))
+    return nearest_step(params, first, key).select(
+        key, "request", F.col("asked").alias("latent_step"), F.col("nearest").alias("param_step"),
+        (~F.col("exact")).alias("differs"))
 
 
 def also_recorded(thetas: DataFrame, latents: DataFrame, interval: float) -> DataFrame:
@@ -129,17 +127,29 @@ def windowed_quantile(
     """
     bad = F.isnan("logl") | (F.abs("logl") == float("inf"))
     broken = traces.groupBy(key).agg(F.bool_or(bad).alias("_bad"))
-    knots = grid_knots(traces, [key], idx, "step", "logl", points, window)
-    piece = F.struct("_j0", "_j1", "step", "logl", "_xb", "_yb", "_from", "_step")
-
-    def values(p: Column) -> Column:
-        return F.transform(F.sequence(p["_j0"], p["_j1"]), lambda j: at_grid(
-            j, p["step"], p["logl"], p["_xb"], p["_yb"], p["_from"], p["_step"]))
-
-    at = (points - 1) * quantile
-    lo, part = int(at), at - int(at)
-    sorted_ = (knots.groupBy(key).agg(F.collect_list(piece).alias("_p"))
-               .withColumn("_v", F.sort_array(F.flatten(F.transform("_p", values)))))
-    q = F.col("_v")[lo] + (F.col("_v")[min(lo + 1, points - 1)] - F.col("_v")[lo]) * part
-    return sorted_.select(key, q.alias("_q")).join(broken, key).select(
+    pieces = grid_knots(traces, [key], idx, "step", "logl", points, window)
+    row = F.array(*[F.col(c).cast("double") for c in
+                    ("_j0", "_j1", "step", "logl", "_xb", "_yb", "_from", "_step")])
+    # the ends of the last piece are null in Spark and NaN in the array
+    row = F.transform(row, lambda v: F.coalesce(v, F.lit(float("nan"))))
+    q = (pieces.groupBy(key).agg(F.flatten(F.collect_list(row)).alias("_p"))
+         .select(key, _grid_quantile(quantile)("_p").alias("_q")))
+    return q.join(broken, key).select(
         key, F.when(F.col("_bad"), float("-inf")).otherwise(F.col("_q")).alias("quantile"))
+
+
+def _grid_quantile(quantile: float) -> Callable[[str], Column]:
+    @F.pandas_udf("double")
+    def evaluate(pieces: pd.Series) -> pd.Series:
+        out = []
+        for flat in pieces:
+            p = np.asarray(flat).reshape(-1, 8)
+            times = (p[:, 1] - p[:, 0] + 1).astype(int)
+            j0, _, x, y, xb, yb, start, step = np.repeat(p, times, axis=0).T
+            within = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+            at = start + (j0 + within) * step
+            values = np.where(np.isnan(xb), y, y + (at - x) * (yb - y) / (xb - x))
+            out.append(np.quantile(values, quantile))
+        return pd.Series(out)
+
+    return evaluate

@@ -41,31 +41,28 @@ def base(spark, sf):
         F.when(broken, F.lit(float("nan"))).otherwise(F.col("x1")).alias("xn"), "x2")
 
 
-def diverging(df):
-    return C.diverging_cost(df, "xn", tol=60000.0)
+TESTS = {"div": lambda: C.diverging_cost("xn", tol=60000.0),
+         "cost": lambda: C.constant_cost("x2", n=3),
+         "par": lambda: C.constant_params(["x0", "x1"], n=4, rtol=0.9)}
 
 
-def constant(df):
-    return C.constant_cost(df, "x2", n=3)
-
-
-def params(df):
-    return C.constant_params(df, ["x0", "x1"], n=4, rtol=0.9)
+def evaluated(spark, sf, *names):
+    return C.evaluate(base(spark, sf), {n: TESTS[n]() for n in names})
 
 
 @query("cnv1_diverging_cost", f"WITH {BASE}, {DIVERGING} SELECT * FROM div")
 def _(spark, sf):
-    return diverging(base(spark, sf))
+    return evaluated(spark, sf, "div").withColumnRenamed("div", "status")
 
 
 @query("cnv2_constant_cost", f"WITH {BASE}, {CONSTANT} SELECT * FROM cost")
 def _(spark, sf):
-    return constant(base(spark, sf))
+    return evaluated(spark, sf, "cost").withColumnRenamed("cost", "status")
 
 
 @query("cnv3_constant_params", f"WITH {BASE}, {PARAMS} SELECT * FROM par")
 def _(spark, sf):
-    return params(base(spark, sf))
+    return evaluated(spark, sf, "par").withColumnRenamed("par", "status")
 
 
 @query("cnv4_combined_test", f"""
@@ -74,8 +71,8 @@ SELECT run, k, cost.step, CASE WHEN cost.status IN (0, -1) THEN cost.status
                           ELSE cost.status & par.status END AS status
 FROM cost JOIN par USING (run, k)""")
 def _(spark, sf):
-    df = base(spark, sf)
-    return C.combine(constant(df), params(df))
+    return evaluated(spark, sf, "cost", "par").select(
+        "run", "k", "step", C.both(F.col("cost"), F.col("par")).alias("status"))
 
 
 @query("cnv5_sticky_result", f"""
@@ -84,9 +81,7 @@ SELECT run, k, step, coalesce(last_value(CASE WHEN k % 5 = 0 THEN status END IGN
        OVER (PARTITION BY run ORDER BY k), 0) AS status
 FROM cost""")
 def _(spark, sf):
-    df = base(spark, sf)
-    evaluated = constant(df).where(T.ready(F.col("k"), 5, "linear"))
-    return C.sticky(df, evaluated)
+    return C.sticky(evaluated(spark, sf, "cost"), "cost", T.ready(F.col("k"), 5, "linear"))
 
 
 STATUS = f"""{DIVERGING}, {CONSTANT}, {PARAMS},
@@ -99,12 +94,10 @@ st AS (SELECT run, k, step, status, bit_or(status) OVER w AS run_status,
 
 
 def status(spark, sf):
-    df = base(spark, sf)
-    default = C.combine(constant(df), params(df)).select("run", "k", "step", "status")
-    other = diverging(df).select("run", "k", F.col("status").alias("_d"))
-    tests = default.join(other, ["run", "k"]).withColumn(
-        "status", F.col("status").bitwiseOR(F.col("_d"))).drop("_d")
-    return C.run_status(tests)
+    tests = evaluated(spark, sf, "div", "cost", "par")
+    default = C.both(F.col("cost"), F.col("par"))
+    return C.run_status(tests.select("run", "k", "step", default.bitwiseOR(F.col("div"))
+                                     .alias("status")))
 
 
 @query("cnv6_run_status", f"""
@@ -125,10 +118,8 @@ SELECT run, CASE WHEN f IS NOT NULL AND (c IS NULL OR f < c) THEN f ELSE coalesc
          WHEN c IS NOT NULL THEN 'Converged' ELSE 'NotConverged' END || '>' AS outcome
 FROM e""")
 def _(spark, sf):
-    df = base(spark, sf)
-    other = diverging(df).select("run", "k", F.col("status").alias("_d"))
-    tests = constant(df).join(other, ["run", "k"]).withColumn(
-        "status", F.col("status").bitwiseOR(F.col("_d"))).drop("_d")
+    tests = evaluated(spark, sf, "div", "cost").select(
+        "run", "k", "step", F.col("cost").bitwiseOR(F.col("div")).alias("status"))
     return C.outcomes(C.run_status(tests))
 
 

@@ -54,7 +54,7 @@ def _(spark, sf):
                              F.col("event_type"), F.get_json_object("props", "$.k"))
     df = table(spark, sf, "events").select("event_id", nested.alias("params"))
     flat = flatten_json(df, ["event_id"], "params", depth=3)
-    return search(flat, "7").unionByName(search(flat, "click"))
+    return search(flat, "7", "click")
 
 
 @query("key3_parse_label", f"""

@@ -157,9 +157,7 @@ SELECT p.run, p.asked, p.nearest, r.idx AS index, r.value, p.asked = p.nearest A
 FROM p JOIN recorded r ON r.run = p.run AND r.step = p.nearest""")
 def _(spark, sf):
     recorded, asked = recorded_and_asked(spark, sf)
-    near = T.nearest_step(recorded, asked)
-    return near.join(T.with_index(recorded).withColumnRenamed("step", "nearest"),
-                     ["run", "nearest"]).select("run", "asked", "nearest", "index", "value", "exact")
+    return T.nearest_step(recorded, asked, carry=["value"])
 
 
 @query("join5_rebuild_state", f"""
