@@ -11,7 +11,7 @@ SQL: dict[str, str] = {}
 
 MODULES = (
     "catalog", "keys", "tags", "traces", "runs", "series", "params", "likelihood",
-    "convergence", "distributions", "sampling", "fitting", "streams",
+    "convergence", "distributions", "sampling", "fitting", "plans", "streams",
 )
 
 
