@@ -189,10 +189,8 @@ def text_differences(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> Data
     A run ends after six equal characters. The two texts are compared character by character
     inside the row; nothing is shuffled.
     """
-    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y) & (x != "") & (y != ""))
     spots = F.filter(F.transform(differs, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
-    n = F.least(F.length(a), F.length(b))
-    spots = F.filter(spots, lambda i: i < n)
     before = F.concat(F.array(F.lit(-100)), spots)
     starts = F.filter(F.zip_with(spots, before, lambda p, q: F.when(p - q > 6, p)),
                       lambda p: p.isNotNull())

@@ -279,7 +279,6 @@ def adaptive_search(
         raise ValueError("decay must not be negative")
     gen = np.random.default_rng(seed)
     loc, scale = np.array(loc, dtype=float), np.array(scale, dtype=float)
-    df = df.persist()  # scored once per iteration
     discard = min(discard, 1 / (1 + required / per_iter))
     found: list[tuple[int, list[float], float]] = []
     kept: list[tuple[list[float], float]] = []
@@ -296,5 +295,4 @@ def adaptive_search(
         loc = np.array(pool[int(gen.integers(len(pool)))])
         if decay:
             scale = scale * (1 - math.exp(-decay))
-    df.unpersist()
     return found

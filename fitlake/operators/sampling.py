@@ -111,14 +111,18 @@ def batch_starts(segments: DataFrame, key: str, Kb: int, Nb: int, p_min: float =
     ``1 / p_min`` bins, which bounds its weights; no segment data reaches the function.
     """
     kind = segments.schema[key].dataType.simpleString()
-    seeded = segments.select(key, "K", rng.seed(stream, F.col(key)).alias("seed"))
+    # few bytes but much work per segment: a fixed number of tasks, not one sized by bytes
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeded = segments.select(key, "K", rng.seed(stream, F.col(key)).alias("seed")).repartition(
+        tasks, key)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                found, _ = suppressed_starts(int(row[1]), Kb, Nb,
-                                             np.random.default_rng(int(row[2])), p_min)
-                yield pd.DataFrame({key: [row[0]] * Nb, "batch": range(Nb), "b": found})
+            drawn = [suppressed_starts(int(K), Kb, Nb, np.random.default_rng(int(s)), p_min)[0]
+                     for K, s in zip(frame["K"], frame["seed"])]
+            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), Nb),
+                                "batch": np.tile(np.arange(Nb), len(frame)),
+                                "b": np.concatenate(drawn) if drawn else []})
 
     return seeded.mapInPandas(draw, f"{key} {kind}, batch int, b long")
 

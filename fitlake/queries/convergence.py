@@ -8,6 +8,7 @@ from fitlake.operators import convergence as C
 from fitlake.operators import traces as T
 from fitlake.queries.common import SERIES
 from fitlake.queries.registry import query
+from fitlake.session import written
 from fitlake.sources.tables import series
 
 BASE = f"""{SERIES},
@@ -36,7 +37,7 @@ par AS (
 
 def base(spark, sf):
     broken = (F.col("k") % 251 == 250) & (F.col("trial") % 5 == 0)
-    return series(spark, sf).select(
+    return written(series(spark, sf), "series").select(
         F.col("trial").alias("run"), "k", F.col("k").alias("step"), "x0", "x1",
         F.when(broken, F.lit(float("nan"))).otherwise(F.col("x1")).alias("xn"), "x2")
 
@@ -96,8 +97,8 @@ st AS (SELECT run, k, step, status, bit_or(status) OVER w AS run_status,
 def status(spark, sf):
     tests = evaluated(spark, sf, "div", "cost", "par")
     default = C.both(F.col("cost"), F.col("par"))
-    return C.run_status(tests.select("run", "k", "step", default.bitwiseOR(F.col("div"))
-                                     .alias("status")))
+    results = tests.select("run", "k", "step", default.bitwiseOR(F.col("div")).alias("status"))
+    return C.run_status(written(results, "tests"))
 
 
 @query("cnv6_run_status", f"""
@@ -120,7 +121,7 @@ FROM e""")
 def _(spark, sf):
     tests = evaluated(spark, sf, "div", "cost").select(
         "run", "k", "step", F.col("cost").bitwiseOR(F.col("div")).alias("status"))
-    return C.outcomes(C.run_status(tests))
+    return C.outcomes(C.run_status(written(tests, "tests")))
 
 
 @query("cnv7_regression_report", f"""

@@ -11,6 +11,7 @@ from fitlake.operators import fit as T
 from fitlake.operators.sampling import batch_starts
 from fitlake.queries.likelihood import DT, LOG_SIGMA, MU, SIGMA, TAU, W, view
 from fitlake.queries.registry import query
+from fitlake.session import written
 from fitlake.sources.tables import series, table
 
 MODEL = T.LatentModel(MU, SIGMA, TAU, W, DT)
@@ -122,7 +123,7 @@ def _(spark, sf):
 
 @query("dist11_adaptive_search")
 def _(spark, sf):
-    df = series(spark, sf)
+    df = written(series(spark, sf).select("trial", "x2", "x3"), "series")
 
     def lp(point):
         return O.white_noise([F.col("x2"), F.col("x3")], point, LOG_SIGMA, DT) / 1000
