@@ -19,7 +19,7 @@ def test_log_thinning_counts(spark, base, kept):
 
 
 def test_nearest_step(spark):
-    recorded = frame(spark, [(1, s, float(s)) for s in (0, 1, 2, 5, 8, 13)], "run long, step double, value double")
+    recorded = frame(spark, [(1, float(s), float(s)) for s in (0, 1, 2, 5, 8, 13)], "run long, step double, value double")
     asked = frame(spark, [(1, a) for a in (3.0, 6.5, 99.0, -4.0, 8.0)], "run long, asked double")
     got = {r["asked"]: (r["nearest"], r["index"], r["exact"], r["value"])
            for r in T.nearest_step(recorded, asked, carry=["value"]).collect()}
