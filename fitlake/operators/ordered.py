@@ -36,14 +36,22 @@ def hot_rows(df: DataFrame) -> int:
 
 
 def _as_double(df: DataFrame, by: Column) -> Column:
+    """Number with the order of ``by``; local times and dates without a time zone's jumps."""
     kind = df.select(by).schema[0].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        by = by.cast("timestamp")
+    if isinstance(kind, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, by).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(by).cast("double")
     return by.cast("double")
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
-    """Add ``_chunk`` (0 for ordinary keys) and ``_hot``; chunks follow the order of ``by``."""
+    """Add ``_chunk`` (0 for ordinary keys) and ``_hot``; chunks follow the order of ``by``.
+
+    Chunks have equal width between the lowest and highest ``by`` of a key, a rule that gives
+    the same chunks whenever it is evaluated. Rows that share one value of ``by`` stay together.
+    """
     limit = hot_rows(df)
     x = _as_double(df, by)
     hot = (

@@ -17,14 +17,15 @@ def scan(
     where: Column | None = None,
 ) -> DataFrame:
     """Runs with all ``tags``, from ``after`` on, earlier than ``before``, and so on."""
+    kind = runs.schema["ts"].dataType  # literals take the stored type, so filters reach the scan
     for tag in tags:
         runs = runs.where(F.array_contains("tags", tag))
     if after:
-        runs = runs.where(F.col("ts") >= F.lit(after).cast("timestamp"))
+        runs = runs.where(F.col("ts") >= F.lit(after).cast(kind))
     if before:
-        runs = runs.where(F.col("ts") < F.lit(before).cast("timestamp"))
+        runs = runs.where(F.col("ts") < F.lit(before).cast(kind))
     if on:
-        day = F.lit(on).cast("timestamp")
+        day = F.lit(on).cast(kind)
         runs = runs.where((F.col("ts") >= day) & (F.col("ts") < day + F.expr("INTERVAL 1 DAY")))
     if reason:
         runs = runs.where(F.contains("reason", F.lit(reason)))

@@ -95,45 +95,48 @@ def live_status(steps: DataFrame, n: int, tol: float, fall: float) -> DataFrame:
 
 
 def last_records(stream: DataFrame, key: str, step: str, name: str) -> DataFrame:
-    """Final record of each run: every micro-batch is merged into a versioned table.
+    """Final record of each run: every micro-batch is merged with the version before it.
 
-    A version is written completely before it becomes current, so a lost attempt changes
-    nothing and a repeated batch gives the same table.
+    The version of a batch is a folder of its own, named by the batch. A repeated batch writes
+    the same version again, so a lost attempt changes nothing.
     """
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    current: list[str] = []
     columns = [c for c in stream.columns if c != key]
+    done: list[int] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch
-        if current:
-            rows = rows.unionByName(spark.read.parquet(current[-1]))
-        path = os.path.join(folder, f"v{epoch}")
+        if epoch > 0:
+            rows = rows.unionByName(spark.read.parquet(_version(folder, epoch - 1)))
         (rows.groupBy(key).agg(F.max_by(F.struct(*columns), step).alias("r"))
-         .select(key, "r.*").write.mode("overwrite").parquet(path))
-        current.append(path)
+         .select(key, "r.*").write.mode("overwrite").parquet(_version(folder, epoch)))
+        done.append(epoch)
 
     run_batches(stream, name, merge)
-    return spark.read.parquet(current[-1])
+    return spark.read.parquet(_version(folder, max(done)))
 
 
 def refresh_catalogue(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Catalogue extended by the trials of new files; known trials are left alone."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    done: list[str] = []
+    done: list[int] = []
 
     def extend(batch: DataFrame, epoch: int) -> None:
         new = batch.dropDuplicates(list(keys))
-        if done:
-            new = new.join(spark.read.parquet(*done).select(*keys), list(keys), "left_anti")
-        path = os.path.join(folder, f"v{epoch}")
-        new.write.mode("overwrite").parquet(path)
-        done.append(path)
+        if epoch > 0:
+            known = spark.read.parquet(*[_version(folder, i) for i in range(epoch)])
+            new = new.join(known.select(*keys), list(keys), "left_anti")
+        new.write.mode("overwrite").parquet(_version(folder, epoch))
+        done.append(epoch)
 
     run_batches(stream, name, extend)
-    return spark.read.parquet(*done)
+    return spark.read.parquet(*[_version(folder, i) for i in range(max(done) + 1)])
+
+
+def _version(folder: str, epoch: int) -> str:
+    return os.path.join(folder, f"v{epoch}")
 
 
 def tumbling_stats(stream: DataFrame, key: str, value: str, time: str, width: str,

@@ -14,7 +14,7 @@ def folder(spark, tmp_path_factory):
         (F.col("id") % 3).alias("run"), F.floor(F.col("id") / 3).alias("step"),
         (10 * F.exp(-F.floor(F.col("id") / 3) / 30.0) * (1 + F.sin(F.floor(F.col("id") / 3)))
          + F.col("id") % 3).alias("value"),
-        F.timestamp_micros(F.col("id") * 60_000_000).alias("at"))
+        F.timestamp_micros((F.col("id") + 1440) * 60_000_000).alias("at"))
     seen: set[str] = set()
     for i in range(6):
         rows.where((F.col("step") >= 50 * i) & (F.col("step") < 50 * (i + 1))).coalesce(1).write.mode(
