@@ -169,9 +169,9 @@ POINTS = """points AS (SELECT p_partkey, p_type AS grp, p_size AS x, p_retailpri
             -abs(p_retailprice - 1000) AS z FROM part)"""
 
 
-@query("dist7_threshold", f"WITH {POINTS} SELECT * FROM points WHERE z BETWEEN -60 AND -20")
+@query("dist7_threshold", f"WITH {POINTS} SELECT * FROM points WHERE z BETWEEN -95 AND -20")
 def _(spark, sf):
-    return D.threshold(points(spark, sf), "z", -60.0, -20.0)
+    return D.threshold(points(spark, sf), "z", -95.0, -20.0)
 
 
 @query("dist8_high_probability_set", f"""
