@@ -128,10 +128,11 @@ def windowed_quantile(
     bad = F.isnan("logl") | (F.abs("logl") == float("inf"))
     broken = traces.groupBy(key).agg(F.bool_or(bad).alias("_bad"))
     pieces = grid_knots(traces, [key], idx, "step", "logl", points, window)
-    row = F.array(*[F.col(c).cast("double") for c in
-                    ("_j0", "_j1", "step", "logl", "_xb", "_yb", "_from", "_step")])
-    # the ends of the last piece are null in Spark and NaN in the array
-    row = F.transform(row, lambda v: F.coalesce(v, F.lit(float("nan"))))
+    # a piece is the line level + slope * j over its grid points j0 .. j1
+    slope = F.coalesce((F.col("_yb") - F.col("logl")) / (F.col("_xb") - F.col("step")), F.lit(0.0))
+    level = F.col("logl") + (F.col("_from") - F.col("step")) * slope
+    row = F.array(F.col("_j0").cast("double"), F.col("_j1").cast("double"), level,
+                  F.col("_step") * slope)
     q = (pieces.groupBy(key).agg(F.flatten(F.collect_list(row)).alias("_p"))
          .select(key, _grid_quantile(quantile)("_p").alias("_q")))
     return q.join(broken, key).select(
@@ -141,15 +142,16 @@ def windowed_quantile(
 def _grid_quantile(quantile: float) -> Callable[[str], Column]:
     @F.pandas_udf("double")
     def evaluate(pieces: pd.Series) -> pd.Series:
-        out = []
-        for flat in pieces:
-            p = np.asarray(flat).reshape(-1, 8)
-            times = (p[:, 1] - p[:, 0] + 1).astype(int)
-            j0, _, x, y, xb, yb, start, step = np.repeat(p, times, axis=0).T
-            within = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
-            at = start + (j0 + within) * step
-            values = np.where(np.isnan(xb), y, y + (at - x) * (yb - y) / (xb - x))
-            out.append(np.quantile(values, quantile))
+        out = np.empty(len(pieces))
+        for i, flat in enumerate(pieces):
+            p = np.asarray(flat).reshape(-1, 4)
+            j0, j1, level, slope = p[np.argsort(p[:, 0])].T
+            times = (j1 - j0 + 1).astype(int)
+            values = np.repeat(level, times) + np.repeat(slope, times) * np.arange(times.sum())
+            at = (len(values) - 1) * quantile
+            lo, hi = int(np.floor(at)), int(np.ceil(at))
+            values.partition((lo, hi))
+            out[i] = values[lo] + (values[hi] - values[lo]) * (at - lo)
         return pd.Series(out)
 
     return evaluate

@@ -55,12 +55,12 @@ p AS (SELECT run, step, logl, lead(step) OVER w AS xb, lead(logl) OVER w AS yb F
 v AS (SELECT g.run, CASE WHEN p.xb IS NULL THEN p.logl
              ELSE p.logl + (g.at - p.step) * (p.yb - p.logl) / (p.xb - p.step) END AS y
       FROM g ASOF JOIN p ON g.run = p.run AND g.at >= p.step)
-SELECT run, round(quantile_cont(y, 0.95), 3) AS quantile FROM v GROUP BY run
+SELECT run, round(quantile_cont(y, 0.95), 4) AS quantile FROM v GROUP BY run
 UNION ALL SELECT run, '-inf'::DOUBLE FROM e WHERE bad""")
 def _(spark, sf):
     df = traces(spark, sf, with_nan=True).withColumn("k", F.col("step") - 1)
     return T.windowed_quantile(df, 0.95, window=12).select(
-        "run", F.round("quantile", 3).alias("quantile"))
+        "run", F.round("quantile", 4).alias("quantile"))
 
 
 @query("sort2_best_fit_per_group", f"""
