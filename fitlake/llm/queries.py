@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fitlake.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding
+from fitlake.llm import (ann, decontaminate, licenses, line_dedup, lm_scoring, near_dedup, packing, pii,
+                         quality, sharding)
 from fitlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, carry=["doc_id"])
+
+
+@query("op2_cross_polytope_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query("op3_hash_tree_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.Tree.even(40)
@@ -55,6 +67,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_weak_supervision_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, carry=["doc_id"])
+    return found.select(
+        "doc_id", *(pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 @query("op6_minhash_near_dedup", r"""
 WITH RECURSIVE cut AS (
   SELECT row_number() OVER () AS row_no, doc_id,
@@ -100,6 +121,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=2048)
 
 
+@query("op8_gru_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, total = lm_scoring.score(docs, by=5, held=1, carry=["doc_id"])
+    return scored.select("doc_id", (quality.remainder(5) == 1).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op9_nbsvm_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
