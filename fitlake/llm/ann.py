@@ -192,7 +192,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, tables: int = TABLE
     if enough < 1 or not short.limit(1).count():
         return result
     parts = max(16, -(-ids // PART_ROWS))
-    whole = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("part").cogroup(
+    each = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # columns of their own: both sides come from the same rows
+    whole = each.toDF(*each.columns).groupBy("part").cogroup(
         rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part")
     ).applyInArrow(_ranked(width, k), _OUT)
     rest = whole.groupBy("query_id").applyInArrow(_merged(k), out)
