@@ -215,7 +215,7 @@ def find(docs: DataFrame, least: float = 0.5, carry: list[str] | None = None) ->
     Returns the columns ``carry`` of ``docs`` (all by default; those named like an added one are replaced) with
     ``base`` and ``spans``, arrays of (kind, start, end) in code points, end exclusive: the base spans by kind
     (email, ip, card, phone), then start, and all spans, the added ones of kind ``secret`` last. Added are
-    candidates that the final classifier gives ``least`` or more and for which a labeler speaks.
+    candidates that the final classifier gives ``least`` or more, if a format, key word or mark speaks for them.
 
     A null text is empty and has no spans. Repeated rows count in the estimates as often as they are
     there. Without candidates nothing is added; an empty table gives no rows.
@@ -229,9 +229,8 @@ def find(docs: DataFrame, least: float = 0.5, carry: list[str] | None = None) ->
     table = classifier(patterns, probability(prior, odds), odds)
 
     def accept(c: Column) -> Column:
-        spoken = F.lit(False)
-        for n in LABELERS:
-            spoken = spoken | (c[n] > 0)
+        # the make-up alone, which many product codes share, is not enough
+        spoken = (c["strict"] > 0) | (c["key_word"] > 0) | (c["mark"] > 0)
         return spoken & (probability(prior, table, lambda n: c[n]) >= least)
 
     base = F.concat(*(F.col(f"__{k}") for k in BASE))
