@@ -1,7 +1,8 @@
 """Counter-based random numbers: the same key gives the same draw on any partitioning.
 
 A draw hashes (entropy, key..., counter), so it needs no generator state and can be repeated by
-any engine with MD5. Keys of different length or content give independent streams.
+any engine with MD5. Keys of different length or content give independent streams: separators inside
+a field are escaped, and a null field is a value of its own.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from pyspark.sql import functions as F
 ENTROPY = 20_201_115  # project-wide default
 
 
+def _field(text: Column) -> Column:
+    """A field that no separator or missing value can pass for another."""
+    marked = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(marked, F.lit("\\N"))
+
+
 def uniform(*key: Column | int | str, entropy: int = ENTROPY) -> Column:
     """Uniform draw in [0, 1) from the first 52 bits of the digest."""
     parts = [k if isinstance(k, Column) else F.lit(k) for k in key]
-    text = F.concat_ws(":", F.lit(str(entropy)), *[p.cast("string") for p in parts])
+    text = F.concat_ws(":", F.lit(str(entropy)), *[_field(p.cast("string")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from graphlib import CycleError, TopologicalSorter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitlake.session import checkpoint_dir
+from fitlake.session import written
 
 
 def parse_connections(df: DataFrame, text: str) -> DataFrame:
@@ -35,36 +33,19 @@ def resolve_connections(df: DataFrame, models: DataFrame) -> DataFrame:
     return df
 
 
-def is_acyclic(edges: DataFrame, small: int = 10_000, max_rounds: int = 10_000) -> bool:
-    """Whether edges ``src, dst`` admit an order.
+def is_acyclic(edges: DataFrame) -> bool:
+    """Whether the edges ``src, dst`` admit an order; edges with an unknown side are left out.
 
-    Up to ``small`` distinct edges are ordered on the driver. Larger graphs are peeled: each
-    round keeps the edges whose source still has an input, one round per level, with lineage
-    cut in the shared folder every few rounds.
+    The graph is peeled: each round keeps the edges whose source still has an input, one round per
+    level of the graph, until none is left or none goes. Each round's edges are written to the shared
+    folder, so a lost executor costs one round.
     """
-    distinct = edges.select("src", "dst").distinct()
-    few = distinct.take(small + 1)
-    if len(few) <= small:
-        order: TopologicalSorter = TopologicalSorter()
-        for src, dst in few:
-            order.add(dst, src)
-        try:
-            order.prepare()
-        except CycleError:
-            return False
-        return True
-    checkpoint_dir(edges.sparkSession)
-    left = distinct.checkpoint()
+    left = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "edges")
     n = left.count()
-    for i in range(max_rounds):
-        if n == 0:
-            return True
+    while n:
         fed = left.select(F.col("dst").alias("src")).distinct()
-        left = left.join(fed, "src", "left_semi")
-        if i % 4 == 3:
-            left = left.checkpoint()
-        m = left.count()
-        if m == n:
+        left = written(left.join(fed, "src", "left_semi"), "edges")
+        n, before = left.count(), n
+        if n == before:
             return False
-        n = m
-    raise ValueError(f"graph deeper than {max_rounds} levels")
+    return True

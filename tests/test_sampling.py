@@ -7,23 +7,23 @@ from fitlake.operators import sampling as S
 
 
 def test_every_start_is_drawn_eventually():
-    starts, odds = S.suppressed_starts(100, 10, 200, np.random.default_rng(5))
+    starts, odds = S.spaced_starts(100, 10, np.random.default_rng(5).random(200))
     assert set(starts) == set(range(91)) and (np.diff(starts) >= 0).all()
     assert (odds >= 0).all() and len(odds) == 91
 
 
 def test_draws_avoid_each_other():
     gen = np.random.default_rng(1)
-    gaps = [np.diff(S.suppressed_starts(1000, 20, 10, gen)[0]).min() for _ in range(50)]
+    gaps = [np.diff(S.spaced_starts(1000, 20, gen.random(10))[0]).min() for _ in range(50)]
     free = [np.diff(np.sort(gen.integers(0, 981, 10))).min() for _ in range(50)]
     assert np.mean(gaps) > 1.5 * np.mean(free)
 
 
 def test_bad_sizes_are_refused():
     with pytest.raises(ValueError):
-        S.suppressed_starts(5, 10, 1, np.random.default_rng(0))
+        S.spaced_starts(5, 10, np.array([0.5]))
     with pytest.raises(ValueError):
-        S.suppressed_starts(2_000_000, 10, 1, np.random.default_rng(0))
+        S.spaced_starts(2_000_000, 10, np.array([0.5]))
 
 
 def test_starts_do_not_depend_on_partitions(spark):
@@ -43,7 +43,7 @@ def test_uniform_and_normal_moments(spark):
 
 
 def test_poisson_moments(spark):
-    k = spark.range(20000).select(S.poisson(rng.uniform(F.col("id")), 3.0).alias("n")).toPandas()["n"]
+    k = spark.range(20000).select(S.poisson(3.0, F.col("id")).alias("n")).toPandas()["n"]
     assert abs(k.mean() - 3) < 0.06 and abs(k.var() - 3) < 0.2
 
 
@@ -74,8 +74,47 @@ def test_simulation_keys(spark):
     one = spark.createDataFrame([(0, 42)], "position long, seed long")
     assert {r["seed"] for r in S.with_params(params, one).collect()} == {42}
     three = spark.createDataFrame([(i, i) for i in range(3)], "position long, seed long")
-    with pytest.raises(ValueError):
-        S.with_params(params, three)
+    with pytest.raises(Exception, match="position 2"):
+        S.with_params(params, three).collect()
+    shifted = spark.createDataFrame([(1, 7), (2, 8)], "position long, seed long")
+    with pytest.raises(Exception, match="together at position"):
+        S.with_params(params, shifted).collect()
+
+
+def test_large_poisson_rates(spark):
+    k = spark.range(4000).select(S.poisson(800.0, F.col("id")).alias("n")).toPandas()["n"]
+    assert abs(k.mean() - 800) < 2 and 700 < k.var() < 900
+
+
+def test_keys_with_separators_and_missing_fields_have_their_own_stream(spark):
+    df = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), ("a", None), ("a", "N")], "x string, y string")
+    drawn = {r[0] for r in df.select(rng.uniform(F.col("x"), F.col("y"))).collect()}
+    assert len(drawn) == 4 and df.limit(1).select(rng.uniform("a", 1) != rng.uniform("a")).first()[0]
+
+
+def test_initial_and_final_weights(spark):
+    segments = spark.createDataFrame([(1, 8, [0.0] * 5 + [1.0])], "trial long, K long, w array<double>")
+    rows = S.batch_starts(segments, "trial", 3, 1, weights="w").collect()
+    assert rows[0].b == 5 and len(rows[0].weights) == 6 and abs(sum(rows[0].weights) - 1) < 1e-12
+    assert rows[0].weights[5] < 1e-3
+
+
+def test_trials_with_text_keys_and_a_filter(spark):
+    df = spark.createDataFrame([(f"s__{i}", i) for i in range(20)], "trial string, n int")
+    drawn = {r.trial for r in S.draw_trials(df, "trial", 500, keep=F.col("n") < 7).collect()}
+    assert drawn == {f"s__{i}" for i in range(7)}
+
+
+def test_priors_of_every_kind(spark):
+    rows = [("t", 0, "truncnorm", 0.0, 1.0, 0.5, 1.0), ("u", 0, "uniform", 2.0, 3.0, None, None),
+            ("e", 0, "exponential", 4.0, 0.0, None, None)]
+    priors = spark.createDataFrame(rows, "param string, comp int, dist string, a double, b double, lo double, hi double")
+    got = S.prior_samples(priors, 400).toPandas()
+    t, u = (got[got.param == p].value for p in "tu")
+    assert t.between(0.5, 1.0).all() and t.nunique() > 390 and u.between(2, 3).all() and abs(u.mean() - 2.5) < 0.05
+    bad = spark.createDataFrame([("b", 0, "cauchy", 0.0, 1.0)], "param string, comp int, dist string, a double, b double")
+    with pytest.raises(Exception, match="unknown distribution cauchy"):
+        S.prior_samples(bad, 2).collect()
 
 
 def test_key_conflicts(spark):
