@@ -39,9 +39,16 @@ def tuple_text(text: Column) -> Column:
                     F.when(F.size(parts) == 1, ",").otherwise(""), F.lit(")"))
 
 
-def tuple_order(text: Column, width: int = 20) -> Column:
-    """Sortable form: non-negative integers compare as numbers."""
-    return F.concat_ws(",", F.transform(tuple_parts(text), lambda x: F.lpad(x, width, "0")))
+def tuple_order(text: Column) -> Column:
+    """Sortable form: non-negative integers of any length compare as numbers.
+
+    Each field, leading zeros removed, stands behind its length.
+    """
+    def field(x: Column) -> Column:
+        short = F.regexp_replace(x, r"^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(short).cast("string"), 10, "0"), short)
+
+    return F.concat_ws(",", F.transform(tuple_parts(text), field))
 
 
 def field_label(fields: Mapping[str, Column]) -> Column:

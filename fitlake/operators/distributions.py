@@ -66,17 +66,21 @@ def histogram_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
 
 
 def truncation_bounds(hist: DataFrame, keys: Sequence[str], least: int = 50) -> DataFrame:
-    """Range left after dropping tail bins until each side has held ``least`` samples."""
+    """Range left after dropping tail bins until each side has held ``least`` samples.
+
+    A key with too few samples for that keeps its full range.
+    """
     w = Window.partitionBy(*keys).orderBy("bin")
     up = F.sum("freq").over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.sum("freq").over(w.rowsBetween(0, Window.unboundedFollowing))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    whole = [F.min("lo").alias("_lo"), F.max("hi").alias("_hi")]
     return (hist.withColumns({"_up": up, "_down": down}).groupBy(*keys).agg(
         F.min(F.when(F.col("_up") >= least, F.col("lo") + F.col("bin") * width)).alias("lo2"),
         F.max(F.when(F.col("_down") >= least,
-                     F.col("lo") + (F.col("bin") + 1) * width)).alias("hi2"))
-        .where("lo2 < hi2")
-        .select(*keys, F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))
+                     F.col("lo") + (F.col("bin") + 1) * width)).alias("hi2"), *whole)
+        .select(*keys, *[F.when(F.col("lo2") < F.col("hi2"), F.col(f"{c}2")).otherwise(F.col(f"_{c}")).alias(c)
+                         for c in ("lo", "hi")]))
 
 
 def truncated_histogram(df: DataFrame, keys: Sequence[str], value: str,

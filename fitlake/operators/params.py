@@ -16,17 +16,22 @@ UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "min": 60.0, "h": 3600.0, "V": 1.0, "
 
 
 def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int) -> DataFrame:
-    """Dotted leaf paths of nested JSON objects; nesting beyond ``depth`` is an error."""
+    """Dotted leaf paths of nested JSON objects; nesting beyond ``depth`` is an error.
+
+    An empty object, and a text that begins like an object but is none, are leaves.
+    """
     flat = df.select(*keys, F.lit("").alias("path"), F.col(column).alias("value"))
     for _ in range(depth):
-        nested = F.startswith("value", F.lit("{"))
+        parsed = F.from_json("value", "map<string,string>")
+        nested = F.startswith("value", F.lit("{")) & (F.size(parsed) > 0)
         parts = F.transform(
-            F.map_entries(F.from_json("value", "map<string,string>")),
+            F.map_entries(parsed),
             lambda e: F.struct(F.concat_ws(".", F.nullif("path", F.lit("")), e["key"]).alias("path"),
                                e["value"].alias("value")))
         leaf = F.array(F.struct(F.col("path"), F.col("value")))
         flat = flat.select(*keys, F.inline(F.when(nested, parts).otherwise(leaf)))
-    deep = F.when(F.startswith("value", F.lit("{")), F.raise_error(F.concat(
+    inner = F.from_json("value", "map<string,string>")
+    deep = F.when(F.startswith("value", F.lit("{")) & (F.size(inner) > 0), F.raise_error(F.concat(
         F.lit(f"parameters nested deeper than {depth}: "), "path"))).otherwise(F.col("value"))
     return flat.withColumn("value", deep)
 

@@ -81,13 +81,16 @@ def used_keys(runs: DataFrame, key: str, split: str, splits: Sequence[str]) -> D
 
 
 def set_labels(df: DataFrame, params: Column, seen: str, prefix: str = "Λ") -> DataFrame:
-    """Short label per distinct parameter set, numbered in first-seen order."""
-    first = (df.withColumn("digest", labels.digest(params)).groupBy("digest")
+    """Short label per distinct parameter set, numbered in first-seen order.
+
+    Sets are told apart by the whole digest, of which ten digits are shown.
+    """
+    first = (df.withColumn("_full", labels.digest(params, 64)).groupBy("_full")
              .agg(F.min(seen).alias("first_seen"), F.count("*").alias("n_runs"))
              .withColumn("_all", F.lit(0)))
-    ranked = number(first, ["_all"], ["first_seen", "digest"], by=F.col("first_seen"), name="nr",
+    ranked = number(first, ["_all"], ["first_seen", "_full"], by=F.col("first_seen"), name="nr",
                     start=1)
-    return ranked.select("digest", "first_seen", "n_runs",
+    return ranked.select(F.substring("_full", 1, 10).alias("digest"), "first_seen", "n_runs",
                          F.concat(F.lit(prefix), F.col("nr").cast("string")).alias("label"))
 
 
@@ -139,18 +142,10 @@ def add_targets(curves: DataFrame, targets: DataFrame, on: Sequence[str]) -> Dat
     return curves.join(targets, list(on), "left")
 
 
-def axis_values(df: DataFrame, column: str, most: int = 10_000) -> list:
-    """Distinct values of an axis, refused beyond ``most``."""
-    rows = df.select(column).distinct().orderBy(column).take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"axis {column} has more than {most} values")
-    return [r[0] for r in rows]
-
-
 def complete_grid(df: DataFrame, row: str, axes: Mapping[str, Sequence], value: str) -> DataFrame:
     """All combinations of the observed rows with the axis values; blank where nothing was seen.
 
-    The axes are short lists of checked length, unfolded per observed row.
+    The axes are lists that the caller declares, unfolded per observed row.
     """
     grid = df.select(row).distinct()
     for axis, values in axes.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fitlake.operators.series import grid_report, same_grid
 from fitlake.queries.common import FILES, RUNS
 from fitlake.queries.registry import query
+from fitlake.queries.runs import SEGMENTS
 from fitlake.session import checkpoint_dir
 from fitlake.sources import catalog as C
 from fitlake.sources.tables import irregular, runs, table
@@ -138,10 +139,14 @@ def _(spark, sf):
 
 
 @query("set1_disjoint_union", f"""
-WITH {RUNS} SELECT run, split FROM runs WHERE split IN ('BUILDING', 'MACHINERY')""")
+WITH {RUNS} SELECT run, split FROM runs""")
 def _(spark, sf):
     r = runs(spark, sf).select("run", "split")
-    return C.add_trials(r.where("split = 'BUILDING'"), r.where("split = 'MACHINERY'"), ["run"])
+    first, *others = SEGMENTS
+    out = r.where(F.col("split") == first)
+    for split in others:
+        out = C.add_trials(out, r.where(F.col("split") == split), ["run"])
+    return out
 
 
 @query("set2_compare_names", """

@@ -92,8 +92,8 @@ def _(spark, sf):
 SELECT o_orderkey, '(' || o_custkey || ', ' || o_orderkey % 13
          || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ', ' || o_orderkey % 5 END || ')' AS key,
        CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS length,
-       lpad(o_custkey::VARCHAR, 20, '0') || ',' || lpad((o_orderkey % 13)::VARCHAR, 20, '0')
-         || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',' || lpad((o_orderkey % 5)::VARCHAR, 20, '0') END AS sort_key
+       lpad(len(o_custkey::VARCHAR)::VARCHAR, 10, '0') || o_custkey::VARCHAR || ',' || lpad(len((o_orderkey % 13)::VARCHAR)::VARCHAR, 10, '0') || (o_orderkey % 13)::VARCHAR
+         || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',' || lpad(len((o_orderkey % 5)::VARCHAR)::VARCHAR, 10, '0') || (o_orderkey % 5)::VARCHAR END AS sort_key
 FROM orders""")
 def _(spark, sf):
     raw = F.concat(F.lit("( "), F.col("o_custkey"), F.lit(","), F.col("o_orderkey") % 13,

@@ -117,7 +117,7 @@ WITH {RUNS}, k AS (SELECT DISTINCT init_key FROM runs UNION SELECT DISTINCT lam
 SELECT init_key, starts_with(init_key, '(') AS is_tuple,
        CASE WHEN starts_with(init_key, '(')
             THEN list_aggregate(list_transform(string_split(regexp_replace(init_key, '[() ]', '', 'g'), ','),
-                 lambda x: lpad(x, 20, '0')), 'string_agg', ',')
+                 lambda x: lpad(len(x)::VARCHAR, 10, '0') || x), 'string_agg', ',')
             ELSE init_key END AS sort_key
 FROM k ORDER BY is_tuple, sort_key""")
 def _(spark, sf):
@@ -226,7 +226,7 @@ LEFT JOIN c ON c.init_key = i.init_key AND c.split = s.split""")
 def _(spark, sf):
     r = runs(spark, sf)
     cells = r.groupBy("init_key", "split").agg(F.count("*").alias("n"))
-    return R.complete_grid(cells, "init_key", {"split": R.axis_values(r, "split")}, "n")
+    return R.complete_grid(cells, "init_key", {"split": SEGMENTS}, "n")
 
 
 @query("win7_accent_weights", f"""
