@@ -41,7 +41,7 @@ def constant_cost(value: str, n: int, tol: float = 2**-7) -> Test:
     columns = {"_c_hi": lambda w: F.max(v).over(w.rowsBetween(-(n - 1), -1)),
                "_c_lo": lambda w: F.min(v).over(w.rowsBetween(-(n - 1), -1)),
                "_c_n": lambda w: F.count(v).over(w.rowsBetween(-(n - 1), 0))}
-    still = (F.col("_c_n") == n) & (F.col("_c_hi") - v <= tol) & (v - F.col("_c_lo") <= tol)
+    still = (F.col("_c_n") == n) & (F.col("_c_hi") - v < tol) & (v - F.col("_c_lo") < tol)
     return Test(n - 1, columns, F.when(still, CONVERGED).otherwise(NOT_CONVERGED))
 
 

@@ -8,7 +8,6 @@ from fitlake.operators import convergence as C
 from fitlake.operators import traces as T
 from fitlake.queries.common import SERIES
 from fitlake.queries.registry import query
-from fitlake.session import written
 from fitlake.sources.tables import series
 
 BASE = f"""{SERIES},
@@ -20,8 +19,8 @@ DIVERGING = """div AS (
          THEN -1 ELSE 0 END AS status
   FROM b JOIN (SELECT run, xn FROM b WHERE k = 0) f USING (run))"""
 CONSTANT = """cost AS (
-  SELECT run, k, step, CASE WHEN count(*) OVER w2 = 3 AND max(x2) OVER w - x2 <= 0.0078125
-         AND x2 - min(x2) OVER w <= 0.0078125 THEN 3 ELSE 0 END AS status
+  SELECT run, k, step, CASE WHEN count(*) OVER w2 = 3 AND max(x2) OVER w - x2 < 0.0078125
+         AND x2 - min(x2) OVER w < 0.0078125 THEN 3 ELSE 0 END AS status
   FROM b WINDOW w AS (PARTITION BY run ORDER BY k ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING),
                 w2 AS (PARTITION BY run ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 PARAMS = """fit AS (
@@ -37,7 +36,7 @@ par AS (
 
 def base(spark, sf):
     broken = (F.col("k") % 251 == 250) & (F.col("trial") % 5 == 0)
-    return written(series(spark, sf), "series").select(
+    return series(spark, sf).select(
         F.col("trial").alias("run"), "k", F.col("k").alias("step"), "x0", "x1",
         F.when(broken, F.lit(float("nan"))).otherwise(F.col("x1")).alias("xn"), "x2")
 
@@ -98,7 +97,7 @@ def status(spark, sf):
     tests = evaluated(spark, sf, "div", "cost", "par")
     default = C.both(F.col("cost"), F.col("par"))
     results = tests.select("run", "k", "step", default.bitwiseOR(F.col("div")).alias("status"))
-    return C.run_status(written(results, "tests"))
+    return C.run_status(results)
 
 
 @query("cnv6_run_status", f"""
@@ -121,7 +120,7 @@ FROM e""")
 def _(spark, sf):
     tests = evaluated(spark, sf, "div", "cost").select(
         "run", "k", "step", F.col("cost").bitwiseOR(F.col("div")).alias("status"))
-    return C.outcomes(C.run_status(written(tests, "tests")))
+    return C.outcomes(C.run_status(tests))
 
 
 @query("cnv7_regression_report", f"""

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fitlake.queries.registry import query
+from fitlake.sources.tables import table
 from fitlake.streaming import live
 
 
+PARTS = 3
+
+
 def steps(spark, sf):
-    df = live.read_files(spark, sf, "events.parquet")
+    """Events as a stream of several files in order of their number, one file per micro-batch."""
+    folder = live.work_folder(spark, "events")
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).scalar()
+    part = F.least(F.floor(F.col("event_id") * PARTS / (last + 1)), F.lit(PARTS - 1))
+    for i in range(PARTS):  # one write after the other, as the source reads files by their time
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    df = live.read_files(spark, folder, "*.parquet", per_trigger=1)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return df.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value",
                      F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))).alias("at"))
@@ -28,8 +39,8 @@ WITH e AS (SELECT user_id AS run, event_id AS step, value, row_number() OVER w -
   first_value(value) OVER w AS f, greatest(abs(value - lag(value, 1) OVER w), abs(value - lag(value, 2) OVER w)) AS gap,
   lag(value, 2) OVER w IS NOT NULL AS full_window
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-s AS (SELECT run, step, k, CASE WHEN k >= 10 AND f - value > 60 THEN -1
-        WHEN full_window AND gap <= 2.5 THEN 3 ELSE 0 END AS st FROM e),
+s AS (SELECT run, step, k, CASE WHEN NOT isfinite(f - value) OR (k >= 10 AND f - value > 60) THEN -1
+        WHEN full_window AND gap < 2.5 THEN 3 ELSE 0 END AS st FROM e),
 r AS (SELECT run, step, k, bit_or(st) OVER (PARTITION BY run ORDER BY k) AS status FROM s)
 SELECT run, step, status FROM r QUALIFY status <> coalesce(lag(status) OVER (PARTITION BY run ORDER BY k), 0)""")
 def _(spark, sf):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,21 +32,18 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available, append it to a table in the shared folder and read that."""
+def run_to_table(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process what is available, append it to a table in the shared folder and read that.
+
+    Called again with the same ``folder``, it goes on after the last finished micro-batch.
+    """
     spark = stream.sparkSession
-    out = work_folder(spark, name)
+    out = folder or work_folder(spark, name)
     query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out))
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
-    query = (stream.writeStream.foreachBatch(each)
-             .option("checkpointLocation", work_folder(stream.sparkSession, name))
-             .trigger(availableNow=True).start())
+             .option("checkpointLocation", os.path.join(out, "state")).trigger(availableNow=True)
+             .start(os.path.join(out, "rows")))
     query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(os.path.join(out, "rows"))
 
 
 def thinned(steps: DataFrame, interval: float, time: str, delay: str = "1 hour") -> DataFrame:
@@ -57,16 +56,19 @@ STATE = "last_step long, seen long, first double, recent array<double>, status i
 CHANGES = "run long, step long, status int"
 
 
-def live_status(steps: DataFrame, n: int, tol: float, fall: float) -> DataFrame:
-    """Status changes per run: constant cost over the last ``n`` values, or a fall by more than
-    ``fall`` from the first value after ten steps.
+def live_status(steps: DataFrame, n: int, tol: float, fall: float, silent: int | None = None) -> DataFrame:
+    """Status changes per run: constant cost over the last ``n`` values, a change from the first value
+    that is not finite, or a fall by more than ``fall`` from it after ten steps.
 
-    State per run is the first value, the last n - 1 values and the status. A step at or below
-    the last one seen is ignored.
+    State per run is the first value, the last n - 1 values and the status; it goes once a run has
+    been silent for ``silent`` milliseconds. A step at or below the last one seen is ignored.
     """
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame],
                state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seen, first, recent, status = (
             state.get if state.exists else (-1, 0, float("nan"), [], 0))
         recent = list(recent)
@@ -77,9 +79,9 @@ def live_status(steps: DataFrame, n: int, tol: float, fall: float) -> DataFrame:
                 continue
             first = value if seen == 0 else first
             new = 0
-            if len(recent) == n - 1 and max(abs(value - v) for v in recent) <= tol:
+            if len(recent) == n - 1 and max(abs(value - v) for v in recent) < tol:
                 new = 3
-            if seen >= 10 and first - value > fall:
+            if not math.isfinite(value - first) or (seen >= 10 and first - value > fall):
                 new = -1
             if status | new != status:
                 status |= new
@@ -87,56 +89,47 @@ def live_status(steps: DataFrame, n: int, tol: float, fall: float) -> DataFrame:
             recent = [*recent, value][-(n - 1):]
             last, seen = step, seen + 1
         state.update((last, seen, first, recent, status))
+        if silent:
+            state.setTimeoutDuration(silent)
         if changes:
             yield pd.DataFrame(changes, columns=["run", "step", "status"])
 
     return steps.groupBy("run").applyInPandasWithState(
-        update, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+        update, CHANGES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if silent else GroupStateTimeout.NoTimeout)
 
 
-def last_records(stream: DataFrame, key: str, step: str, name: str) -> DataFrame:
-    """Final record of each run: every micro-batch is merged with the version before it.
+def last_records(stream: DataFrame, key: str, step: str, name: str, folder: str | None = None) -> DataFrame:
+    """Final record of each run: a micro-batch adds its own final records, and reading keeps the last.
 
-    The version of a batch is a folder of its own, named by the batch. A repeated batch writes
-    the same version again, so a lost attempt changes nothing.
+    Each batch writes a folder of its own, named by the batch, so a repeated batch writes the same again
+    and earlier ones are not touched. With the same ``folder`` a later call goes on where this ended.
     """
     spark = stream.sparkSession
-    folder = work_folder(spark, name)
+    out = folder or work_folder(spark, name)
     columns = [c for c in stream.columns if c != key]
-    done: list[int] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(_version(folder, epoch - 1)))
-        (rows.groupBy(key).agg(F.max_by(F.struct(*columns), step).alias("r"))
-         .select(key, "r.*").write.mode("overwrite").parquet(_version(folder, epoch)))
-        done.append(epoch)
+    last = F.max_by(F.struct(*columns), step).alias("r")
 
-    run_batches(stream, name, merge)
-    return spark.read.parquet(_version(folder, max(done)))
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy(key).agg(last).select(key, "r.*").write.mode("overwrite").parquet(
+            os.path.join(out, "rows", f"batch={epoch}"))
 
+    query = (stream.writeStream.foreachBatch(add).option("checkpointLocation", os.path.join(out, "state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    try:
+        rows = spark.read.schema(stream.schema).parquet(os.path.join(out, "rows"))
+    except AnalysisException:  # nothing has arrived yet
+        rows = spark.createDataFrame([], stream.schema)
+    return rows.groupBy(key).agg(last).select(key, "r.*")
 
-def refresh_catalogue(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Catalogue extended by the trials of new files; known trials are left alone."""
-    spark = stream.sparkSession
-    folder = work_folder(spark, name)
-    done: list[int] = []
-
-    def extend(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(list(keys))
-        if epoch > 0:
-            known = spark.read.parquet(*[_version(folder, i) for i in range(epoch)])
-            new = new.join(known.select(*keys), list(keys), "left_anti")
-        new.write.mode("overwrite").parquet(_version(folder, epoch))
-        done.append(epoch)
-
-    run_batches(stream, name, extend)
-    return spark.read.parquet(*[_version(folder, i) for i in range(max(done) + 1)])
 
+def refresh_catalogue(stream: DataFrame, keys: Sequence[str], name: str, folder: str | None = None) -> DataFrame:
+    """Catalogue extended by the trials of new files; known trials are left alone.
 
-def _version(folder: str, epoch: int) -> str:
-    return os.path.join(folder, f"v{epoch}")
+    The keys seen so far are state of the stream, so a micro-batch reads no earlier one. With the same
+    ``folder`` a later call goes on where this ended.
+    """
+    return run_to_table(stream.dropDuplicates(list(keys)), name, folder)
 
 
 def tumbling_stats(stream: DataFrame, key: str, value: str, time: str, width: str,

@@ -42,7 +42,7 @@ def test_status_over_many_batches_equals_one_loop(spark, folder):
     for run, part in pdf.groupby("run"):
         v, status, changes = part["value"].tolist(), 0, []
         for i in range(len(v)):
-            new = 3 if i >= 5 and max(abs(v[i] - x) for x in v[i - 5:i]) <= 2**-7 else 0
+            new = 3 if i >= 5 and max(abs(v[i] - x) for x in v[i - 5:i]) < 2**-7 else 0
             if status | new != status:
                 status |= new
                 changes.append((i, status))
@@ -57,6 +57,30 @@ def test_last_records_and_catalogue(spark, folder):
     assert sorted(r["run"] for r in trials.collect()) == [0, 1, 2]
 
 
+def test_streams_go_on_in_their_folder(spark, folder, tmp_path):
+    """Stopped after two files and started again, the streams end as in one go."""
+    path, rows = folder
+    part, out = str(tmp_path / "files"), str(tmp_path / "out")
+    for step, limit in enumerate((100, 100, 300)):
+        rows.where((F.col("step") >= (0, 100, 100)[step]) & (F.col("step") < limit)).coalesce(1).write.mode(
+            "append").parquet(part)
+        read = lambda: live.read_files(spark, part, "*.parquet", per_trigger=1)
+        last = live.last_records(read().select("run", "step", "value"), "run", "step", "l", out + "/l")
+        known = live.refresh_catalogue(read().select("run"), ["run"], "c", out + "/c")
+        status = live.run_to_table(live.live_status(read(), 6, 2**-7, 100.0), "s", out + "/s")
+        assert {r.step for r in last.collect()} == {limit - 1} and known.count() == 3
+    want = live.run_to_table(live.live_status(stream(spark, folder), 6, 2**-7, 100.0), "s")
+    assert sorted(map(tuple, status.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_cost_that_is_not_finite_fails_at_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, float("nan")), (2, 0, 1.0), (2, 1, 1.5)], "run int, step long, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    steps = live.read_files(spark, str(tmp_path / "in"), "*.parquet")
+    got = live.run_to_table(live.live_status(steps, 9, 0.1, 5.0), "s").collect()
+    assert [tuple(r) for r in got] == [(1, 1, -1)]
+
+
 def test_tumbling_statistics_equal_batch(spark, folder):
     stats = live.tumbling_stats(stream(spark, folder), "run", "value", "at", "1 hour", "10 minutes")
     got = live.run_to_table(stats, "w").toPandas()
