@@ -54,15 +54,15 @@ def better_than_truth(df: DataFrame, key: str, truth: Column, candidates: Sequen
     """Per prefix length, how many candidate parameter sets score above the true one.
 
     Bins are summed between successive lengths first; the prefix sums then run over that short
-    table. ``as_coded`` divides the candidates by the full length instead of the prefix.
+    table. The whole length of a series is always the last prefix; longer ones are left out. ``as_coded`` divides the candidates by the full length instead of the prefix.
     """
     grid = sorted(grid)
     slot = F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g <= F.col("k")))
-    sums = (df.where(F.col("k") < grid[-1]).groupBy(key, slot.alias("slot"))
+    sums = (df.groupBy(key, slot.alias("slot"))
             .agg(F.sum(truth).alias("_t"), *[F.sum(c).alias(f"_c{i}")
                                              for i, c in enumerate(candidates)]))
     w = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    K = F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("slot") + 1)
+    K = F.least(F.get(F.array(*[F.lit(g).cast("long") for g in grid]), F.col("slot")), F.col("_n"))
     lengths = df.groupBy(key).agg(F.count("*").alias("_n"))
     share = F.col("_n") if as_coded else K
     better = [(F.sum(f"_c{i}").over(w) / share > F.sum("_t").over(w) / K).cast("int")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitlake.functions.scalars import normal_pdf
 from fitlake.operators.ordered import frames
 
 
@@ -173,3 +174,13 @@ def window_stats(df: DataFrame, key: str, value: str, widths: Sequence[int],
     return (cut.groupBy(key, "width", slot.alias("win")).agg(
         F.count("*").alias("_n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
         .where(F.col("_n") == F.col("width")).drop("_n"))
+
+
+def integral(df: DataFrame, key: str, value: str, dt: float, mu: float, sigma: float) -> DataFrame:
+    """Integral of each series over its length T, and its density under Normal(mu T, sigma sqrt(T)).
+
+    That is the law of the integral of white noise with mean ``mu`` and spread ``sigma / sqrt(dt)``.
+    """
+    T = F.col("n") * dt
+    return (df.groupBy(key).agg((F.sum(value) * dt).alias("integral"), F.count("*").alias("n"))
+            .withColumn("density", normal_pdf(F.col("integral"), mu * T, sigma * F.sqrt(T))))

@@ -13,7 +13,7 @@ from fitlake.operators import likelihood as K
 from fitlake.operators.series import batch_rows
 from fitlake.queries.common import SERIES
 from fitlake.queries.registry import query
-from fitlake.queries.series import BATCHES, batches
+from fitlake.queries.series import BATCHES, LENGTHS, batches, lengths
 from fitlake.sources.tables import series, table
 
 DT = 0.5
@@ -61,6 +61,10 @@ def backward(**kw):
     return O.ou(cols(*LATENT), cols("next_x2", "next_x3"), MU, SIGMA, TAU, DT, drift=-1, **kw)
 
 
+def halves(a, b):
+    return (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))) / 2
+
+
 def noise(mu=MU):
     return O.white_noise(cols(*LATENT), mu, LOG_SIGMA, DT)
 
@@ -104,27 +108,26 @@ def _(spark, sf):
 @query("lik5_ou_backward_smoother", f"""
 WITH {VIEW}
 SELECT trial, round(sum(-{NORM} - {BQUAD}), 6) AS backward,
-       round(sum((-{NORM} - {FQUAD} - {NORM} - {BQUAD}) / 2), 6) AS smoother
-FROM v WHERE p2 IS NOT NULL AND n2 IS NOT NULL GROUP BY trial""")
+       round((sum(-{NORM} - {FQUAD}) + sum(-{NORM} - {BQUAD})) / 2, 6) AS smoother
+FROM v GROUP BY trial""")
 def _(spark, sf):
-    df = view(spark, sf, before=True, after=True).where(
-        "prev_x2 IS NOT NULL AND next_x2 IS NOT NULL")
-    terms = {"backward": backward(), "smoother": (forward() + backward()) / 2}
+    # the first bin has no forward term and the last one no backward term
+    df = view(spark, sf, before=True, after=True)
+    terms = {"backward": backward(), "smoother": halves(forward(), backward())}
     return rounded(K.segment_scores(df, ["trial"], terms), backward=6, smoother=6)
 
 
 @query("lik6_finite_noise_ou", f"""
 WITH {VIEW}
 SELECT trial, round(sum(-{FNORM} - {FQUAD}), 6) AS forward, round(sum(-{FNORM} - {BQUAD}), 6) AS backward,
-       round(sum((-2 * {FNORM} - {FQUAD} - {BQUAD}) / 2), 6) AS smoother,
+       round((sum(-{FNORM} - {FQUAD}) + sum(-{FNORM} - {BQUAD})) / 2, 6) AS smoother,
        round(sum(-{FNORM} - pow(x2 - p2 + (p2 - 0.05) * 0.25e0, 2) / (4 * 0.045e0 * 0.5)
          - pow(x3 - p3 + (p3 - 0.04) * 0.125e0, 2) / (4 * 0.01e0 * 0.5)), 6) AS corrected
-FROM v WHERE p2 IS NOT NULL AND n2 IS NOT NULL GROUP BY trial""")
+FROM v GROUP BY trial""")
 def _(spark, sf):
-    df = view(spark, sf, before=True, after=True).where(
-        "prev_x2 IS NOT NULL AND next_x2 IS NOT NULL")
+    df = view(spark, sf, before=True, after=True)
     f, b = forward(finite_noise=True), backward(finite_noise=True)
-    terms = {"forward": f, "backward": b, "smoother": (f + b) / 2,
+    terms = {"forward": f, "backward": b, "smoother": halves(f, b),
              "corrected": forward(finite_noise=True, corrected=True)}
     return rounded(K.segment_scores(df, ["trial"], terms), forward=6, backward=6, smoother=6,
                    corrected=6)
@@ -186,19 +189,19 @@ def _(spark, sf):
 @query("lik10_objective_arithmetic", f"""
 WITH {VIEW}, {BATCHES}
 SELECT b.trial, batch, 'forward,nodyn,se' AS tags,
-       round(sum((-{NORM} - {FQUAD}) + 0.5 * {SE}) + 25e0 / 541 * -3.25, 6) AS objective
-FROM v JOIN batches b ON b.trial = v.trial AND k >= b AND k < b + 25
-WHERE p2 IS NOT NULL GROUP BY b.trial, batch""")
+       round(sum((-{NORM} - {FQUAD}) + 0.5 * {SE}) + 25e0 / n_bins * -3.25, 6) AS objective
+FROM v JOIN batches b ON b.trial = v.trial AND k >= b AND k < b + 25 JOIN lengths l ON l.trial = b.trial
+WHERE p2 IS NOT NULL GROUP BY b.trial, batch, n_bins""")
 def _(spark, sf):
     dynamics = O.Objective(lambda: forward(), frozenset({"forward"}))
     seen = O.Objective(lambda: O.mixing_se(W, cols(*LATENT), cols(*SEEN)), frozenset({"nodyn", "se"}))
     objective = sum([dynamics, 0.5 * seen])
     df = batch_rows(view(spark, sf, before=True).where("prev_x2 IS NOT NULL"), batches(spark, sf),
                     "trial", 25)
-    share = 25.0 / 541
-    return df.groupBy("trial", "batch").agg(
-        F.round(F.sum(objective()) + share * -3.25, 6).alias("objective")
-    ).withColumn("tags", F.lit(",".join(sorted(objective.tags))))
+    df = df.join(lengths(spark, sf), "trial")
+    return df.groupBy("trial", "batch", "n_bins").agg(
+        F.round(F.sum(objective()) + 25.0 / F.col("n_bins") * -3.25, 6).alias("objective")
+    ).drop("n_bins").withColumn("tags", F.lit(",".join(sorted(objective.tags))))
 
 
 @query("lik11_log_prior", """
@@ -266,10 +269,10 @@ def _(spark, sf):
 
 
 @query("join14_better_than_truth", f"""
-WITH {VIEW}, g AS (SELECT unnest([50, 200, 500]) AS len),
+WITH {VIEW}, {LENGTHS}, g AS (SELECT trial, unnest([50, 200, 500, n_bins]) AS len FROM lengths),
 s AS (SELECT trial, len, sum({NOISE}) / len AS t,
   {", ".join(f"sum({NOISE.replace('x2 - 0.05', f'x2 - {m}')}) / len AS c{i}" for i, m in enumerate((0.03137, 0.04571, 0.05213, 0.07039)))}
-  FROM v JOIN g ON k < len GROUP BY trial, len)
+  FROM v JOIN g USING (trial) WHERE k < len GROUP BY trial, len)
 SELECT trial, len AS "K", (c0 > t)::INT + (c1 > t)::INT + (c2 > t)::INT + (c3 > t)::INT AS n_better FROM s""")
 def _(spark, sf):
     candidates = [noise([m, MU[1]]) for m in (0.03137, 0.04571, 0.05213, 0.07039)]

@@ -12,25 +12,26 @@ from fitlake.queries.registry import query
 from fitlake.sources.tables import irregular, series, table
 
 DAY = 86_400_000_000
+LENGTHS = "lengths AS (SELECT l_suppkey AS trial, count(*) AS n_bins FROM lineitem GROUP BY 1)"
 
 
 @query("join1_merge_on_axis", f"""
-WITH {SERIES}, a AS (SELECT trial, k, x0 FROM series WHERE k >= 2),
-b AS (SELECT trial, k, x1 FROM series WHERE k % 11 <> 5 AND k <= 500),
-c AS (SELECT trial, k, x2 FROM series WHERE k < 520),
+WITH {SERIES}, {LENGTHS}, a AS (SELECT trial, k, x0 FROM series WHERE k >= 2),
+b AS (SELECT trial, k, x1 FROM series JOIN lengths USING (trial) WHERE k % 11 <> 5 AND k < n_bins - 3),
+c AS (SELECT trial, k, x2 FROM series JOIN lengths USING (trial) WHERE k < n_bins - 1),
 m AS (SELECT trial, k, x0 AS a, x1 AS b, x2 AS c FROM a FULL JOIN b USING (trial, k)
       FULL JOIN c USING (trial, k)),
 l AS (SELECT trial, max(k) AS last FROM m WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
       GROUP BY trial)
 SELECT trial, k, a, b, c FROM m JOIN l USING (trial) WHERE k <= last""")
 def _(spark, sf):
-    df = series(spark, sf)
+    df = series(spark, sf).join(lengths(spark, sf), "trial")
 
     def part(column, keep):
         return df.where(keep).select("trial", "k", F.col(column).alias("value"))
 
-    return S.merge_on_axis({"a": part("x0", "k >= 2"), "b": part("x1", "k % 11 <> 5 AND k <= 500"),
-                            "c": part("x2", "k < 520")})
+    return S.merge_on_axis({"a": part("x0", "k >= 2"), "b": part("x1", "k % 11 <> 5 AND k < n_bins - 3"),
+                            "c": part("x2", "k < n_bins - 1")})
 
 
 def segments(spark, sf):
@@ -72,15 +73,23 @@ def _(spark, sf):
         "n_rows")
 
 
+def lengths(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("trial")).agg(
+        F.count("*").alias("n_bins"))
+
+
 def batches(spark, sf):
+    """Eight batches of 25 bins per trial, over its whole length."""
     return table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("trial"), F.posexplode(F.sequence(F.lit(0), F.lit(7)))
         .alias("batch", "_n")).select(
-        "trial", "batch", ((F.col("_n") * 97 + F.col("trial") * 13) % 500).alias("b"))
+        "trial", "batch", "_n").join(lengths(spark, sf), "trial").select(
+        "trial", "batch", ((F.col("_n") * 97 + F.col("trial") * 13) % (F.col("n_bins") - 24)).alias("b"))
 
 
-BATCHES = """batches AS (SELECT s_suppkey AS trial, n::INTEGER AS batch, (n * 97 + s_suppkey * 13) % 500 AS b
-  FROM supplier, range(8) r(n))"""
+BATCHES = f"""{LENGTHS}, batches AS (
+  SELECT trial, n::INTEGER AS batch, (n * 97 + trial * 13) % (n_bins - 24) AS b
+  FROM supplier JOIN lengths ON trial = s_suppkey, range(8) r(n))"""
 
 
 @query("join3_batch_rows", f"""
@@ -138,13 +147,13 @@ def _(spark, sf):
 @query("agg15_series_integral", f"""
 WITH {SERIES}
 SELECT trial, round(sum(x0) * 0.125, 4) AS integral, count(*) AS n,
-       round(1 / (1 * sqrt(2 * pi())) * exp(-0.5 * pow((avg(x0) - 25) / 1e0, 2)), 8) AS density
+       round(exp(-0.5 * pow((sum(x0) * 0.125 - 25.5 * count(*) * 0.125) / (5.1 * sqrt(count(*) * 0.125)), 2))
+             / (5.1 * sqrt(count(*) * 0.125) * sqrt(2 * pi())), 10) AS density
 FROM series GROUP BY trial""")
 def _(spark, sf):
-    out = series(spark, sf).groupBy("trial").agg(
-        (F.sum("x0") * 0.125).alias("integral"), F.count("*").alias("n"), F.avg("x0").alias("m"))
+    out = S.integral(series(spark, sf), "trial", "x0", 0.125, mu=25.5, sigma=5.1)
     return out.select("trial", F.round("integral", 4).alias("integral"), "n",
-                      F.round(scalars.normal_pdf(F.col("m"), 25.0, 1.0), 8).alias("density"))
+                      F.round("density", 10).alias("density"))
 
 
 @query("scl1_sigmoid_leak", f"""
