@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitlake.functions import rng
 from fitlake.functions.scalars import total
-from fitlake.operators.ordered import CHUNK, frames, hot_rows
+from fitlake.operators.distributions import discard_lowest, high_probability
+from fitlake.operators.ordered import CHUNK, frames, hot_rows, number
 from fitlake.operators.series import batch_rows
-from fitlake.session import checkpoint_dir
+from fitlake.session import checkpoint_dir, written
 
 SUMS = ("n", "s_d", "s_p", "s_dp", "s_pp", "s_dd")
 
@@ -109,24 +111,24 @@ def climb(theta: np.ndarray, batches: np.ndarray, share: float, dt: float, passe
 
 
 def fit_parameters(sums: DataFrame, key: str, start: Sequence[float] | Sequence[Column],
-                   share: float, dt: float, passes: int = 1,
+                   share: float | Column, dt: float, passes: int = 1,
                    settings: Adam = Adam()) -> DataFrame:
     """Gradient ascent of each (run, component), batch after batch in order of their start.
 
-    ``share`` is the batch length over the segment length, the weight of the prior. A fit is one
+    ``share`` is the batch length over the length of the run's segment, the weight of the prior. A fit is one
     row with six sums per batch, never the data itself; fits of an Arrow batch move together.
     """
 
     @F.pandas_udf("array<double>")
     def run(batches: pd.Series, mu: pd.Series, log_sigma: pd.Series,
-            log_tau: pd.Series) -> pd.Series:
+            log_tau: pd.Series, weight: pd.Series) -> pd.Series:
         theta = np.stack([mu, log_sigma, log_tau], axis=1).astype(float)
         out: list = [None] * len(batches)
         lengths = np.array([len(b) for b in batches])
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             data = np.stack([batches.iloc[i] for i in at]).reshape(len(at), -1, len(SUMS))
-            for i, row in zip(at, climb(theta[at], data, share, dt, passes, settings)):
+            for i, row in zip(at, climb(theta[at], data, weight.to_numpy()[at][:, None], dt, passes, settings)):
                 out[i] = row.ravel()
         return pd.Series(out)
 
@@ -134,8 +136,9 @@ def fit_parameters(sums: DataFrame, key: str, start: Sequence[float] | Sequence[
     first = [c if isinstance(c, Column) else F.lit(float(c)) for c in start]
     fits = sums.groupBy(key, "comp").agg(
         F.flatten(F.transform(ordered, lambda s: F.array(*[s[c] for c in SUMS]))).alias("_s"),
-        *[F.max(c).alias(f"_t{i}") for i, c in enumerate(first)])
-    flat = fits.select(key, "comp", run("_s", "_t0", "_t1", "_t2").alias("_f"))
+        *[F.max(c).alias(f"_t{i}") for i, c in enumerate(first)],
+        F.max(share if isinstance(share, Column) else F.lit(float(share))).alias("_w"))
+    flat = fits.select(key, "comp", run("_s", "_t0", "_t1", "_t2", "_w").alias("_f"))
     steps = F.transform(F.sequence(F.lit(1), F.floor(F.size("_f") / 4).cast("int")), lambda t: F.struct(
         t.alias("step"), *[F.get("_f", 4 * t - 4 + i).alias(name) for i, name in enumerate(
             ("mean_logp", "mu", "log_sigma", "log_tau"))]))
@@ -239,11 +242,11 @@ def remove_degeneracies(weights: DataFrame, comps: DataFrame, n_comps: int) -> t
 
     ``weights`` is (set_id, row, comp, w); ``comps`` is (set_id, comp, mu, log_sigma, log_tau).
     The factor moves into the spread and mean of the component. Within each half, components
-    follow descending spread. Returns both tables with the new component index.
+    follow descending spread. A column that sums to zero keeps its scale. Returns both tables with the new component index.
     """
     if n_comps % 2:
         raise ValueError("the number of components must be even")
-    scale = weights.groupBy("set_id", "comp").agg(F.abs(F.sum("w")).alias("factor"))
+    scale = weights.groupBy("set_id", "comp").agg(F.coalesce(F.nullif(F.abs(F.sum("w")), F.lit(0.0)), F.lit(1.0)).alias("factor"))
     half = F.floor(F.col("comp") / (n_comps // 2))
     order = Window.partitionBy("set_id", "half").orderBy(F.desc("log_sigma"), "comp")
     scaled = (comps.join(scale, ["set_id", "comp"])
@@ -256,43 +259,53 @@ def remove_degeneracies(weights: DataFrame, comps: DataFrame, n_comps: int) -> t
             scaled.select("set_id", "comp", "new_comp", "factor", "mu", "log_sigma", "log_tau"))
 
 
-def score_points(df: DataFrame, points: Sequence[Sequence[float]],
-                 lp: Callable[[Sequence[float]], Column]) -> list[float]:
-    """Total score of each point over the whole data, in one pass with one sum per point."""
-    row = df.agg(*[F.sum(lp(p)).alias(f"s{i}") for i, p in enumerate(points)]).first()
-    return [float(v) for v in row]
+def densify(
+    df: DataFrame, names: Sequence[str], lp: Callable[[Sequence[Column]], Column], centre: Sequence[float],
+    spread: Sequence[float], per_round: int, required: int, boundary: float = 0.01, shrink: float = 0.6,
+    discard: float = 0.5, most_rounds: int | None = None, seed: int = 0,
+) -> DataFrame:
+    """Fill the region of high probability with points, round by round.
 
+    A round proposes ``per_round`` points from normals of spread ``spread * shrink**round`` around
+    the centre, scores them all in one pass over ``df`` (``lp`` gives a row's score for coordinates
+    in the columns ``names``), drops the lowest share of what is kept, and takes one of the points
+    whose probability is at least ``boundary`` times the best as the next centre. It ends
+    once ``required`` points are that probable, or after ``most_rounds``.
 
-def adaptive_search(
-    df: DataFrame, lp: Callable[[Sequence[float]], Column], loc: Sequence[float],
-    scale: Sequence[float], per_iter: int = 5, decay: float = 1.0, required: int = 30,
-    boundary: float = 0.01, max_iter: int = 20, discard: float = 0.5, seed: int = 0,
-    from_high: bool = True,
-) -> list[tuple[int, list[float], float]]:
-    """Search for the region of high probability: draw points around one of the best, score
-    them all on the data in one job, shrink the spread, until enough points are close to the
-    maximum. Returns (iteration, point, score) of all evaluated points.
-
-    Only the drawn points and their scores, ``per_iter`` per job, live on the driver.
+    Returns round, draw, the coordinates, ``score``, ``high`` and ``converged`` of every point.
+    Points live in tables of the shared folder; draws are hashes of (seed, round, draw, axis).
     """
-    if decay < 0:
-        raise ValueError("decay must not be negative")
-    gen = np.random.default_rng(seed)
-    loc, scale = np.array(loc, dtype=float), np.array(scale, dtype=float)
-    discard = min(discard, 1 / (1 + required / per_iter))
-    found: list[tuple[int, list[float], float]] = []
-    kept: list[tuple[list[float], float]] = []
-    for it in range(1, max_iter + 1):
-        drawn = [list(map(float, gen.normal(loc, scale))) for _ in range(per_iter)]
-        scores = score_points(df, drawn, lp)
-        found += [(it, p, z) for p, z in zip(drawn, scores)]
-        kept = sorted(kept + list(zip(drawn, scores)), key=lambda r: r[1])
-        kept = kept[int(discard * len(kept)):]
-        high = [p for p, z in kept if z - kept[-1][1] >= math.log(boundary)]
-        if len(high) >= required:
-            break
-        pool = high if from_high else [p for p, _ in kept]
-        loc = np.array(pool[int(gen.integers(len(pool)))])
-        if decay:
-            scale = scale * (1 - math.exp(-decay))
-    return found
+    if not 0 < shrink <= 1 or required < 1 or per_round < 1:
+        raise ValueError("shrink must be in (0, 1], required and per_round at least 1")
+    spark = df.sparkSession
+    key = ["round", "draw"]
+    at = spark.range(1).select(*[F.lit(float(c)).alias(f"_c{i}") for i, c in enumerate(centre)])
+    seen = kept = None
+    number_of, converged = 0, False
+    while not converged and (most_rounds is None or number_of < most_rounds):
+        width = [float(w) * shrink**number_of for w in spread]
+        drawn = at.select(F.explode(F.sequence(F.lit(0), F.lit(per_round - 1))).alias("draw"), "*").select(
+            F.lit(number_of).alias("round"), "draw",
+            *[(F.col(f"_c{i}") + w * rng.normal(seed, number_of, F.col("draw"), i)).alias(n)
+              for i, (n, w) in enumerate(zip(names, width))])
+        points = written(drawn, "proposed")
+        # one row with the round's few points rides along each data row as a scalar
+        asked = points.agg(F.array_sort(F.collect_list(F.struct("draw", *names))).alias("p")).scalar()
+        sums = df.withColumn("_p", asked).agg(*[
+            F.sum(lp([F.col("_p")[j][n] for n in names])).alias(f"s{j}") for j in range(per_round)])
+        scores = sums.select(F.posexplode(F.array(*[f"s{j}" for j in range(per_round)])).alias("draw", "score"))
+        new = written(points.join(scores, "draw").select(*key, *names, "score"), "scored")
+        seen = new if seen is None else seen.unionByName(new)
+        pool = new if kept is None else kept.drop("_all").unionByName(new)
+        pool = pool.withColumn("_all", F.lit(0))
+        kept = written(discard_lowest(pool, ["_all"], "score", key, discard, required, per_round), "kept")
+        high = high_probability(kept, ["_all"], "score", F.lit(boundary))
+        n = high.count()
+        converged = n >= required
+        ranked = number(high, ["_all"], ["score", *key], by=F.col("score"), name="_nr", start=0)
+        pick = F.floor(rng.uniform(seed, number_of, "centre") * n)
+        at = ranked.where(F.col("_nr") == pick).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+        number_of += 1
+    best = seen.agg(F.max("score")).scalar()
+    return seen.withColumns({"high": F.col("score") - best >= math.log(boundary),
+                             "converged": F.lit(converged)})

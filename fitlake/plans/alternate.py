@@ -32,18 +32,17 @@ def alternated_fit(
     spark = df.sparkSession
     checkpoint_dir(spark)
     segments = df.groupBy(key).agg(F.count("*").alias("K")).checkpoint()
-    share = Kb / segments.agg(F.avg("K")).first()[0]
     theta = None
     trace: list[DataFrame] = []
     for r in range(rounds):
         batches = batch_starts(segments, key, Kb, Nb, stream=r)
         pairs = {m: (c, f"prev_{c}") for m, c in enumerate(latents)}
-        sums = batch_sums(with_neighbours(df, latents, [key]), batches, key, Kb, pairs)
+        sums = batch_sums(with_neighbours(df, latents, [key]), batches, key, Kb, pairs).join(segments, key)
         first: Sequence = start
         if theta is not None:
             sums = sums.join(theta, [key, "comp"])
             first = [F.col(f"_last_{p}") for p in PARAMS]
-        moved = fit_parameters(sums, key, first, share, dt, settings=settings).withColumn(
+        moved = fit_parameters(sums, key, first, Kb / F.col("K"), dt, settings=settings).withColumn(
             "round", F.lit(r)).checkpoint()
         trace.append(moved)
         last = moved.groupBy(key, "comp").agg(F.max_by(F.struct(*PARAMS), "step").alias("t"))

@@ -11,7 +11,6 @@ from fitlake.operators import fit as T
 from fitlake.operators.sampling import batch_starts
 from fitlake.queries.likelihood import DT, LOG_SIGMA, MU, SIGMA, TAU, W, view
 from fitlake.queries.registry import query
-from fitlake.session import written
 from fitlake.sources.tables import series, table
 
 MODEL = T.LatentModel(MU, SIGMA, TAU, W, DT)
@@ -21,10 +20,12 @@ RATE = {"x2": 1e-3, "x3": 1e-3}
 @query("fit1_parameter_pass")
 def _(spark, sf):
     df = view(spark, sf, before=True)
-    segments = df.groupBy("trial").agg(F.count("*").alias("K"))
+    segments = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("trial")).agg(
+        F.count("*").alias("K"))
     batches = batch_starts(segments, "trial", Kb=50, Nb=20)
     sums = T.batch_sums(df, batches, "trial", 50, {0: ("x2", "prev_x2"), 1: ("x3", "prev_x3")})
-    trace = T.fit_parameters(sums, "trial", [0.0, math.log(0.5), math.log(2.0)], 50 / 600, DT,
+    trace = T.fit_parameters(sums.join(segments, "trial"), "trial",
+                             [0.0, math.log(0.5), math.log(2.0)], 50 / F.col("K"), DT,
                              passes=3, settings=T.Adam(rate=0.05))
     last = F.max_by(F.struct("step", "mean_logp", "mu", "log_sigma", "log_tau"), "step")
     first = F.min_by("mean_logp", "step")
@@ -123,12 +124,9 @@ def _(spark, sf):
 
 @query("dist11_adaptive_search")
 def _(spark, sf):
-    df = written(series(spark, sf).select("trial", "x2", "x3"), "series")
+    df = series(spark, sf).select("x2", "x3")
 
     def lp(point):
         return O.white_noise([F.col("x2"), F.col("x3")], point, LOG_SIGMA, DT) / 1000
 
-    found = T.adaptive_search(df, lp, [0.2, 0.2], [0.1, 0.1], per_iter=8, required=12, max_iter=8,
-                              seed=11)
-    rows = [(it, float(p[0]), float(p[1]), z) for it, p, z in found]
-    return spark.createDataFrame(rows, "iteration int, mu0 double, mu1 double, logp double")
+    return T.densify(df, ["mu0", "mu1"], lp, [0.2, 0.2], [0.1, 0.1], per_round=8, required=12, seed=11)

@@ -174,10 +174,16 @@ def test_adaptive_search_finds_the_mode(spark, df):
     def lp(p):
         return -(F.col("x2") - p[0]) * (F.col("x2") - p[0]) - (F.col("x3") - p[1]) * (F.col("x3") - p[1])
 
-    found = T.adaptive_search(df, lp, [0.0, 0.0], [0.5, 0.5], per_iter=10, required=15, max_iter=8, seed=3)
-    best = max(found, key=lambda r: r[2])[1]
     mean = df.agg(F.avg("x2"), F.avg("x3")).first()
-    assert abs(best[0] - mean[0]) < 0.15 and abs(best[1] - mean[1]) < 0.15
+    found = T.densify(df, ["a", "b"], lp, [0.0, 0.0], [0.5, 0.5], per_round=10, required=15, boundary=1e-12,
+                      most_rounds=8, seed=3).toPandas()
+    best = found.loc[found.score.idxmax()]
+    assert abs(best.a - mean[0]) < 0.15 and abs(best.b - mean[1]) < 0.15
+    assert (found.groupby("round").size() == 10).all() and found.high[found.score.idxmax()]
+    again = T.densify(df.repartition(5), ["a", "b"], lp, [0.0, 0.0], [0.5, 0.5], per_round=10, required=15,
+                      boundary=1e-12, most_rounds=8, seed=3).toPandas()
+    order = ["round", "draw"]
+    np.testing.assert_allclose(found.sort_values(order)[["a", "score"]], again.sort_values(order)[["a", "score"]])
 
 
 def test_alternated_fit_improves(spark, df):
