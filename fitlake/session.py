@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +28,12 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is named."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fitlake-cp-"))
-        return spark.sparkContext.getCheckpointDir()
-    raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    """The shared checkpoint folder of the cluster; where none is named, one in the warehouse."""
+    named = spark.conf.get(CHECKPOINT_CONF, None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
