@@ -111,17 +111,16 @@ def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
 def objective_marginal(df: DataFrame, keys: Sequence[str], value: str, logp: str) -> DataFrame:
     """Mean probability per histogram bin, normalised by the trapezoid integral over the centres.
 
-    Bins are open on the left and closed on the right, so a sample on the lowest edge is out;
-    empty bins count as zero.
+    Bins are open on the left and closed on the right, so a sample on the lowest edge is out.
+    Empty bins count as zero and give no row, so a far outlier makes no table of empty bins.
     """
     edges = bin_edges(count_values(df, keys, value), keys, value)
     lo, width = F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")
     slot = F.least(F.ceil((F.col(value) - lo) / width) - 1, F.col("bins") - 1)
     means = (df.join(edges, list(keys)).withColumn("bin", slot.cast("long")).where("bin >= 0")
              .groupBy(*keys, "bin").agg(F.avg(F.exp(logp)).alias("_p")))
-    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
-    full = every.join(means, [*keys, "bin"], "left").withColumns({
-        "p": F.coalesce("_p", F.lit(0.0)), "center": lo + (F.col("bin") + 0.5) * width})
+    full = edges.join(means, list(keys)).withColumns({
+        "p": F.col("_p"), "center": lo + (F.col("bin") + 0.5) * width})
     inner = F.when((F.col("bin") == 0) | (F.col("bin") == F.col("bins") - 1), 0.5).otherwise(1.0)
     area = full.groupBy(*keys).agg(
         F.nullif(F.sum(F.col("p") * inner) * F.max(width), F.lit(0.0)).alias("_area"))
@@ -190,7 +189,7 @@ def evaluate_new(points: DataFrame, store: DataFrame, on: Sequence[str], score:
 def text_differences(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
     """Where two texts start to differ, with context, once per run of differences.
 
-    A run ends after six equal characters. The two texts are compared character by character
+    A run ends after six equal characters. Equal texts are left out first. The two texts are compared character by character
     inside the row; nothing is shuffled.
     """
     differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y) & (x != "") & (y != ""))
@@ -198,7 +197,7 @@ def text_differences(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> Data
     before = F.concat(F.array(F.lit(-100)), spots)
     starts = F.filter(F.zip_with(spots, before, lambda p, q: F.when(p - q > 6, p)),
                       lambda p: p.isNotNull())
-    return (df.select(*keys, a, b, F.explode(starts).alias("at"))
+    return (df.where(F.col(a) != F.col(b)).select(*keys, a, b, F.explode(starts).alias("at"))
             .withColumns({
                 "context_a": F.substr(F.col(a), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60)),
                 "context_b": F.substr(F.col(b), F.greatest(F.col("at") - 9, F.lit(1)), F.lit(60))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -156,10 +157,17 @@ def complete_grid(df: DataFrame, row: str, axes: Mapping[str, Sequence], value:
 def select_frames(
     df: DataFrame, include: Mapping[str, Sequence], exclude: Mapping[str, Sequence],
 ) -> DataFrame:
-    """Rows whose dimensions take the wanted values; unknown dimensions are an error."""
+    """Rows whose dimensions take the wanted values.
+
+    Unknown dimensions are left out with a warning. Where ``latents`` is a dimension that the caller does
+    not name, frames without latents are excluded.
+    """
     unknown = sorted({*include, *exclude} - set(df.columns))
     if unknown:
-        raise ValueError(f"unknown dimensions: {unknown}")
+        warnings.warn(f"unknown dimensions left out: {unknown}", stacklevel=2)
+    include, exclude = ({n: v for n, v in d.items() if n in df.columns} for d in (include, exclude))
+    if "latents" in df.columns and "latents" not in {*include, *exclude}:
+        exclude["latents"] = [labels.EMPTY]
     for name, values in include.items():
         df = df.where(F.col(name).isin(list(values)))
     for name, values in exclude.items():

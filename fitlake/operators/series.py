@@ -41,16 +41,22 @@ def include_exclude(
 
 
 def grid_report(long: DataFrame, keys: Sequence[str], time: str = "t") -> DataFrame:
-    """Per history the start, stop, number of bins and step of its time axis."""
+    """Per history the start, stop and number of bins of its time axis, and a digest of its stops."""
     return long.groupBy(*keys, "name").agg(
-        F.min(time).alias("t_min"), F.max(time).alias("t_max"), F.count("*").alias("n_bins"))
+        F.min(time).alias("t_min"), F.max(time).alias("t_max"), F.count("*").alias("n_bins"),
+        F.sum(F.xxhash64(time).cast("decimal(38,0)")).alias("stops"))
 
 
-def same_grid(long: DataFrame, keys: Sequence[str], time: str = "t") -> DataFrame:
-    """Per key whether all histories share the same axis."""
-    axis = F.struct("t_min", "t_max", "n_bins")
-    return grid_report(long, keys, time).groupBy(*keys).agg(
+def same_grid(long: DataFrame, keys: Sequence[str], time: str = "t", unit: str | None = None) -> DataFrame:
+    """Per key whether all histories share every time stop, and the unit where a column names it."""
+    axis = F.struct("t_min", "t_max", "n_bins", "stops")
+    out = grid_report(long, keys, time).groupBy(*keys).agg(
         F.count("*").alias("n_hists"), (F.min(axis) == F.max(axis)).alias("consistent"))
+    if unit is None:
+        return out
+    units = long.groupBy(*keys).agg(((F.min(unit) == F.max(unit)) & ~F.bool_or(F.col(unit).isNull())).alias("_unit"))
+    return out.join(units, list(keys)).withColumn(
+        "consistent", F.col("consistent") & F.coalesce("_unit", F.lit(False))).drop("_unit")
 
 
 def merge_on_axis(

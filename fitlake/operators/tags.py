@@ -16,8 +16,12 @@ def universe(items: DataFrame) -> DataFrame:
 
 def check_known(items: DataFrame, selector: Iterable[str]) -> None:
     """Selecting by a tag no item carries is an error."""
-    for tag in selector:
-        if items.where(F.array_contains("tags", tag.lstrip("!"))).isEmpty():
+    asked = list(selector)
+    if not asked:
+        return
+    seen = items.agg(*[F.bool_or(F.array_contains("tags", t.lstrip("!"))) for t in asked]).first()
+    for tag, found in zip(asked, seen):
+        if not found:
             raise ValueError(f"unknown tag {tag!r}")
 
 

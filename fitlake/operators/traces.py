@@ -112,6 +112,18 @@ def select_values(
     return long if index is None else long.where(F.col("idx") == index)
 
 
+def missing_values(long: DataFrame, steps: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """An error row for every asked (step, key) that a run has no record of.
+
+    The asked pairs unfold per run, so only runs and their asked records meet.
+    """
+    asked = long.select("run").distinct().withColumn("step", F.explode(F.array(*[
+        F.lit(s).cast("long") for s in steps]))).withColumn("key", F.explode(F.array(*[F.lit(k) for k in keys])))
+    there = select_values(long, steps=steps, keys=keys).select("run", "step", "key").distinct()
+    return asked.join(there, ["run", "step", "key"], "left_anti").withColumn("error", F.concat(
+        F.lit("no record of "), "key", F.lit(" at step "), F.col("step").cast("string")))
+
+
 def drop_step(df: DataFrame, step: int) -> DataFrame:
     return df.where(F.col("step") != step)
 

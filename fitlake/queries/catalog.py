@@ -126,8 +126,8 @@ def _(spark, sf):
 
 @query("src10_grid_check", """
 WITH g AS (SELECT user_id AS trial, event_type AS name, min(ts::DATE) AS t_min,
-                  max(ts::DATE) AS t_max, count(*) AS n_bins FROM events GROUP BY ALL),
-c AS (SELECT trial, count(*) AS n_hists, count(DISTINCT (t_min, t_max, n_bins)) = 1 AS consistent
+                  max(ts::DATE) AS t_max, count(*) AS n_bins, list_sort(list(ts::DATE)) AS stops FROM events GROUP BY ALL),
+c AS (SELECT trial, count(*) AS n_hists, count(DISTINCT stops) = 1 AS consistent
       FROM g GROUP BY trial)
 SELECT trial, name, t_min::VARCHAR AS t_min, t_max::VARCHAR AS t_max, n_bins, n_hists, consistent
 FROM g JOIN c USING (trial)""")

@@ -143,7 +143,7 @@ t AS (SELECT key, sum((p + nxt) / 2) AS area FROM (SELECT key, p * ((hi - lo) /
         lead(p * ((hi - lo) / bins)) OVER (PARTITION BY key ORDER BY bin) AS nxt FROM f) GROUP BY key)
 SELECT key, bin, round(lo + (bin + 0.5) * ((hi - lo) / bins), 6) AS center, round(p / area, 8) AS p,
        CASE WHEN bins < 20 THEN 'few bins' END AS warning
-FROM f JOIN t USING (key)""")
+FROM f JOIN t USING (key) WHERE p > 0""")
 def _(spark, sf):
     df = dims(spark, sf).withColumn("logp", -(F.col("k") % 97) / 40.0)
     return D.objective_marginal(df, ["key"], "v", "logp").select(

@@ -210,6 +210,16 @@ def _(spark, sf):
     return T.select_values(long_trace(spark, sf), steps=[0, 5, 17, 300], keys=["Θ"])
 
 
+@query("fil4_missing_steps_and_keys", f"""
+WITH {SERIES}, {LONG_SQL}, a AS (
+  SELECT run, step::BIGINT AS step, key FROM (SELECT DISTINCT run FROM long),
+         (VALUES (5), (600), (100000)) s(step), (VALUES ('Θ'), ('none')) k(key))
+SELECT a.*, 'no record of ' || key || ' at step ' || step AS error
+FROM a ANTI JOIN long USING (run, step, key)""")
+def _(spark, sf):
+    return T.missing_values(long_trace(spark, sf), steps=[5, 600, 100000], keys=["Θ", "none"])
+
+
 @query("fil4_by_slice_and_component", f"""
 WITH {SERIES}, {LONG_SQL}
 SELECT * FROM long WHERE step >= 100 AND step < 180 AND idx = 1""")

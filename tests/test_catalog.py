@@ -127,3 +127,21 @@ def test_long_numbers_keep_their_order(spark):
     a, b = "(" + "1" * 30 + ",)", "(2" + "0" * 29 + ",)"
     assert one(spark, L.tuple_order(F.lit(a)) < L.tuple_order(F.lit(b)))
     assert one(spark, L.tuple_order(F.lit("(007, 1)")) == L.tuple_order(F.lit("(7, 1)")))
+
+
+def test_equal_ends_do_not_make_an_equal_axis(spark):
+    from fitlake.operators.series import same_grid
+    rows = [(1, "a", t, "s") for t in (0.0, 1.0, 4.0)] + [(1, "b", t, "s") for t in (0.0, 3.0, 4.0)]
+    rows += [(2, n, t, u) for n, u in (("a", "s"), ("b", "ms")) for t in (0.0, 1.0)]
+    df = spark.createDataFrame(rows, "trial int, name string, t double, unit string")
+    assert {r.trial: r.consistent for r in same_grid(df, ["trial"]).collect()} == {1: False, 2: True}
+    assert not any(r.consistent for r in same_grid(df, ["trial"], unit="unit").collect())
+
+
+def test_frames_without_latents_are_left_out(spark):
+    from fitlake.operators.runs import select_frames
+    df = spark.createDataFrame([(1, "a", L.EMPTY), (2, "a", "x"), (3, "b", "x")], "run int, split string, latents string")
+    with pytest.warns(UserWarning, match="nowhere"):
+        got = select_frames(df, {"split": ["a"], "nowhere": [1]}, {})
+    assert [r.run for r in got.collect()] == [2]
+    assert select_frames(df, {"latents": [L.EMPTY]}, {}).count() == 1

@@ -52,8 +52,11 @@ def test_objective_marginal_is_normalised(df):
     scored = df.where("key IN ('a', 'b')").withColumn("logp", -F.col("v") * F.col("v") / 2)
     got = D.objective_marginal(scored, ["key"], "v", "logp").orderBy("bin").toPandas()
     for _, part in got.groupby("key"):
-        p, x = part["p"].to_numpy(), part["center"].to_numpy()
-        assert ((p[1:] + p[:-1]) / 2 * np.diff(x)).sum() == pytest.approx(1)
+        b, x = part["bin"].to_numpy(), part["center"].to_numpy()
+        p = np.zeros(b[-1] + 1)  # empty bins have no row
+        p[b] = part["p"]
+        width = (x[-1] - x[0]) / (b[-1] - b[0])
+        assert (p[1:] + p[:-1]).sum() / 2 * width == pytest.approx(1)
 
 
 def test_threshold_keeps_all_by_default(df):
@@ -67,3 +70,14 @@ def test_text_differences(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string")
     got = D.text_differences(df, "a", "b", ["id"]).orderBy("id", "at").collect()
     assert [(r["id"], r["at"]) for r in got] == [(1, 4), (1, 20)]
+
+
+def test_a_far_outlier_makes_no_empty_bins(spark):
+    df = spark.range(1000).select(F.lit("a").alias("key"), F.when(F.col("id") == 0, 1e12).otherwise(
+        F.col("id").cast("double")).alias("v"), F.lit(-1.0).alias("lp"))
+    assert D.objective_marginal(df, ["key"], "v", "lp").count() < 1000
+
+
+def test_few_samples_keep_their_range(spark):
+    df = spark.range(40).select(F.lit("a").alias("key"), F.col("id").cast("double").alias("v"))
+    assert D.truncated_histogram(df, ["key"], "v").agg(F.sum("freq")).first()[0] == 40
