@@ -284,6 +284,7 @@ def rest_of_buckets(buckets: DataFrame, labels: DataFrame, sets: DataFrame, orde
            .withColumn("y", every("many_parts")).select("place", "x", "y", *cut))
     many = (rows.withColumn("y", spot("many_parts"))
             .withColumn("x", every("few_parts")).select("place", "x", "y", *cut))
+    many = many.toDF(*many.columns)  # columns of their own: both sides come from the same rows
     return few.groupBy("place", "x", "y").cogroup(many.groupBy("place", "x", "y")).applyInArrow(
         _blocks(percent), "a long, b long")
 
@@ -295,8 +296,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shingles; a component's id is its smallest doc_id. A text of fewer words is one shingle; a null, empty
     or blank one has none and is linked with nothing. Repeated rows are documents of their own
     and meet in one component. A null doc_id is never the smallest unless its component has no
-    other, and is then the component's id; ``kept`` is true where doc_id and component_id are equal.
+    other, and is then the component's id; ``kept`` is true where doc_id and component_id are equal, two nulls
+    included. The index is laid out for similarities of 0.8 or more.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     signed = written(rows.mapInArrow(_sign(words), "id long, n long, class long, sign binary"), "signatures")
     classes = written(signed.where("class IS NOT NULL").groupBy("class").agg(
