@@ -55,7 +55,21 @@ def _(spark, sf):
                            ).withColumn("value", F.round("value", 8))
 
 
-@query("smp3_batch_starts")
+@query("smp3_batch_starts", f"""
+WITH RECURSIVE seg AS (SELECT l_suppkey AS trial, count(*) - 24 AS n FROM lineitem GROUP BY 1),
+s AS (
+  SELECT trial, n, 0 AS i, list_transform(range(n), lambda x: 1e0) AS w, []::BIGINT[] AS starts FROM seg
+  UNION ALL
+  SELECT trial, n, i + 1, list_transform(share, lambda x, j: CASE WHEN abs(j - 1 - b) < 25
+           THEN x * (1 - exp(-2 * pow((j - 1 - b) / 25e0, 2))) ELSE x END), list_append(starts, b)
+  FROM (
+    SELECT trial, n, i, starts, share, least(coalesce(list_position(list_transform(
+             range(1, n + 1), lambda k: list_sum(share[1:k]) > u), true), n) - 1, n - 1) AS b
+    FROM (
+      SELECT trial, n, i, starts, u, list_transform(w, lambda x: 1e-6 + (1 - n * 1e-6) * x / total) AS share
+      FROM (SELECT *, list_sum(w) AS total, {UNIFORM.format("'20201115:0:' || trial || ':' || i")} AS u
+            FROM s WHERE i < 12))))
+SELECT trial, unnest(range(12))::INTEGER AS batch, unnest(list_sort(starts)) AS b FROM s WHERE i = 12""")
 def _(spark, sf):
     segments = series(spark, sf).groupBy("trial").agg(F.count("*").alias("K"))
     return S.batch_starts(segments, "trial", Kb=25, Nb=12)
