@@ -25,25 +25,39 @@ from pyspark.sql import functions as F
 from fitlake.llm import common as K
 from fitlake.session import written
 
-#: Words in a worker's cache of token ids; it is emptied beyond that.
-CACHE_WORDS = 400_000
+#: Words in a worker's cache of token ids; beyond that, those not met since the last turn are forgotten.
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_TOKENIZERS: dict[str, tuple] = {}
+_CACHES: dict[str, _Ids] = {}
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+class _Ids(dict):
+    """Token ids of words, as little-endian unsigned 32-bit numbers; each distinct word is encoded once."""
 
-
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -52,16 +66,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     The vocabulary never crosses white space, so texts are encoded blank by blank and each distinct
     word once; a word that holds other kinds of white space is left to the tokenizer as it is.
     """
-    tokenizer, cache = _tokenizer(path)
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in cut for w in words if w not in cache})
-    if new:
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for words in cut for w in words})
-        for word, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, words)) for words in cut]
+    if path not in _CACHES:
+        _CACHES[path] = _Ids(path)
+    cache = _CACHES[path]
+    cache.turn()
+    return [b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _pieces(path: str, size: int, keep_ids: bool):
