@@ -192,12 +192,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
           by: int = 3, held: int = 1) -> Model:
     """Model of ``label`` from labelled documents whose id remainder is not the held-out one.
 
-    At most ``fit_rows`` rows are taken, those with the smallest hash of id and text; null labels
-    are left out, and of several labels of one document the mean, rounded up at a half, holds.
+    At most ``fit_rows`` rows are taken, those with the smallest hash of the id; null labels are left
+    out, and of several labels of one document the mean, rounded up at a half, holds. Only ids are
+    dealt to choose the rows; their texts are picked out where they lie.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")))
-    chosen = (docs.select("doc_id", "text").where(remainder(by) != held).join(known, "doc_id")
+    rows = docs.where(remainder(by) != held)
+    chosen = (rows.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    chosen = (rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows ids at most
               .select("label", "text", F.xxhash64("doc_id", "text").alias("key"))
               .orderBy("key").limit(fit_rows))
     got = chosen.select("label", "text", "key").mapInArrow(_rows, "label int, key long, places binary").collect()
