@@ -29,6 +29,8 @@ CHUNKS, CHUNK = 8, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Differing symbols beyond which a pair is not looked at: 6 deviations above the mean at similarity 0.8.
 FAR = 24
+#: Links that a task cuts to spanning stars at a time.
+FOREST_LINKS = 200_000
 #: Members up to which a bucket gives all its pairs.
 SMALL = 16
 #: Pairs of one leader that are confirmed together, and members and others in a block.
@@ -200,22 +202,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_confirm(percent), "a long, b long"))
 
 
+def _forest(batches):
+    """Spanning stars (member, root) of the links of every ``FOREST_LINKS`` rows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars() -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in held:
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        held.clear()
+        pairs = [(x, r) for x in list(root) if (r := find(x)) != x]
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    n = 0
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n >= FOREST_LINKS:
+            yield stars()
+            n = 0
+    if held:
+        yield stars()
+
+
 def components(links: DataFrame, order: DataFrame, name: str) -> DataFrame:
     """(class, least, root) of every linked class: the smallest id of its component and that class.
 
-    ``order`` has (class, least), the id by which classes are compared. Labels spread along links and jump to
-    the label of their root, so the rounds grow with the logarithm of a chain's length.
+    ``order`` has (class, least), the id by which classes are compared. The links of a task are first cut
+    to spanning stars. Labels then spread along them and jump to the label of their root, so the rounds grow
+    with the logarithm of a chain's length. Each round is written, so a lost executor costs one round.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
+    stars = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
+    both = written(stars.union(stars.select("b", "a")).distinct(), f"{name}-links")
     labels = written(both.select(F.col("a").alias("class")).distinct().join(order.select("class", "least"), "class")
                      .select("class", "least", F.col("class").alias("root"), F.lit(True).alias("moved")),
                      f"{name}-labels")
     label: Column = F.struct("least", "root")
-    while labels.where("moved").limit(1).count():
+    while not labels.where("moved").isEmpty():
         near = (both.join(labels.select(F.col("class").alias("b"), label.alias("label")), "b")
                 .groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "class"))
-        spread = written(labels.join(near, "class").select(
-            "class", label.alias("old"), F.least(label, F.col("near")).alias("new")), f"{name}-spread")
+        spread = labels.join(near, "class").select(
+            "class", label.alias("old"), F.least(label, F.col("near")).alias("new"))
         roots = spread.select(F.col("class").alias("at"), F.col("new").alias("far"))
         labels = written(
             spread.join(roots, F.col("new.root") == F.col("at"))
@@ -262,8 +299,9 @@ def rest_of_buckets(buckets: DataFrame, labels: DataFrame, sets: DataFrame, orde
     large = buckets.where(F.col("members") > SMALL)
     known = large.join(labels.select("class", "root"), "class", "left").select(
         "key", "class", "leader", F.coalesce("root", "class").alias("comp"))
-    split = (known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("key"))
+    # a table of its own, so that the members of a hot key need not be dealt by key again
+    split = written(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                    .where("lo <> hi").select("key"), "split-keys")
     open_ = written(known.join(split, "key"), "open-buckets")
     if not open_.limit(1).count():
         return None
