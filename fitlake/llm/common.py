@@ -16,6 +16,17 @@ LEAST_GROUPS = 64
 BLOCK = "__block"
 
 
+_CACHE: dict = {}
+
+
+def cache(name, make):
+    """A worker's cache; it holds that of one operator at a time, as workers outlive a stage."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

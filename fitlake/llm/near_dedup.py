@@ -49,7 +49,6 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -57,9 +56,10 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     cut = (text or b"").lower().split()
     if not cut:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, cut), np.uint64, len(cut))
+    known = K.cache("word hashes", _Words)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, cut), np.uint64, len(cut))
     size = min(words, len(h))
     x = K.mixed(h[:len(h) - size + 1], size)
     for k in range(1, size):

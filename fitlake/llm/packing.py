@@ -28,9 +28,6 @@ from fitlake.session import written
 #: Words in a worker's cache of token ids; beyond that, those not met since the last turn are forgotten.
 CACHE_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHES: dict[str, _Ids] = {}
-
-
 class _Ids(dict):
     """Token ids of words, as little-endian unsigned 32-bit numbers; each distinct word is encoded once."""
 
@@ -66,9 +63,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     The vocabulary never crosses white space, so texts are encoded blank by blank and each distinct
     word once; a word that holds other kinds of white space is left to the tokenizer as it is.
     """
-    if path not in _CACHES:
-        _CACHES[path] = _Ids(path)
-    cache = _CACHES[path]
+    cache = K.cache(("token ids", path), lambda: _Ids(path))
     cache.turn()
     return [b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
