@@ -37,3 +37,34 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, TEXTS[0])] * 3, "doc_id long, text string")
     assert L.scan(df, carry=["doc_id"]).count() == 3
     assert L.scan(df.limit(0)).collect() == []
+
+
+def found(text):
+    scanner = L.Scanner(L.TEMPLATES, 4, 0.15)
+    return [(f["license"], f["exact"]) for a, b in scanner.blocks(text) for f in scanner.found(text[a:b])]
+
+
+def test_whole_wordings_with_neighbouring_lines():
+    def file(text, head="Copyright (c) 2019 Some Holder"):
+        words = text.split(" ")
+        lines = [" ".join(words[i:i + 11]) for i in range(0, len(words), 11)]
+        return "\n".join(["zzz qqq www", head, "", *lines, "", "zzz qqq www"])
+
+    for name, texts in L.TEMPLATES.items():
+        assert found(file(texts[-1])) == [(name, True)]
+    numbered = L.TEMPLATES["BSD-3-Clause"][-1].replace("Redistributions of", "1. Redistributions of")
+    assert found(file(numbered.replace("THE COPYRIGHT HOLDERS", "JOHN Q EXAMPLE"))) == [("BSD-3-Clause", False)]
+    plain = L.TEMPLATES["BSD-2-Clause"][-1].replace("COPYRIGHT HOLDER OR", "AUTHOR OR")
+    assert found(file(plain)) == [("BSD-2-Clause", False)]
+    two = L.TEMPLATES["GPL-3.0"][2]
+    assert found(file(two, "Copyright (C) 2020 Foo\nThis file is part of the qux permissions tool")) == [
+        ("GPL-3.0", True)]
+
+
+def test_several_notices_of_one_block_or_line():
+    assert found("Released under the MIT License.\nReleased under the ISC License.") == [("MIT", True), ("ISC", True)]
+    assert found("qux plugh (c) 2020 xyzzy foo: Released under the MIT License. Licensed under CC BY 4.0. foo bar baz "
+                 "quux corge grault garply waldo fred") == [("MIT", True), ("CC-BY-4.0", True)]
+    both = MIT + " and " + L.TEMPLATES["Apache-2.0"][1]
+    assert found(" ".join(["zzz"] * 500) + " " + both + " " + " ".join(["qqq"] * 500)) == [
+        ("MIT", True), ("Apache-2.0", True)]
