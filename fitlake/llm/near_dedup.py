@@ -36,7 +36,8 @@ SMALL = 16
 #: Pairs of one leader that are confirmed together, and members and others in a block.
 LEADER_ROWS, BLOCK_ROWS = 64, 512
 CACHE_WORDS = 400_000
-NO_ID = -(1 << 63)
+#: Stands for a missing id, so that it is the smallest of nothing.
+NO_ID = (1 << 63) - 1
 _MULTIPLY = np.random.default_rng(20).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(21).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
@@ -114,9 +115,9 @@ def _sign(words: int):
                 kind.append(class_of(s) if len(s) else 0)
                 signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()),
+                [batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()),
                  pa.array(K.signed(np.array(kind, np.uint64)), pa.int64(), mask=np.array(n, np.int64) == 0),
-                 pa.array(signs, pa.binary())], ["id", "n", "class", "sign"])
+                 pa.array(signs, pa.binary())], ["id", "hash", "n", "class", "sign"])
 
     return run
 
@@ -327,24 +328,22 @@ def rest_of_buckets(buckets: DataFrame, labels: DataFrame, sets: DataFrame, orde
         _blocks(percent), "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: ``doc_id, n_shingles, component_id, kept``.
+def _ordered(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
-    Documents are linked where ``100 * intersection >= percent * union`` of their sets of distinct word
-    shingles; a component's id is its smallest doc_id. A text of fewer words is one shingle; a null, empty
-    or blank one has none and is linked with nothing. Repeated rows are documents of their own
-    and meet in one component. A null doc_id is never the smallest unless its component has no
-    other, and is then the component's id; ``kept`` is true where doc_id and component_id are equal, two nulls
-    included. The index is laid out for similarities of 0.8 or more.
-    """
+
+def _reached(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A row per document: ``id, hash, n, class``, the ``component`` (smallest id) and its ``root`` class."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    signed = written(rows.mapInArrow(_sign(words), "id long, n long, class long, sign binary"), "signatures")
+    # id and hash together name a text, so null or repeated ids do not gather in one place
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    signed = written(rows.mapInArrow(_sign(words), "id long, hash long, n long, class long, sign binary"),
+                     "signatures")
     classes = written(signed.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
-    # the largest number stands for a missing id, so that it is the smallest of nothing
-    order = classes.select("class", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"))
+        F.min(F.struct(_ordered("id").alias("id"), "hash")).alias("own"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+        .select("class", F.col("own.id").alias("least"), F.col("own.hash").alias("hash"), "n", "sign"), "classes")
+    order = classes.select("class", "least")
     keyed = classes.select("class", "sign").mapInArrow(_keys, "key long, class long")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("leader"))
                      .where("members > 1"), "shared-keys")
@@ -352,9 +351,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     pairs = written(candidates(classes, buckets, percent), "pairs")
     wanted = (pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
               .union(buckets.where(F.col("members") > SMALL).select("class")).distinct()
-              .join(classes.select("class", "n", F.coalesce("least", F.lit(NO_ID)).alias("id")), "class"))
-    texts = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    sets = written(texts.join(wanted.hint("shuffle_hash"), "id").mapInArrow(
+              .join(classes.select("class", "n", F.col("least").alias("id"), "hash"), "class"))
+    texts = rows.withColumn("id", _ordered("id"))
+    sets = written(texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).mapInArrow(
         _sets(words), "class long, n long, own binary").dropDuplicates(["class"]), "sets")
     links = written(confirmed(pairs, sets, percent), "links")
     labels = components(links, order, "components")
@@ -364,27 +363,46 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         if more.limit(1).count():
             labels = components(links.union(more), order, "components")
     reach = written(
-        order.join(labels.select("class", F.col("least").alias("far")), "class", "left")
-        .select("class", F.coalesce("far", "least").alias("component")), "reach")
-    missing = F.lit((1 << 63) - 1)
-    found = F.coalesce("component", F.coalesce("id", missing))
+        order.join(labels.select("class", F.col("least").alias("far"), "root"), "class", "left")
+        .select("class", F.coalesce("far", "least").alias("component"), F.coalesce("root", "class").alias("root")),
+        "reach")
     return signed.join(reach, "class", "left").select(
+        "id", "hash", "n", "class", F.coalesce("component", _ordered("id")).alias("component"), "root")
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked where ``100 * intersection >= percent * union`` of their sets of distinct word
+    shingles; a component's id is its smallest doc_id. A text of fewer words is one shingle; a null, empty
+    or blank one has none and is linked with nothing. Repeated rows are documents of their own
+    and meet in one component. A null doc_id is never the smallest unless its component has no
+    other, and is then the component's id; ``kept`` is true where doc_id and component_id are equal, two nulls
+    included. The index is laid out for similarities of 0.8 or more.
+    """
+    return _reached(docs, words, percent).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(found != missing, found).alias("component_id"),
-        F.coalesce(F.coalesce("id", missing) == found, F.lit(False)).alias("kept"))
+        F.when(F.col("component") != NO_ID, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        (_ordered("id") == F.col("component")).alias("kept"))
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Documents without words are linked with nothing and all stay. Of repeated rows with the kept id one stays.
+    Rows are told apart by their texts, so null or repeated ids neither drop nor keep a row. A group without ids keeps
+    one row too. Documents without words are linked with nothing and all stay. Of several texts of a group with
+    the smallest id one stays, and of repeated rows one.
     """
-    kept = written(groups(docs, words, percent).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.count("*").alias("__rows"), F.min("n_shingles").alias("__n")), "kept-ids")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    named = kept.select(F.coalesce("__id", F.lit(NO_ID)).alias("__id"), "__rows", "__n")
-    found = docs.withColumn("__own", own).join(named.hint("shuffle_hash"), F.col("__own") == F.col("__id"))
-    once = found.where("__rows = 1 OR __n = 0")
-    again = found.where("__rows > 1 AND __n > 0")
+    kept = written(_reached(docs, words, percent).where("class IS NOT NULL")
+                   .groupBy("root", _ordered("id").alias("id"), "hash").count()
+                   .groupBy("root").agg(F.min(F.struct("id", "hash", "count")).alias("own"))
+                   .select(F.col("own.id").alias("__id"), F.col("own.hash").alias("__hash"),
+                           F.col("own.count").alias("__rows")), "kept-texts")
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    own = docs.where(worded).withColumns({"__id": _ordered("doc_id"), "__hash": F.xxhash64("text")})
+    found = own.join(kept.hint("shuffle_hash"), ["__id", "__hash"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(*columns).union(again.dropDuplicates(["__own"]).select(*columns))
+    once = found.where("__rows = 1").select(*columns).union(docs.where(~worded))
+    if kept.where("__rows > 1").isEmpty():
+        return once
+    return once.union(found.where("__rows > 1").dropDuplicates(["__id", "__hash"]).select(*columns))

@@ -92,6 +92,34 @@ def test_representatives_keep_columns_and_one_row_of_each_group(spark):
     assert [k for k, _ in kept] == ["1", "3", "4", "None"]
 
 
+def test_representatives_with_null_and_repeated_ids(spark):
+    near = [" ".join(f"{head}{i}" for i in range(30)) for head in "abcdefgh"]
+    copy = lambda text: text + " more"
+    rows = [(None, near[0], "null a"), (None, near[1], "null b"), (None, copy(near[1]), "null b copy"),
+            (5, near[2], "five c"), (5, near[3], "five d"),
+            (7, near[4], "seven e"), (7, None, "seven empty"), (7, " \t", "seven blank"), (8, copy(near[4]), "eight e"),
+            (9, near[5], "nine f"), (20, copy(near[5]), "twenty f"), (20, near[6], "twenty g"),
+            (None, near[7], "null h"), (30, copy(near[7]), "thirty h"), (None, None, "null empty"),
+            (None, "", "null blank")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = sorted(r.name for r in N.representatives(df, 5, 80).collect())
+    b = [n for n in got if n.startswith("null b") and n != "null blank"]
+    assert len(b) == 1  # either row of a group without ids
+    assert [n for n in got if n not in b] == sorted([
+        "null a", "five c", "five d", "seven e", "seven empty", "seven blank", "nine f", "twenty g", "thirty h",
+        "null empty", "null blank"])
+
+
+def test_representatives_keep_one_row_of_each_component(spark):
+    """As many rows as components, whatever the ids: a third null, many repeated."""
+    rows = corpus()
+    docs = [(None if i % 3 == 0 else i % 10, text, i) for i, (_, text) in enumerate(rows)]
+    got = N.representatives(spark.createDataFrame(docs, "doc_id long, text string, row int"), 5, 80).collect()
+    alone = plain([(i, text) for i, (_, text) in enumerate(rows)], 5, 80)
+    component = {i: c for i, _, c, _ in alone}
+    assert sorted(component[r.row] for r in got) == sorted(set(component.values()))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.groups(df).collect() == [] and N.representatives(df).collect() == []
