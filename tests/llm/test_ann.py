@@ -42,6 +42,25 @@ def test_recall_with_different_norms(spark):
     assert recall(spark, df, 20) >= 0.9
 
 
+def unlike(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "outlier":
+        x[1] *= 10
+    else:
+        x *= rng.lognormal(0, 1, (6000, 1))
+    return x
+
+
+@pytest.mark.parametrize("kind,part", [("outlier", 4096), ("lognormal", 4096), ("lognormal", 128)])
+def test_recall_with_unlike_norms_at_64_dimensions(spark, monkeypatch, kind, part):
+    monkeypatch.setattr(ann, "PART_ROWS", part)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unlike(kind))],
+                               "vec_id long, embedding array<double>")
+    assert recall(spark, df, 20) >= 0.95
+
+
 def test_copies_and_ties_go_to_smaller_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART_ROWS", 16)
     rows = [(i, [1.0, 0.0, 0.5]) for i in range(200)] + [(1000 + i, [0.0, float(i % 7), 1.0]) for i in range(50)]
