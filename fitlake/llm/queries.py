@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fitlake.llm import (ann, decontaminate, licenses, line_dedup, lm_scoring, mixing, near_dedup, packing,
-                         pii, quality, sharding)
+from fitlake.llm import (ann, decontaminate, lexical, licenses, line_dedup, lm_scoring, mixing, near_dedup,
+                         packing, pii, quality, sharding)
 from fitlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +183,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
+@query("op12_lexical_search", r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+item AS (
+  SELECT item_no, item_id, unnest(list_distinct(t)) AS term FROM (
+    SELECT row_number() OVER () AS item_no, item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM benchmark)),
+total AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM cut),
+sized AS (
+  SELECT row_no, doc_id, t, 10 + ((90 * len(t) * (SELECT n_docs FROM total)) // (SELECT n_terms FROM total)) AS m
+  FROM cut),
+tf AS (
+  SELECT row_no, doc_id, m, term, count(*) AS tf
+  FROM (SELECT row_no, doc_id, m, unnest(t) AS term FROM sized)
+  WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT n_docs FROM total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf GROUP BY term),
+scores AS (
+  SELECT item_no, item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM tf JOIN w USING (term) JOIN item USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
