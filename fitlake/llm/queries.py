@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fitlake.llm import (ann, decontaminate, lexical, licenses, line_dedup, lm_scoring, mixing, near_dedup,
-                         packing, pii, quality, sharding)
+                         packing, pii, quality, sharding, vector_codes)
 from fitlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,51 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def _lloyd_sql(rounds: int = 6) -> str:
+    """The rounds of op13 as one statement: assignments a1, a2, ... and entries b0, b1, ..."""
+    far = "list_sum(list_transform(range(1, len(x.c) + 1), lambda i: (x.c[i] - b.c[i]) * (x.c[i] - b.c[i])))::BIGINT"
+    steps = []
+    for n in range(1, rounds + 2):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, p, c, best.e AS e, best.d AS d FROM (
+    SELECT r, x.p, any_value(x.c) AS c, min(struct_pack(d := {far}, e := b.e)) AS best
+    FROM parts x JOIN b{n - 1} b ON b.p = x.p GROUP BY r, x.p))""")
+        if n <= rounds:
+            steps.append(f"""
+b{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n - 1} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (
+      SELECT p, e, j, sum(v)::BIGINT AS s, count(*) AS n FROM (
+        SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM a{n}) GROUP BY p, e, j)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT r, vec_id, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS c
+  FROM kept, range(8) AS t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, c FROM (
+    SELECT p, c, row_number() OVER (PARTITION BY p ORDER BY vec_id, r) - 1 AS e FROM parts) WHERE e < 16),
+{",".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds + 1} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded ON coded.r = kept.r
+"""
+
+
+@query("op13_vector_codes", _lloyd_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
