@@ -151,7 +151,7 @@ def discard_lowest(df: DataFrame, keys: Sequence[str], z: str, order: Sequence[s
                    fraction: float, required: int, per_iter: int) -> DataFrame:
     """Drop the ``int(fraction * n)`` lowest points; the fraction is capped so enough remain."""
     fraction = min(fraction, 1 / (1 + required / per_iter))
-    ranked = number(df, keys, [z, *order], by=F.col(z), name="_rank", start=0)
+    ranked = number(df, keys, [z, *order], name="_rank", start=0)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     return ranked.join(sizes, list(keys)).where(
         F.col("_rank") >= F.floor(F.col("_n") * F.lit(fraction))).drop("_rank", "_n")

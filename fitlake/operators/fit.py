@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fitlake.functions import rng
 from fitlake.functions.scalars import total
 from fitlake.operators.distributions import discard_lowest, high_probability
-from fitlake.operators.ordered import CHUNK, frames, hot_rows, number
+from fitlake.operators.ordered import CHUNK, frames, chunk_rows, number
 from fitlake.operators.series import batch_rows
 from fitlake.session import checkpoint_dir, written
 
@@ -183,7 +183,7 @@ def latent_updates(df: DataFrame, keys: Sequence[str], latents: Sequence[str],
     sequence local to a chunk: all updates share one shuffle and one sort.
     """
     n = len(rules)
-    size = max(hot_rows(df), 2 * n)
+    size = max(chunk_rows(df), 2 * n)
     here, within = F.floor(F.col("k") / size), F.pmod(F.col("k"), F.lit(size))
     copies = F.array_compact(F.array(here, F.when(within >= size - n, here + 1),
                                      F.when((within < n) & (here > 0), here - 1)))
@@ -302,7 +302,7 @@ def densify(
         high = high_probability(kept, ["_all"], "score", F.lit(boundary))
         n = high.count()
         converged = n >= required
-        ranked = number(high, ["_all"], ["score", *key], by=F.col("score"), name="_nr", start=0)
+        ranked = number(high, ["_all"], ["score", *key], name="_nr", start=0)
         pick = F.floor(rng.uniform(seed, number_of, "centre") * n)
         at = ranked.where(F.col("_nr") == pick).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
         number_of += 1

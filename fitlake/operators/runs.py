@@ -89,8 +89,7 @@ def set_labels(df: DataFrame, params: Column, seen: str, prefix: str = "Λ") ->
     first = (df.withColumn("_full", labels.digest(params, 64)).groupBy("_full")
              .agg(F.min(seen).alias("first_seen"), F.count("*").alias("n_runs"))
              .withColumn("_all", F.lit(0)))
-    ranked = number(first, ["_all"], ["first_seen", "_full"], by=F.col("first_seen"), name="nr",
-                    start=1)
+    ranked = number(first, ["_all"], ["first_seen", "_full"], name="nr", start=1)
     return ranked.select(F.substring("_full", 1, 10).alias("digest"), "first_seen", "n_runs",
                          F.concat(F.lit(prefix), F.col("nr").cast("string")).alias("label"))
 

@@ -37,7 +37,7 @@ def draw_trials(trials: DataFrame, key: str, n: int, stream: int | str = 0,
     numeric = isinstance(listed.schema[key].dataType, NumericType)
     by = F.col(key) if numeric else F.crc32(F.col(key).cast("string").cast("binary"))
     placed = number(listed.withColumns({"_all": F.lit(0), "_by": by}), ["_all"], ["_by", key],
-                    by=F.col("_by"), name="position", start=0).drop("_all", "_by")
+                    name="position", start=0).drop("_all", "_by")
     draws = trials.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn(
         "position", F.floor(rng.uniform(stream, F.col("draw")) * total))
     return draws.join(placed, "position").drop("position")

@@ -230,7 +230,7 @@ FROM d JOIN t USING (a_id, b_id) WHERE gap IS NULL OR gap > 6""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     keys = ["lang", "n_chars"]
-    placed = number(docs.select("doc_id", *keys), keys, ["doc_id"], by=F.col("doc_id"))
+    placed = number(docs.select("doc_id", *keys), keys, ["doc_id"])
     pairs = frames(placed, keys, "k", {"a_id": lambda w: F.lag("doc_id").over(w)}, before=1).where(
         "a_id IS NOT NULL").select("a_id", F.col("doc_id").alias("b_id"))
     texts = docs.select("doc_id", "text")

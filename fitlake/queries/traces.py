@@ -81,7 +81,7 @@ WITH e AS (SELECT user_id AS trial, event_id, event_type AS name,
   lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
 SELECT trial, event_id, name FROM e WHERE prev IS NULL OR prev <> name""")
 def _(spark, sf):
-    arrivals = number(irregular(spark, sf), ["trial"], ["t", "event_id"], by=F.col("t"))
+    arrivals = number(irregular(spark, sf), ["trial"], ["t", "event_id"])
     return T.without_repeats(arrivals, ["trial"], "k", ["name"]).select("trial", "event_id", "name")
 
 

@@ -30,8 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = number(table(spark, sf_dir, "lineitem"), ["l_suppkey"], LINE_ORDER,
-                   by=F.col("l_shipdate"), name="k", start=0)
+    lines = number(table(spark, sf_dir, "lineitem"), ["l_suppkey"], LINE_ORDER, name="k", start=0)
     return lines.select(
         F.col("l_suppkey").alias("trial"), "k",
         *[(F.col(source) + 0.0).alias(name) for name, source in COMPONENTS.items()])
@@ -47,7 +46,7 @@ def irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str, with_nan: bool = False) -> DataFrame:
     orders = number(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"],
-                    by=F.col("o_orderdate"), name="step", start=1)
+                    name="step", start=1)
     value = F.col("o_totalprice")
     if with_nan:
         value = F.when(F.col("o_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(value)

@@ -16,6 +16,6 @@ def spark():
 @pytest.fixture
 def tiny_chunks(spark):
     """Cut every run into chunks of a few rows, as a very long run would be."""
-    spark.conf.set("spark.fitlake.hotRows", "7")
+    spark.conf.set("spark.fitlake.chunkRows", "7")
     yield 7
-    spark.conf.unset("spark.fitlake.hotRows")
+    spark.conf.unset("spark.fitlake.chunkRows")

@@ -19,11 +19,11 @@ def df(spark, samples):
 
 @pytest.mark.parametrize("rows", ["4000000", "50"])
 def test_histograms_equal_numpy(spark, df, samples, rows):
-    spark.conf.set("spark.fitlake.hotRows", rows)
+    spark.conf.set("spark.fitlake.chunkRows", rows)
     try:
         got = D.histogram(df, ["key"], "v").toPandas()
     finally:
-        spark.conf.unset("spark.fitlake.hotRows")
+        spark.conf.unset("spark.fitlake.chunkRows")
     for key in "abc":
         freq, edges = np.histogram(samples[key], bins="auto")
         mine = got[got["key"] == key].set_index("bin")

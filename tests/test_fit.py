@@ -111,12 +111,12 @@ def numpy_gradient(x, y, model, dynamics=True):
 @pytest.mark.parametrize("rows", ["1000000", "13"])
 def test_latent_passes_equal_numpy(spark, df, paths, rows):
     model = T.LatentModel([1.0, -0.5], [0.3, 0.2], [1.0, 2.0], W, DT)
-    spark.conf.set("spark.fitlake.hotRows", rows)
+    spark.conf.set("spark.fitlake.chunkRows", rows)
     try:
         out = T.latent_updates(df, ["trial"], ["x2", "x3"], ["y0", "y1"], model,
                                {"x2": 1e-3, "x3": 2e-3}, T.full_trace_rules(4)).toPandas()
     finally:
-        spark.conf.unset("spark.fitlake.hotRows")
+        spark.conf.unset("spark.fitlake.chunkRows")
     assert len(out) == 1200
     for trial, (x, y) in paths.items():
         x = x.copy()

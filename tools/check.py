@@ -25,7 +25,7 @@ def main():
     registry.load_all()
     spark = local_session()
     if a.r:
-        spark.conf.set("spark.fitlake.hotRows", a.r)
+        spark.conf.set("spark.fitlake.chunkRows", a.r)
     con = duck(sf_dir)
     fails = 0
     for name, build in registry.QUERIES.items():
