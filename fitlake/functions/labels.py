@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 EMPTY = "∅"
 
 
+def _marked(text: Column) -> Column:
+    """A field that no separator or missing value can pass for another."""
+    for mark in ("\\", ";", "="):
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return F.coalesce(text, F.lit("\\N"))
+
+
 def digest(params: Column, length: int = 10) -> Column:
-    """Order-independent short digest of a ``map<string,string>``."""
+    """Order-independent short digest of a ``map<string,string>``.
+
+    Separators inside a key or value are escaped and a null value is a value of its own, so different sets have different
+    texts. A null map has no digest.
+    """
     pairs = F.transform(F.array_sort(F.map_keys(params)),
-                        lambda key: F.concat(key, F.lit("="), F.element_at(params, key)))
-    return F.substring(F.sha2(F.concat_ws(";", pairs), 256), 1, length)
+                        lambda key: F.concat(_marked(key), F.lit("="), _marked(F.element_at(params, key))))
+    return F.substring(F.sha2(F.array_join(pairs, ";"), 256), 1, length)
 
 
 def trial_label(*parts: Column) -> Column:

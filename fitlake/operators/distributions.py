@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitlake.functions.scalars import normal_pdf
+from fitlake.functions import families
 from fitlake.operators.ordered import count_values, counted_summary, number
 from fitlake.operators.tags import resolve
 
@@ -129,11 +128,23 @@ def objective_marginal(df: DataFrame, keys: Sequence[str], value: str, logp: str
         *keys, "bin", "center", (F.col("p") / F.col("_area")).alias("p"), note.alias("warning"))
 
 
-def at_least_truth(df: DataFrame, key: str, logp: str, truth: Column, digits: int) -> DataFrame:
-    """Points no less likely than the true one of their key; the true one is ranked 0."""
-    gt = df.where(truth).groupBy(key).agg(F.max(logp).alias("_gt"))
-    return (df.join(gt, key).where((F.col(logp) >= F.col("_gt")) | truth)
-            .withColumns({"is_truth": truth, logp: F.round(logp, digits)}).drop("_gt"))
+def usable(score: Column) -> Column:
+    """A score that can be compared: neither null, NaN nor plus infinity. Minus infinity is a probability of zero."""
+    return score.isNotNull() & ~F.isnan(score) & (score < float("inf"))
+
+
+def at_least_truth(df: DataFrame, key: str, logp: str, truth: Column, digits: int, order: Sequence[str] = ()) -> DataFrame:
+    """Points no less likely than the true one of their key, with their ``rank``: the true one 0, then by descending score.
+
+    Ties go by the columns ``order``. Points with a score that cannot be compared are left out, and so are keys whose
+    true point has none.
+    """
+    good = df.where(usable(F.col(logp)))
+    gt = good.where(truth).groupBy(key).agg(F.max(logp).alias("_gt"))
+    kept = good.join(gt, key).where((F.col(logp) >= F.col("_gt")) | truth).withColumns({
+        "is_truth": truth, "_behind": ~truth, "_down": -F.col(logp)})
+    ranked = number(kept, [key], ["_behind", "_down", *order], name="rank")
+    return ranked.withColumn(logp, F.round(logp, digits)).drop("_gt", "_behind", "_down")
 
 
 def threshold(df: DataFrame, z: str, zmin: float = float("-inf"),
@@ -142,27 +153,37 @@ def threshold(df: DataFrame, z: str, zmin: float = float("-inf"),
 
 
 def high_probability(df: DataFrame, keys: Sequence[str], z: str, boundary: Column) -> DataFrame:
-    """Points whose probability relative to the best of their key reaches ``boundary``."""
-    best = df.groupBy(*keys).agg(F.max(z).alias("_best"))
-    return df.join(best, list(keys)).where(F.col(z) - F.col("_best") >= F.ln(boundary)).drop("_best")
+    """Points whose probability relative to the best of their key reaches ``boundary``.
+
+    Scores that cannot be compared (null, NaN, plus infinity) are no points and no best.
+    """
+    good = df.where(usable(F.col(z)))
+    best = good.groupBy(*keys).agg(F.max(z).alias("_best"))
+    near = (F.col("_best") > float("-inf")) & (F.col(z) - F.col("_best") >= F.ln(boundary))
+    return good.join(best, list(keys)).where(near).drop("_best")
 
 
 def discard_lowest(df: DataFrame, keys: Sequence[str], z: str, order: Sequence[str],
                    fraction: float, required: int, per_iter: int) -> DataFrame:
-    """Drop the ``int(fraction * n)`` lowest points; the fraction is capped so enough remain."""
+    """Drop the ``int(fraction * n)`` lowest points; the fraction is capped so enough remain.
+
+    Scores that cannot be compared are the lowest of all.
+    """
     fraction = min(fraction, 1 / (1 + required / per_iter))
-    ranked = number(df, keys, [z, *order], name="_rank", start=0)
+    placed = df.withColumn("_z", F.when(usable(F.col(z)), F.col(z)))  # nulls come first
+    ranked = number(placed, keys, ["_z", *order], name="_rank", start=0)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     return ranked.join(sizes, list(keys)).where(
-        F.col("_rank") >= F.floor(F.col("_n") * F.lit(fraction))).drop("_rank", "_n")
+        F.col("_rank") >= F.floor(F.col("_n") * F.lit(fraction))).drop("_rank", "_n", "_z")
 
 
 def extreme_points(df: DataFrame, keys: Sequence[str], z: str, point: Sequence[str],
                    tie: str) -> DataFrame:
-    """Points of the highest and the lowest value; of equals, the lowest ``tie``."""
+    """Points of the highest and the lowest score that can be compared; of equals, the lowest ``tie``."""
+    good = df.where(usable(F.col(z)))
     top = F.max_by(F.struct(*point, z), F.struct(z, -F.col(tie)))
     low = F.min_by(F.struct(*point, z), F.struct(z, tie))
-    out = df.groupBy(*keys).agg(top.alias("_t"), low.alias("_l"))
+    out = good.groupBy(*keys).agg(top.alias("_t"), low.alias("_l"))
     return out.select(*keys, *[F.col(f"_t.{c}").alias(f"argmax_{c}") for c in [*point, z]],
                       *[F.col(f"_l.{c}").alias(f"argmin_{c}") for c in [*point, z]])
 
@@ -217,14 +238,21 @@ def compose_prior(priors: DataFrame, selectors: Mapping[str, Sequence[str]],
 
 
 def truth_in_prior(df: DataFrame, keys: Sequence[str], points: int = 100) -> DataFrame:
-    """Density of a normal prior (mu, sigma) between its 5 % and 95 % quantiles, the range
-    widened to show the true value ``v``."""
-    z = NormalDist().inv_cdf(0.95)
-    mu, sigma, v = F.col("mu"), F.col("sigma"), F.col("v")
-    low, high = mu - z * sigma, mu + z * sigma
-    df = df.withColumns({"_lo": F.when(v < low, v - 0.05 * (high - v)).otherwise(low), "_h": high})
-    df = df.withColumn("_hi", F.when(v > F.col("_h"), v + 0.05 * (v - F.col("_lo")))
-                       .otherwise(F.col("_h")))
-    grid = df.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+    """Density of a prior on ``points`` places of its range, the range widened to show the true value ``v``.
+
+    ``df`` has the columns of ``functions.families`` (dist, a, b, lo, hi) and ``v``. The range runs between the ends of the
+    support; where there is none, from the 5 % or to the 95 % quantile. Counts are shown at the whole number below a place.
+    """
+    dist, names = F.col("dist"), families.used(df)
+    low, high = families.support(dist, names=names)
+    ends = df.withColumns({"_l": low, "_h": high})
+    ends = ends.withColumns({
+        "_l": F.when(F.col("_l") == float("-inf"), families.quantile(0.05, dist, names=names)).otherwise(F.col("_l")),
+        "_h": F.when(F.col("_h") == float("inf"), families.quantile(0.95, dist, names=names)).otherwise(F.col("_h"))})
+    v, low, high = F.col("v"), F.col("_l"), F.col("_h")
+    ends = ends.withColumn("_lo", F.when(v < low, v - 0.05 * (high - v)).otherwise(low))
+    ends = ends.withColumn("_hi", F.when(v > high, v + 0.05 * (v - F.col("_lo"))).otherwise(high))
+    grid = ends.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("j") / (points - 1))
-    return grid.select(*keys, "j", "x", normal_pdf(F.col("x"), mu, sigma).alias("pdf"))
+    grid = grid.withColumn("x", F.when(dist == "poisson", F.floor("x").cast("double")).otherwise(F.col("x")))
+    return grid.select(*keys, "j", "x", F.exp(families.log_density(F.col("x"), dist, names=names)).alias("pdf"))

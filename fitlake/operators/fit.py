@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from fitlake.functions import rng
 from fitlake.functions.scalars import total
-from fitlake.operators.distributions import discard_lowest, high_probability
-from fitlake.operators.ordered import CHUNK, frames, chunk_rows, number
+from fitlake.operators.distributions import discard_lowest, high_probability, usable
+from fitlake.operators.ordered import CHUNK, chunk_rows, frames, number
 from fitlake.operators.series import batch_rows
 from fitlake.session import checkpoint_dir, written
 
@@ -262,7 +262,7 @@ def remove_degeneracies(weights: DataFrame, comps: DataFrame, n_comps: int) -> t
 def densify(
     df: DataFrame, names: Sequence[str], lp: Callable[[Sequence[Column]], Column], centre: Sequence[float],
     spread: Sequence[float], per_round: int, required: int, boundary: float = 0.01, shrink: float = 0.6,
-    discard: float = 0.5, most_rounds: int | None = None, seed: int = 0,
+    discard: float = 0.5, most_rounds: int | None = None, seed: int = 0, patience: int = 3,
 ) -> DataFrame:
     """Fill the region of high probability with points, round by round.
 
@@ -270,7 +270,9 @@ def densify(
     the centre, scores them all in one pass over ``df`` (``lp`` gives a row's score for coordinates
     in the columns ``names``), drops the lowest share of what is kept, and takes one of the points
     whose probability is at least ``boundary`` times the best as the next centre. It ends
-    once ``required`` points are that probable, or after ``most_rounds``.
+    once ``required`` points are that probable, or after ``most_rounds``. Scores that cannot be compared (null, NaN, plus
+    infinity) count as the lowest. A round stalls if no score can be compared, if all of them are equal, or if neither
+    the best score nor the number of probable points grew; after ``patience`` such rounds on end the search ends, not converged.
 
     Returns round, draw, the coordinates, ``score``, ``high`` and ``converged`` of every point.
     Points live in tables of the shared folder; draws are hashes of (seed, round, draw, axis).
@@ -281,8 +283,8 @@ def densify(
     key = ["round", "draw"]
     at = spark.range(1).select(*[F.lit(float(c)).alias(f"_c{i}") for i, c in enumerate(centre)])
     seen = kept = None
-    number_of, converged = 0, False
-    while not converged and (most_rounds is None or number_of < most_rounds):
+    number_of, converged, stalled, last = 0, False, 0, (-math.inf, 0)
+    while not converged and stalled < patience and (most_rounds is None or number_of < most_rounds):
         width = [float(w) * shrink**number_of for w in spread]
         drawn = at.select(F.explode(F.sequence(F.lit(0), F.lit(per_round - 1))).alias("draw"), "*").select(
             F.lit(number_of).alias("round"), "draw",
@@ -300,12 +302,19 @@ def densify(
         pool = pool.withColumn("_all", F.lit(0))
         kept = written(discard_lowest(pool, ["_all"], "score", key, discard, required, per_round), "kept")
         high = high_probability(kept, ["_all"], "score", F.lit(boundary))
-        n = high.count()
-        converged = n >= required
+        n, best = high.agg(F.count("*"), F.max("score")).first()
+        lowest = kept.where(usable(F.col("score"))).agg(F.min("score")).first()[0]
+        flat = n > 1 and lowest == best
+        converged = n >= required and not flat
+        grew = n > 0 and not flat and (best > last[0] or n > last[1])
+        stalled = 0 if grew else stalled + 1
+        last = (best, n) if n else last
         ranked = number(high, ["_all"], ["score", *key], name="_nr", start=0)
         pick = F.floor(rng.uniform(seed, number_of, "centre") * n)
-        at = ranked.where(F.col("_nr") == pick).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+        if n:  # else the next round starts from the same centre
+            at = ranked.where(F.col("_nr") == pick).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
         number_of += 1
-    best = seen.agg(F.max("score")).scalar()
-    return seen.withColumns({"high": F.col("score") - best >= math.log(boundary),
+    best = seen.where(usable(F.col("score"))).agg(F.max("score")).scalar()
+    return seen.withColumns({"high": usable(F.col("score")) & F.coalesce(
+        F.col("score") - best >= math.log(boundary), F.lit(False)),
                              "converged": F.lit(converged)})

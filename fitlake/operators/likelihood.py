@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitlake.functions import families
 from fitlake.operators.ordered import frames, running
 
 
@@ -26,10 +27,31 @@ def segment_scores(df: DataFrame, keys: Sequence[str], terms: Mapping[str, Colum
     return df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in terms.items()])
 
 
-def mean_score(df: DataFrame, keys: Sequence[str], lp: Column, k0: int, K: int) -> DataFrame:
-    """Log-likelihood per time point of the K bins from ``k0`` on."""
+def mean_score(df: DataFrame, keys: Sequence[str], lp: Column, k0: int, K: int,
+               prior: DataFrame | None = None) -> DataFrame:
+    """Log-likelihood per time point of the K bins from ``k0`` on.
+
+    ``prior`` (keys, log_prior, n_bins) adds the share of the log prior that these bins have among all
+    ``n_bins`` of the series; keys without a prior drop out.
+    """
     part = df.where((F.col("k") >= k0) & (F.col("k") < k0 + K))
-    return part.groupBy(*keys).agg((F.sum(lp) / K).alias("mean_logp"))
+    sums = part.groupBy(*keys).agg(F.sum(lp).alias("_lp"))
+    if prior is None:
+        return sums.select(*keys, (F.col("_lp") / K).alias("mean_logp"))
+    share = F.col("log_prior") * K / F.col("n_bins")
+    return sums.join(prior, list(keys)).select(*keys, ((F.col("_lp") + share) / K).alias("mean_logp"))
+
+
+def log_prior(values: DataFrame, priors: DataFrame, keys: Sequence[str], on: Sequence[str] = ("param",)) -> DataFrame:
+    """Log prior of each set: the log densities of its ``value`` under the priors of ``on`` (dist, a, b, lo, hi), summed.
+
+    Any distribution of ``functions.families``. Values outside a support give minus infinity, null values a null sum;
+    values without a prior do not count.
+    """
+    found = values.join(priors, list(on)).withColumn("_lp", families.log_density(
+        F.col("value"), F.col("dist"), names=families.used(priors)))
+    missing = F.max(F.col("_lp").isNull())
+    return found.groupBy(*keys).agg(F.when(~missing, F.sum("_lp")).alias("log_prior"), F.count("*").alias("n_params"))
 
 
 def partial_scores(df: DataFrame, key: str, lp: Column, starts: Sequence[int],
@@ -54,7 +76,8 @@ def better_than_truth(df: DataFrame, key: str, truth: Column, candidates: Sequen
     """Per prefix length, how many candidate parameter sets score above the true one.
 
     Bins are summed between successive lengths first; the prefix sums then run over that short
-    table. The whole length of a series is always the last prefix; longer ones are left out. ``as_coded`` divides the candidates by the full length instead of the prefix.
+    table. The whole length of a series is always the last prefix; longer ones are left out.
+    ``as_coded`` divides the candidates by the full length instead of the prefix.
     """
     grid = sorted(grid)
     slot = F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g <= F.col("k")))
@@ -88,6 +111,15 @@ def stationary(df: DataFrame, value: str, k0: int, keys: Sequence[str]) -> DataF
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+def stationary_beside(df: DataFrame, value: str, k0: int, keys: Sequence[str], params: DataFrame, model: Column,
+                      dt: float) -> DataFrame:
+    """Empirical mean and standard deviation after the transient, beside the analytic ones of the keys' parameters."""
+    found = stationary(df, value, k0, keys)
+    known = analytic_stationary(params, model, dt).select(*keys, "stat_mean", "stat_std")
+    return found.join(known, list(keys)).withColumns({
+        "mean_error": F.col("mean") - F.col("stat_mean"), "std_ratio": F.col("std") / F.col("stat_std")})
+
+
 # Stationary mean and standard deviation of the three processes.
 STATIONARY = {
     "white noise": lambda mu, sigma, tau, dt: (mu, sigma / F.sqrt(dt)),

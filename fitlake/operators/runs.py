@@ -170,5 +170,7 @@ def select_frames(
     for name, values in include.items():
         df = df.where(F.col(name).isin(list(values)))
     for name, values in exclude.items():
-        df = df.where(~F.col(name).isin(list(values)))
+        # a row without the dimension is not one of the excluded, unless null is among them
+        listed = F.col(name).isin([v for v in values if v is not None])
+        df = df.where(~F.coalesce(listed, F.lit(None in values)))
     return df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from fitlake.functions import rng
+from fitlake.functions import families, rng
 from fitlake.operators.ordered import number
 
 
@@ -178,7 +178,7 @@ def prior_samples(priors: DataFrame, n: int, stream: int | str = 0) -> DataFrame
 
     ``priors`` has one row per (param, comp) with dist, a, b. A Dirichlet(1) component is an
     exponential divided by the sum over the components of its parameter and draw. ``truncnorm`` is a
-    normal between the columns ``lo`` and ``hi``, drawn again until inside; ``uniform`` runs from a to b,
+    normal between the columns ``lo`` and ``hi``, drawn by its quantile function; ``uniform`` runs from a to b,
     ``exponential`` has the scale a. Any other distribution is an error when it is read.
     """
     rows = priors.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -191,7 +191,8 @@ def prior_samples(priors: DataFrame, n: int, stream: int | str = 0) -> DataFrame
            .when(F.col("dist") == "uniform", F.col("a") + (F.col("b") - F.col("a")) * rng.uniform(*key))
            .when(F.col("dist") == "exponential", F.col("a") * rng.exponential(*key)))
     if {"lo", "hi"} <= set(priors.columns):
-        raw = raw.when(F.col("dist") == "truncnorm", _between(key, F.col("lo"), F.col("hi")))
+        raw = raw.when(F.col("dist") == "truncnorm", families.quantile(
+            rng.uniform(*key), F.lit("truncnorm"), names=["truncnorm"]))
     raw = raw.otherwise(F.raise_error(F.concat(F.lit("unknown distribution "), F.col("dist"))).cast("double"))
     drawn = rows.withColumn("value", raw)
     shares = (drawn.where("dist = 'dirichlet'").groupBy("param", "draw")
@@ -203,15 +204,6 @@ def prior_samples(priors: DataFrame, n: int, stream: int | str = 0) -> DataFrame
             .withColumn("optim_value", optim).drop("_sum"))
 
 
-def _between(key: Sequence, lo: Column, hi: Column, tries: int = 64) -> Column:
-    """Normal draw inside bounds: the first of ``tries`` draws inside, else the bound nearest to the
-    mean; for bounds that hold a tenth of the normal, that happens once in 800 draws."""
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)),
-                        lambda i: F.col("a") + F.col("b") * rng.normal(*key, i))
-    inside = F.filter(drawn, lambda v: v.between(lo, hi))
-    return F.coalesce(F.get(inside, 0), F.least(F.greatest(F.col("a"), lo), hi))
-
-
 def key_conflicts(keys: DataFrame, key: str) -> DataFrame:
     """Random-stream keys used twice, and keys that are an ancestor of a used key.
 

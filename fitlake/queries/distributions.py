@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from fitlake.functions import families
 from fitlake.operators import distributions as D
 from fitlake.operators.ordered import frames, number
 from fitlake.queries.common import SERIES
@@ -106,6 +107,52 @@ def _(spark, sf):
         F.round("optim_value", 8).alias("optim_value"))
 
 
+def poly_sql(x: str, powers) -> str:
+    """Polynomial of a column, highest power last."""
+    out = f"{powers[-1]!r}::DOUBLE"
+    for c in reversed(powers[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def ratio_sql(x: str, table) -> str:
+    return f"{poly_sql(x, table[0])} / {poly_sql(x, table[1])}"
+
+
+#: Normal quantile z of the column p of a table ``s``.
+NORMAL_SQL = f"""q AS (SELECT *, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) - 1.6 AS r
+  FROM s),
+z AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {ratio_sql("c", families.QUANTILE_MIDDLE)}
+  ELSE sign(q) * {ratio_sql("r", families.QUANTILE_TAIL)} END AS z FROM q)"""
+
+BELOW, ABOVE = NormalDist().cdf(-1.0), NormalDist().cdf(2.0)
+
+
+@query("smp8_truncated_prior_samples", f"""
+WITH t AS (SELECT 'n' || n_nationkey AS param, n_nationkey / 10e0 AS a, (n_nationkey % 4 + 1) / 4e0 AS b, d::INTEGER AS draw
+  FROM nation, range(40) r(d)),
+s AS (SELECT *, {BELOW!r} + {UNIFORM.format("'20201115:cut:' || param || ':0:' || draw")} * ({ABOVE!r} - {BELOW!r}) AS p FROM t),
+{NORMAL_SQL}
+SELECT param, draw, round(a + b * z, 7) AS value FROM z""")
+def _(spark, sf):
+    from fitlake.operators.sampling import prior_samples
+    a, b = F.col("n_nationkey") / 10, (F.col("n_nationkey") % 4 + 1) / 4
+    cut = table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey")).alias("param"), F.lit(0).alias("comp"),
+        F.lit("truncnorm").alias("dist"), a.alias("a"), b.alias("b"), (a - b).alias("lo"), (a + 2 * b).alias("hi"))
+    return prior_samples(cut, 40, "cut").select("param", "draw", F.round("value", 7).alias("value"))
+
+
+@query("scl4_normal_quantile", f"""
+WITH s AS (SELECT o_orderkey, (o_orderkey % 9973 + 0.5) / 9973e0 AS p FROM orders), {NORMAL_SQL}
+SELECT o_orderkey, round(z, 10) AS z, round(p, 10) AS back FROM z""")
+def _(spark, sf):
+    p = (F.col("o_orderkey") % 9973 + 0.5) / 9973
+    z = families.normal_quantile(p)
+    return table(spark, sf, "orders").select("o_orderkey", z.alias("z")).select(
+        "o_orderkey", F.round("z", 10).alias("z"), F.round(families.normal_cdf(F.col("z")), 10).alias("back"))
+
+
 @query("dist3_prior_marginals", f"""
 WITH {draws_sql(1000)}, src AS (SELECT param || '_' || comp AS key, value AS v FROM draws WHERE dist <> 'constant'),
 {hist_sql("src")}, {TRUNC}, {hist_sql("src", "tb", "2")}
@@ -151,12 +198,14 @@ def _(spark, sf):
 
 
 @query("dist6_at_least_as_likely_as_truth", f"""
-WITH {SERIES}, l AS (SELECT trial, k, -abs(x1 - 50000) / 1000 AS lp FROM series),
+WITH {SERIES}, l AS MATERIALIZED (SELECT trial, k, -abs(x1 - 50000) / 1000 AS lp FROM series),
 t AS (SELECT trial, lp AS gt FROM l WHERE k = 7)
-SELECT trial, k, round(lp, 7) AS lp, k = 7 AS is_truth FROM l JOIN t USING (trial) WHERE lp >= gt""")
+SELECT trial, k, round(lp, 7) AS lp, k = 7 AS is_truth,
+       row_number() OVER (PARTITION BY trial ORDER BY k <> 7, lp DESC, k) - 1 AS rank
+FROM l JOIN t USING (trial) WHERE lp >= gt""")
 def _(spark, sf):
     df = series(spark, sf).select("trial", "k", (-F.abs(F.col("x1") - 50000) / 1000).alias("lp"))
-    return D.at_least_truth(df, "trial", "lp", F.col("k") == 7, 7)
+    return D.at_least_truth(df, "trial", "lp", F.col("k") == 7, 7, ["k"])
 
 
 def points(spark, sf):
@@ -198,6 +247,44 @@ def _(spark, sf):
     return D.discard_lowest(points(spark, sf), ["grp"], "z", ["p_partkey"], 0.5, 30, 5)
 
 
+ODD = """odd AS (SELECT p_partkey, grp, x, y, CASE p_partkey % 9 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN NULL
+  WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN '-Infinity'::DOUBLE ELSE z END AS z FROM points),
+good AS (SELECT * FROM odd WHERE z < 'Infinity'::DOUBLE)"""  # NaN is above infinity in SQL too
+
+
+def odd_points(spark, sf):
+    """Points of which some have no score, or one that is not finite."""
+    kind = F.col("p_partkey") % 9
+    return points(spark, sf).withColumn(
+        "z", F.when(kind == 0, float("nan")).when(kind == 1, None).when(kind == 2, float("inf"))
+        .when(kind == 3, float("-inf")).otherwise(F.col("z")))
+
+
+@query("dist8_scores_not_finite", f"""
+WITH {POINTS}, {ODD}, m AS (SELECT grp, max(z) AS best FROM good GROUP BY grp)
+SELECT good.* FROM good JOIN m USING (grp) WHERE z > '-Infinity'::DOUBLE AND z - best >= ln(1e-20::DOUBLE)""")
+def _(spark, sf):
+    return D.high_probability(odd_points(spark, sf), ["grp"], "z", F.lit(1e-20))
+
+
+@query("sort3_scores_not_finite", f"""
+WITH {POINTS}, {ODD}, a AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, p_partkey) AS t,
+                     row_number() OVER (PARTITION BY grp ORDER BY z, p_partkey) AS l FROM good)
+SELECT a.grp, a.x AS argmax_x, a.y AS argmax_y, b.x AS argmin_x, b.y AS argmin_y
+FROM a JOIN a b ON a.grp = b.grp WHERE a.t = 1 AND b.l = 1""")
+def _(spark, sf):
+    out = D.extreme_points(odd_points(spark, sf), ["grp"], "z", ["x", "y"], "p_partkey")
+    return out.drop("argmax_z", "argmin_z")
+
+
+@query("sort4_scores_not_finite", f"""
+WITH {POINTS}, {ODD}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY
+    CASE WHEN z < 'Infinity'::DOUBLE THEN z END NULLS FIRST, p_partkey) - 1 AS rn, count(*) OVER (PARTITION BY grp) AS n FROM odd)
+SELECT p_partkey, grp, x, y FROM r WHERE rn >= floor(n * (1 / (1 + 30 / 5e0)))""")
+def _(spark, sf):
+    return D.discard_lowest(odd_points(spark, sf), ["grp"], "z", ["p_partkey"], 0.5, 30, 5).drop("z")
+
+
 @query("dist9_cached_evaluation", f"""
 WITH {POINTS} SELECT p_partkey, x, y, z FROM points""")
 def _(spark, sf):
@@ -252,7 +339,38 @@ SELECT p_partkey, j::INTEGER AS j, round(lo + (hi - lo) * j / 99, 6) AS x,
 FROM c, range(100) r(j)""")
 def _(spark, sf):
     df = table(spark, sf, "part").select(
-        "p_partkey", F.col("p_size").cast("double").alias("mu"), F.lit(2.0).alias("sigma"),
+        "p_partkey", F.lit("normal").alias("dist"), F.col("p_size").cast("double").alias("a"), F.lit(2.0).alias("b"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
         (F.col("p_retailprice") / 100).alias("v"))
     return D.truth_in_prior(df, ["p_partkey"], 100).select(
         "p_partkey", "j", F.round("x", 6).alias("x"), F.round("pdf", 9).alias("pdf"))
+
+
+KINDS = ("lognormal", "uniform", "exponential", "truncnorm")
+
+
+@query("dist13_truth_in_any_prior", f"""
+WITH p AS (SELECT p_partkey, p_partkey % 4 AS kind, p_retailprice / 100 AS v,
+    CASE p_partkey % 4 WHEN 0 THEN p_size / 20e0 ELSE p_size::DOUBLE END AS a,
+    CASE p_partkey % 4 WHEN 0 THEN 0.5e0 WHEN 1 THEN p_size + 4e0 ELSE 2e0 END AS b FROM part),
+e AS (SELECT *, CASE kind WHEN 1 THEN a WHEN 3 THEN a - b ELSE 0 END AS l,
+    CASE kind WHEN 0 THEN exp(a + {Z!r} * b) WHEN 1 THEN b WHEN 2 THEN -a * ln(0.05e0) ELSE a + 2 * b END AS h FROM p),
+c AS (SELECT *, CASE WHEN v < l THEN v - 0.05 * (h - v) ELSE l END AS lo FROM e),
+d AS (SELECT *, CASE WHEN v > h THEN v + 0.05 * (v - lo) ELSE h END AS hi FROM c),
+g AS (SELECT *, lo + (hi - lo) * j / 49 AS x FROM d, range(50) r(j))
+SELECT p_partkey, j::INTEGER AS j, round(x, 6) AS x, round(CASE
+    WHEN kind = 0 AND x > 0 THEN exp(-0.5 * pow((ln(x) - a) / b, 2)) / (x * b * sqrt(2 * pi()))
+    WHEN kind = 1 AND x >= a AND x <= b THEN 1 / (b - a) WHEN kind = 2 AND x >= 0 THEN exp(-x / a) / a
+    WHEN kind = 3 AND x >= l AND x <= h
+    THEN exp(-0.5 * pow((x - a) / b, 2)) / (b * sqrt(2 * pi())) / ({ABOVE!r} - {BELOW!r}) ELSE 0 END, 8) AS pdf
+FROM g""")
+def _(spark, sf):
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("double")
+    df = table(spark, sf, "part").select(
+        "p_partkey", F.get(F.array(*[F.lit(k) for k in KINDS]), kind.cast("int")).alias("dist"),
+        F.when(kind == 0, size / 20).otherwise(size).alias("a"),
+        F.when(kind == 0, 0.5).when(kind == 1, size + 4).otherwise(2.0).alias("b"),
+        (F.col("p_retailprice") / 100).alias("v"))
+    df = df.withColumns({"lo": F.col("a") - F.col("b"), "hi": F.col("a") + 2 * F.col("b")})
+    return D.truth_in_prior(df, ["p_partkey"], 50).select(
+        "p_partkey", "j", F.round("x", 6).alias("x"), F.round("pdf", 8).alias("pdf"))

@@ -187,3 +187,22 @@ def _(spark, sf):
     names = {"widget": "W", "ring": "R", "ECONOMY.red.widget": "Economy red widget"}
     return lookup_names(table(spark, sf, "part").select("p_partkey", key.alias("name")), names
                         ).select("p_partkey", "shown")
+
+
+@query("key1_digests_with_separators", r"""
+WITH p AS (SELECT p_partkey, p_brand, p_size, CASE WHEN p_size % 3 <> 0 THEN p_type END AS t FROM part),
+s AS (SELECT p_partkey, 'one' AS kind, 'a=' || p_brand || '\;b\=' || p_size AS txt FROM p
+  UNION ALL SELECT p_partkey, 'two', 'a=' || p_brand || ';b=' || p_size FROM p
+  UNION ALL SELECT p_partkey, 'three', 'a\=' || p_brand || '=\\' FROM p
+  UNION ALL SELECT p_partkey, 'four', 'a=' || p_brand || ';t=' || coalesce(t, '\N') FROM p
+  UNION ALL SELECT p_partkey, 'five', 'a=' || p_brand FROM p)
+SELECT p_partkey, kind, substr(sha256(txt), 1, 10) AS digest FROM s""")
+def _(spark, sf):
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    kind = F.when(F.col("p_size") % 3 != 0, F.col("p_type"))
+    sets = {"one": [F.lit("a"), F.concat(brand, F.lit(";b="), size)], "two": [F.lit("a"), brand, F.lit("b"), size],
+            "three": [F.concat(F.lit("a="), brand), F.lit("\\")], "four": [F.lit("a"), brand, F.lit("t"), kind],
+            "five": [F.lit("a"), brand]}
+    digests = [F.struct(F.lit(n).alias("kind"), L.digest(F.create_map(*pairs)).alias("digest"))
+               for n, pairs in sets.items()]
+    return table(spark, sf, "part").select("p_partkey", F.inline(F.array(*digests)))

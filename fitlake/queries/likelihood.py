@@ -217,6 +217,58 @@ def _(spark, sf):
                                            F.round(lp, 7).alias("log_prior"))
 
 
+@query("lik11_log_prior_of_families", f"""
+WITH v AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice AS r FROM part),
+t AS (SELECT p_partkey,
+  -0.5 * pow((ln(s) - 3) / 0.8e0, 2) - ln(0.8e0 * sqrt(2 * pi())) - ln(s)
+  - 0.5 * pow((r - 1000) / 300e0, 2) - ln(300e0 * sqrt(2 * pi()))
+  - ln(1200e0) - r / 1200 - ln(60e0)
+  - 0.5 * pow((s - 25) / 10e0, 2) - ln(10e0 * sqrt(2 * pi())) - ln({scalars.cdf(2.0) - scalars.cdf(-1.5)!r})
+  + s * ln(25e0) - 25 - lgamma(s + 1) AS lp, s BETWEEN 10 AND 45 AS possible FROM v)
+SELECT p_partkey AS set_id, possible, round(CASE WHEN possible THEN lp END, 7) AS log_prior, 6::BIGINT AS n_params FROM t""")
+def _(spark, sf):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    values = table(spark, sf, "part").select(F.col("p_partkey").alias("set_id"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("param"), v.alias("value")) for n, v in {
+            "log_size": size, "price": price, "scale": price, "range": size, "cut": size, "count": size}.items()])))
+    priors = spark.sql("""SELECT * FROM VALUES ('log_size', 'lognormal', 3D, 0.8D, null, null),
+        ('price', 'normal', 1000D, 300D, null, null), ('scale', 'exponential', 1200D, null, null, null),
+        ('range', 'uniform', 0D, 60D, null, null), ('cut', 'truncnorm', 25D, 10D, 10D, 45D),
+        ('count', 'poisson', 25D, null, null, null) AS t(param, dist, a, b, lo, hi)""")
+    out = K.log_prior(values, priors, ["set_id"])
+    possible = F.col("log_prior") > float("-inf")
+    return out.select("set_id", possible.alias("possible"), F.when(possible, F.round("log_prior", 7)).alias("log_prior"),
+                      "n_params")
+
+
+@query("agg16_mean_score_with_prior", f"""
+WITH {VIEW}, {LENGTHS}, s AS (
+  SELECT trial, sum({NOISE}) AS lp FROM v WHERE k >= 50 AND k < 450 GROUP BY trial)
+SELECT trial, round((lp + (-0.5 * pow((s_acctbal - 4000) / 3000e0, 2) - ln(3000e0 * sqrt(2 * pi()))) * 400 / n_bins) / 400, 7)
+       AS mean_logp
+FROM s JOIN lengths USING (trial) JOIN supplier ON s_suppkey = trial""")
+def _(spark, sf):
+    values = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("trial"), F.lit("bal").alias("param"), F.col("s_acctbal").alias("value"))
+    priors = spark.sql("SELECT 'bal' AS param, 'normal' AS dist, 4000D AS a, 3000D AS b, "
+                       "CAST(null AS DOUBLE) AS lo, CAST(null AS DOUBLE) AS hi")
+    prior = K.log_prior(values, priors, ["trial"]).join(lengths(spark, sf), "trial")
+    return rounded(K.mean_score(view(spark, sf), ["trial"], noise(), 50, 400, prior), mean_logp=7)
+
+
+@query("agg13_stationary_beside_analytic", f"""
+WITH {VIEW}, e AS (SELECT trial, avg(x2) AS mean, stddev_samp(x2) AS std FROM v WHERE k >= 100 GROUP BY trial),
+a AS (SELECT s_suppkey AS trial, s_nationkey / 500e0 AS m, exp(s_nationkey / 10e0 - 4) * sqrt(exp(0.3e0)) AS s FROM supplier)
+SELECT trial, round(mean, 9) AS mean, round(std, 9) AS std, round(m, 9) AS stat_mean, round(s, 9) AS stat_std,
+       round(mean - m, 9) AS mean_error, round(std / s, 8) AS std_ratio FROM e JOIN a USING (trial)""")
+def _(spark, sf):
+    params = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("trial"), (F.col("s_nationkey") / 500).alias("mu"),
+        (F.col("s_nationkey") / 10 - 4).alias("log_sigma"), F.lit(0.3).alias("log_tau"))
+    out = K.stationary_beside(view(spark, sf), "x2", 100, ["trial"], params, F.lit("OU"), DT)
+    return rounded(out, mean=9, std=9, stat_mean=9, stat_std=9, mean_error=9, std_ratio=8)
+
+
 @query("lik12_ground_truth_score", f"""
 WITH {VIEW}, n AS (SELECT s_suppkey AS trial, s_nationkey / 500e0 AS mu FROM supplier)
 SELECT trial, round(sum({NOISE.replace("x2 - 0.05", "x2 - mu")}) / count(*), 7) AS mean_logp

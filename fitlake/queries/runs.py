@@ -202,6 +202,14 @@ def _(spark, sf):
                            {"lam": ["n0", "n1"]}).select("run", "split", "lam").orderBy("run")
 
 
+@query("fil3_frames_without_the_dimension", f"""
+WITH {RUNS}, d AS (SELECT run, split, CASE WHEN run % 5 = 0 THEN NULL ELSE lam END AS lam FROM runs)
+SELECT run, split, lam FROM d WHERE split IN ('BUILDING', 'FURNITURE') AND (lam IS NULL OR lam NOT IN ('n0', 'n1'))""")
+def _(spark, sf):
+    df = runs(spark, sf).withColumn("lam", F.when(F.col("run") % 5 != 0, F.col("lam")))
+    return R.select_frames(df, {"split": ["BUILDING", "FURNITURE"]}, {"lam": ["n0", "n1"]}).select("run", "split", "lam")
+
+
 @query("join7_ground_truth_targets", f"""
 WITH {SERIES}, {RUNS}
 SELECT t.trial AS run, t.k AS step, t.x0 AS value, n.n_regionkey::DOUBLE * 10 AS target

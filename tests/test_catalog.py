@@ -145,3 +145,13 @@ def test_frames_without_latents_are_left_out(spark):
         got = select_frames(df, {"split": ["a"], "nowhere": [1]}, {})
     assert [r.run for r in got.collect()] == [2]
     assert select_frames(df, {"latents": [L.EMPTY]}, {}).count() == 1
+
+
+def test_digest_tells_separators_and_nulls_apart(spark):
+    def of(**params):
+        pairs = [x for k, v in params.items() for x in (F.lit(k), F.lit(v).cast("string"))]
+        return one(spark, L.digest(F.create_map(*pairs)))
+
+    sets = [{"a": "1;b=2"}, {"a": "1", "b": "2"}, {"a": "1\\;b=2"}, {"a": None}, {"a": "\\N"}, {"a": ""}, {"a=": ""},
+            {"a": "1", "b": None}, {"a": "1"}]
+    assert len({of(**s) for s in sets}) == len(sets)

@@ -81,3 +81,32 @@ def test_a_far_outlier_makes_no_empty_bins(spark):
 def test_few_samples_keep_their_range(spark):
     df = spark.range(40).select(F.lit("a").alias("key"), F.col("id").cast("double").alias("v"))
     assert D.truncated_histogram(df, ["key"], "v").agg(F.sum("freq")).first()[0] == 40
+
+
+SCORED = [("a", 1, 1.0), ("a", 2, -500.0), ("a", 3, float("nan")), ("a", 4, float("inf")), ("a", 5, None),
+          ("a", 6, float("-inf")), ("b", 7, float("nan")), ("c", 8, float("-inf"))]
+
+
+def test_scores_that_cannot_be_compared(spark):
+    df = spark.createDataFrame(SCORED, "key string, id int, z double")
+    high = D.high_probability(df, ["key"], "z", F.lit(0.01)).collect()
+    assert {(r.key, r.id) for r in high} == {("a", 1)}
+    ends = {r.key: (r.argmax_id, r.argmin_id) for r in D.extreme_points(df, ["key"], "z", ["id"], "id").collect()}
+    assert ends == {"a": (1, 6), "c": (8, 8)}
+    kept = D.discard_lowest(df.where("key = 'a'"), ["key"], "z", ["id"], 0.5, 6, 6).collect()
+    assert {r.id for r in kept} == {1, 2, 6}
+    ranked = D.at_least_truth(df, "key", "z", F.col("id").isin(2, 7), 3, ["id"]).collect()
+    assert {(r.id, r["rank"]) for r in ranked} == {(2, 0), (1, 1)}
+
+
+def test_priors_with_finite_ends_and_counts(spark):
+    rows = [("u", "uniform", 0.0, 2.0, None, None, 1.0), ("w", "uniform", 0.0, 2.0, None, None, 5.0),
+            ("c", "poisson", 3.0, None, None, None, 2.0), ("t", "truncnorm", 0.0, 1.0, 0.0, None, 0.5)]
+    df = spark.createDataFrame(rows, "p string, dist string, a double, b double, lo double, hi double, v double")
+    got = {}
+    for r in D.truth_in_prior(df, ["p"], 21).orderBy("p", "j").collect():
+        got.setdefault(r.p, []).append((r.x, r.pdf))
+    assert got["u"][0] == (0.0, 0.5) and got["u"][-1] == (2.0, 0.5)
+    assert got["w"][-1] == (5.25, 0.0)
+    assert {x for x, _ in got["c"]} == {float(k) for k in range(7)} and dict(got["c"])[3.0] == pytest.approx(0.22404180765)
+    assert got["t"][0] == (0.0, pytest.approx(0.7978845608)) and got["t"][-1][0] == pytest.approx(1.9599639845)

@@ -192,3 +192,22 @@ def test_alternated_fit_improves(spark, df):
                                     settings=T.Adam(rate=0.05))
     t = trace.toPandas().groupby("round")["mean_logp"].mean()
     assert t.loc[2] > t.loc[0] and latents.count() == 1200
+
+
+@pytest.mark.parametrize("score", [float("nan"), None, 1.0, float("inf")])
+def test_search_without_a_region_ends(spark, score):
+    """Scores that are all NaN, null, infinite or equal say nothing: the search ends, and not as converged."""
+    df = spark.range(3)
+    found = T.densify(df, ["a"], lambda x: F.lit(score).cast("double") + 0.0 * x[0], [0.0], [1.0], per_round=4, required=6)
+    rows = found.collect()
+    assert len(rows) == 4 * 3 and not any(r.converged for r in rows)
+
+
+def test_search_with_some_scores_missing(spark):
+    """Points on one side have no score; the others are found all the same."""
+    df = spark.range(1)
+    found = T.densify(df, ["a"], lambda x: F.when(x[0] > 0, -x[0] * x[0]).otherwise(float("nan")), [0.5], [1.0],
+                      per_round=12, required=10, boundary=0.05, most_rounds=8)
+    rows = found.collect()
+    assert all(r.converged for r in rows) and all(r.a > 0 for r in rows if r.high)
+    assert sum(r.high for r in rows) >= 10
