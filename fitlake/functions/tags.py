@@ -61,3 +61,24 @@ def tag_error(tags: Column, disallowed: Sequence[str],
 
 def tag_text(tags: Column) -> Column:
     return F.concat_ws(",", F.array_sort(tags))
+
+
+def origin_tags(path: Column, kind: Column, name: Column, own: Column) -> Column:
+    """Tags of an item with those of its origin: the folder of its file, then by kind.
+
+    A model also gets the name of its class; a parameter set the name of its file without ending, or its own name where it
+    stands in a source file. Objectives and priors get the folder alone.
+    """
+    folder = F.try_element_at(F.split(path, "/"), F.lit(-2))
+    file = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    extra = F.when(kind == "model", name).when(
+        kind == "paramset", F.when(F.endswith(path, F.lit(".paramset")), file).otherwise(name))
+    return F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")),
+                                     F.array_compact(F.array(folder, extra))))
+
+
+def is_collected(path: Column, kind: Column, own: Column, skipped: Iterable[str] = ()) -> Column:
+    """Whether an item is collected: not from a hidden, private or skipped folder; priors only with tags of their own."""
+    folder = F.try_element_at(F.split(path, "/"), F.lit(-2))
+    seen = ~folder.rlike("^[_.]") & ~folder.isin(list(skipped)) if skipped else ~folder.rlike("^[_.]")
+    return F.coalesce(seen, F.lit(False)) & ((kind != "prior") | own.isNotNull())

@@ -62,7 +62,8 @@ def constant_params(values: Sequence[str], n: int, rtol: float = 2**-6) -> Test:
     still = F.col("_p_n") == n
     for v in values:
         m, b = F.col(f"_m_{v}"), F.col(f"_b_{v}")
-        still = still & ((m == 0) | (F.abs(m * s) <= rtol * F.abs(b + m * s)))
+        # a NaN would equal a NaN
+        still = still & ~F.isnan(m) & ((m == 0) | (F.abs(m * s) <= rtol * F.abs(b + m * s)))
     return Test(n - 1, columns, F.when(still, PARAMS).otherwise(NOT_CONVERGED))
 
 

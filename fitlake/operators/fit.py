@@ -259,6 +259,36 @@ def remove_degeneracies(weights: DataFrame, comps: DataFrame, n_comps: int) -> t
             scaled.select("set_id", "comp", "new_comp", "factor", "mu", "log_sigma", "log_tau"))
 
 
+def moves(comps: DataFrame, n_comps: int) -> DataFrame:
+    """(set_id, moves): per set the new place and the factor of each component, as an array by the old place.
+
+    ``comps`` is the second table of ``remove_degeneracies``. One short row per set, however long its series are.
+    """
+    cell = F.struct(F.col("comp").alias("comp"), F.col("new_comp").alias("to"), F.col("factor").alias("factor"))
+    return comps.groupBy("set_id").agg(F.array_sort(F.collect_list(cell)).alias("moves"))
+
+
+def moved_rows(rows: DataFrame, moved: DataFrame, times: Sequence[str] = (), over: Sequence[str] = ()) -> DataFrame:
+    """Long rows (set_id, comp, ...) at their new component; the columns ``times`` grow by the factor, ``over`` shrink by it.
+
+    For latents, means and spreads as for mixing weights and signs: with latents times and weights over the factor, the mixed
+    signal and every score of it stay. The table of moves is settled first, so that its size tells how to join.
+    """
+    found = rows.join(written(moved, "moves"), "set_id")
+    own = F.element_at("moves", F.col("comp").cast("int") + 1)
+    scaled = {c: F.col(c) * own["factor"] for c in times} | {c: F.col(c) / own["factor"] for c in over}
+    return found.withColumns({**scaled, "comp": own["to"]}).select(*rows.columns)
+
+
+def moved_arrays(rows: DataFrame, moved: DataFrame, values: str) -> DataFrame:
+    """The same for rows with one array of all components: permuted and times the factor, without taking it apart."""
+    found = rows.join(written(moved, "moves"), "set_id")
+    order = F.array_sort(F.transform("moves", lambda m: F.struct(m["to"].alias("to"), m["comp"].alias("comp"),
+                                                                 m["factor"].alias("factor"))))
+    return found.withColumn(values, F.transform(order, lambda m: F.get(F.col(values), m["comp"]) * m["factor"])).select(
+        *rows.columns)
+
+
 def densify(
     df: DataFrame, names: Sequence[str], lp: Callable[[Sequence[Column]], Column], centre: Sequence[float],
     spread: Sequence[float], per_round: int, required: int, boundary: float = 0.01, shrink: float = 0.6,

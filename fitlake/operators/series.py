@@ -71,12 +71,30 @@ def merge_on_axis(
         df.select(*keys, bin_, *[(F.col("value") if n == name else F.lit(None).cast("double"))
                                  .alias(n) for n in names])
         for name, df in parts.items()])
-    merged = stacked.groupBy(*keys, bin_).agg(*[F.max(n).alias(n) for n in names])
+    # dealt here: a union of joined tables may claim a partitioning that adaptive execution then changes
+    merged = stacked.repartition(*keys, bin_).groupBy(*keys, bin_).agg(*[F.max(n).alias(n) for n in names])
     complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])
     last = merged.groupBy(*keys).agg(F.max(F.when(complete, F.col(bin_))).alias("_last"))
     return merged.join(last, list(keys)).where(F.col(bin_) <= F.col("_last")).drop("_last")
 
 
+def arrays_on_axis(df: DataFrame, values: str, axis: DataFrame, keys: Sequence[str] = ("trial",),
+                   bin_: str = "k") -> DataFrame:
+    """Plain arrays as single-value series for ``merge_on_axis``: the first value stands at the first bin of the axis.
+
+    ``axis`` has the keys, ``first`` and ``n_bins``. Values that are missing at the end of a shorter array are missing bins; an
+    array longer than its axis is an error when it is read. A null array has no bins; null and NaN values are missing.
+    """
+    placed = df.join(axis.select(*keys, "first", "n_bins"), list(keys))
+    size = F.size(values)
+    message = F.concat(F.lit("array of "), size.cast("string"), F.lit(" values on an axis of "),
+                       F.col("n_bins").cast("string"), F.lit(" bins"))
+    checked = F.when(size > F.col("n_bins"), F.raise_error(message).cast(dict(df.dtypes)[values])).otherwise(F.col(values))
+    cells = placed.select(*keys, "first", F.posexplode(checked).alias("_at", "value"))
+    return cells.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
+        *keys, (F.col("first") + F.col("_at")).cast("long").alias(bin_), F.col("value").cast("double").alias("value"))
+
+
 def slices(
     df: DataFrame, segments: DataFrame, key: str, at: str, start: str, stop: str, width: float,
 ) -> DataFrame:

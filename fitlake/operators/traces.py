@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitlake.operators.ordered import frames, neighbours
+from fitlake.operators.ordered import frames, neighbours, number, running
 from fitlake.operators.series import grid_knots
 
 # Default recording intervals of parameters, log-likelihood and latents.
@@ -77,6 +77,30 @@ def nearest_step(recorded: DataFrame, asked: DataFrame, key: str = "run",
         *[F.col(f"_pick.{c}").alias(c) for c in carry]))
 
 
+def last_records(asked: DataFrame, streams: Mapping[str, DataFrame], key: str = "run",
+                 step: str = "step") -> DataFrame:
+    """The state of a fit at the asked steps: of each stream the last record at or before the step.
+
+    ``streams`` maps a name to records (key, step, ...); ``asked`` has the key and the step. All streams are merged with
+    the asked steps into one sorted sequence, which is numbered once and carries the last record of every stream along, in
+    chunks where a run is long. Adds a struct per stream (its columns but the key); null before its first record.
+    """
+    names = list(streams)
+    marks = {n: F.struct(F.col(step).alias(step), *[F.col(c) for c in s.columns if c not in (key, step)])
+             for n, s in streams.items()}
+    rows = [s.select(F.col(key), F.col(step), marks[n].alias(n)) for n, s in streams.items()]
+    extra = [c for c in asked.columns if c not in (key, step)]
+    rows.append(asked.withColumn("_asked", F.lit(True)))
+    merged = rows[0]
+    for more in rows[1:]:
+        merged = merged.unionByName(more, allowMissingColumns=True)
+    # records of a step stand before the steps asked for
+    order = [step, F.coalesce("_asked", F.lit(False)), F.xxhash64(*merged.columns)]
+    placed = number(merged, [key], order, name="_k", start=0)
+    carried = running(placed, [key], "_k", {f"_last_{n}": (F.col(n), "max") for n in names})
+    return carried.where("_asked").select(key, step, *extra, *[F.col(f"_last_{n}").alias(n) for n in names])
+
+
 def rebuild_state(
     latents: DataFrame, params: DataFrame, asked: DataFrame, key: str = "run",
 ) -> DataFrame:

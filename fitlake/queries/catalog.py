@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from fitlake.operators.series import grid_report, same_grid
-from fitlake.queries.common import FILES, RUNS
+from fitlake.queries.common import FILES, RUNS, SERIES
 from fitlake.queries.registry import query
 from fitlake.queries.runs import SEGMENTS
 from fitlake.session import checkpoint_dir
 from fitlake.sources import catalog as C
-from fitlake.sources.tables import irregular, runs, table
+from fitlake.sources.tables import irregular, runs, series, table
 
 
 def files(spark, sf):
@@ -53,6 +54,17 @@ def _(spark, sf):
     return C.load(lines, wanted, ["trial"])
 
 
+@query("src3_stored_ranges", f"""
+WITH {SERIES}
+SELECT trial, k, x1 FROM series JOIN supplier ON s_suppkey = trial WHERE s_nationkey IN (3, 4, 5) AND k BETWEEN 100 AND 333""")
+def _(spark, sf):
+    path = os.path.join(checkpoint_dir(spark), f"series-{uuid.uuid4().hex}")
+    C.write_series(series(spark, sf).select("trial", "k", "x1"), path, by="trial", span=64, slots=8)
+    wanted = table(spark, sf, "supplier").where(F.col("s_nationkey").isin(3, 4, 5)).select(
+        F.col("s_suppkey").alias("trial"))
+    return C.read_series(spark, path, wanted, first=100, last=333)
+
+
 @query("src4_metadata_files", f"""
 WITH {FILES},
 p AS (SELECT split_part(path, '/', 1) AS host, page_id,

@@ -95,6 +95,35 @@ def mixing(spark, sf):
         (p * (m + 3) % 11 / 10).alias("log_sigma"), F.lit(1.0).alias("log_tau"))
 
 
+LATENT = "((set_id * (comp + 2) + k * 13) % 31 - 15) / 7e0"
+
+
+@query("fit6_mixed_signal_stays", f"""
+WITH {WEIGHTS}, l AS (SELECT p_partkey AS set_id, m AS comp, k FROM part, range(4) b(m), range(5) t(k)),
+old AS (SELECT set_id, k, "row", sum((CASE WHEN (comp + "row") % 2 = 0 THEN 1 ELSE -1 END) * w * {LATENT}) AS signal
+        FROM w JOIN l USING (set_id, comp) GROUP BY ALL),
+n AS (SELECT set_id, k, o.new_comp, {LATENT} * factor AS value FROM l JOIN o USING (set_id, comp))
+SELECT old.set_id, old.k::INTEGER AS k, "row"::INTEGER AS "row", round(signal, 7) AS signal, (SELECT string_agg(round(value, 6)::DECIMAL(18, 6)::VARCHAR, ',' ORDER BY new_comp)
+        FROM n WHERE n.set_id = old.set_id AND n.k = old.k) AS latents FROM old""")
+def _(spark, sf):
+    weights, comps = mixing(spark, sf)
+    sign = F.when((F.col("comp") + F.col("row")) % 2 == 0, 1.0).otherwise(-1.0)
+    new_w, new_c = T.remove_degeneracies(weights, comps, n_comps=4)
+    moved = T.moves(new_c, 4)
+    latents = comps.select("set_id", "comp", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn(
+        "value", F.expr("((set_id * (comp + 2) + k * 13) % 31 - 15) / 7"))
+    signs = T.moved_rows(weights.withColumn("a", sign).select("set_id", "row", "comp", "a"), moved)
+    long = T.moved_rows(latents, moved, times=["value"])
+    whole = latents.groupBy("set_id", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("comp", "value"))),
+                                                           lambda x: x["value"]).alias("v"))
+    arrays = T.moved_arrays(whole, moved, "v")
+    mixed = (signs.join(new_w.withColumnRenamed("new_comp", "comp"), ["set_id", "row", "comp"])
+             .join(long, ["set_id", "comp"]).groupBy("set_id", "k", "row")
+             .agg(F.round(F.sum(F.col("a") * F.col("w") * F.col("value")), 7).alias("signal")))
+    text = F.concat_ws(",", F.transform("v", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")))
+    return mixed.join(arrays.select("set_id", "k", text.alias("latents")), ["set_id", "k"])
+
+
 @query("fit6_remove_degeneracies", f"""
 WITH {WEIGHTS}
 SELECT set_id, comp::INTEGER AS comp, new_comp::INTEGER AS new_comp, round(factor, 6) AS factor,

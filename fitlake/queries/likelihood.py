@@ -11,6 +11,7 @@ from fitlake.functions import objectives as O
 from fitlake.functions import scalars
 from fitlake.operators import likelihood as K
 from fitlake.operators.series import batch_rows
+from fitlake.operators.traces import last_records
 from fitlake.queries.common import SERIES
 from fitlake.queries.registry import query
 from fitlake.queries.series import BATCHES, LENGTHS, batches, lengths
@@ -308,6 +309,31 @@ def _(spark, sf):
                      F.round(O.mixing_se(W, cols(*LATENT), cols(*SEEN)), 11).alias("se"))
 
 
+@query("lik14_terms_of_recorded_steps", f"""
+WITH {VIEW}, a AS (SELECT o_custkey % 97 + 1 AS trial, o_orderkey % 500 AS step, min(o_orderkey) AS id FROM orders GROUP BY 1, 2),
+p AS (SELECT trial, k AS step, y0 AS mu0 FROM v WHERE k % 7 = 3), l AS (SELECT trial, k AS step, x2, p2, x3, p3 FROM v
+  WHERE k % 5 = 2), d AS (SELECT trial, k AS step, y0, y1 FROM v WHERE k % 3 = 0),
+s AS (SELECT a.*, mu0, x2, p2, x3, p3, y0, y1, p.step AS param_step FROM a ASOF JOIN p ON a.trial = p.trial AND a.step >= p.step
+      ASOF JOIN l ON a.trial = l.trial AND a.step >= l.step ASOF JOIN d ON a.trial = d.trial AND a.step >= d.step)
+SELECT trial AS run, step, id, param_step, round(-{NORM}, 10) AS norm,
+       round(-{FQUAD.replace("p2 - 0.05", "p2 - mu0")}, 10) AS gauss, round({SE}, 10) AS se FROM s""")
+def _(spark, sf):
+    df = view(spark, sf, before=True).withColumnsRenamed({"trial": "run", "k": "step"})
+    asked = table(spark, sf, "orders").groupBy(
+        (F.col("o_custkey") % 97 + 1).alias("run"), (F.col("o_orderkey") % 500).alias("step")).agg(
+        F.min("o_orderkey").alias("id"))
+    state = last_records(asked, {
+        "params": df.where("step % 7 = 3").select("run", "step", F.col("y0").alias("mu0")),
+        "latents": df.where("step % 5 = 2").select("run", "step", *LATENT, "prev_x2", "prev_x3"),
+        "bins": df.where("step % 3 = 0").select("run", "step", *SEEN)})
+    state = state.where("params IS NOT NULL AND latents IS NOT NULL AND bins IS NOT NULL")
+    x, old = cols("latents.x2", "latents.x3"), cols("latents.prev_x2", "latents.prev_x3")
+    norm, quad = O.ou_terms(x, old, [F.col("params.mu0"), MU[1]], SIGMA, TAU, DT)
+    return state.select("run", "step", "id", F.col("params.step").alias("param_step"), F.round(-norm, 10).alias("norm"),
+                        F.round(-quad, 10).alias("gauss"),
+                        F.round(O.mixing_se(W, x, cols("bins.y0", "bins.y1")), 10).alias("se"))
+
+
 @query("join10_matrix_mixing", """
 WITH c AS (SELECT vec_id, i - 1 AS m, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i))
 SELECT vec_id, j::INTEGER AS j, round(sum(CASE WHEN (j + m) % 2 = 0 THEN 1 ELSE -1 END

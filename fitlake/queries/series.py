@@ -15,6 +15,25 @@ DAY = 86_400_000_000
 LENGTHS = "lengths AS (SELECT l_suppkey AS trial, count(*) AS n_bins FROM lineitem GROUP BY 1)"
 
 
+@query("join1_arrays_on_axis", """
+WITH e AS (SELECT vec_id AS trial, vec_id % 7 AS first, 70::BIGINT AS n_bins, embedding AS v FROM embeddings),
+a AS (SELECT trial, first + i - 1 AS k, v[i]::DOUBLE AS a FROM e, range(1, 65) r(i)),
+b AS (SELECT trial, first + i - 1 AS k, CASE WHEN i % 13 <> 5 THEN v[65 - i]::DOUBLE END AS b FROM e, range(1, 65) r(i)
+      WHERE i <= 40 + trial % 20),
+c AS (SELECT trial, k, a AS c FROM a WHERE k >= 9),
+m AS (SELECT trial, k, a, b, c FROM a LEFT JOIN b USING (trial, k) LEFT JOIN c USING (trial, k)),
+l AS (SELECT trial, max(k) AS last FROM m WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY trial)
+SELECT trial, k, a, b, c FROM m JOIN l USING (trial) WHERE k <= last""")
+def _(spark, sf):
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("trial"), "embedding")
+    axis = vec.select("trial", (F.col("trial") % 7).alias("first"), F.lit(70).cast("long").alias("n_bins"))
+    gaps = F.transform(F.slice(F.reverse("embedding"), F.lit(1), (40 + F.col("trial") % 20).cast("int")),
+                       lambda x, i: F.when((i + 1) % 13 != 5, x))
+    a = S.arrays_on_axis(vec, "embedding", axis)
+    b = S.arrays_on_axis(vec.select("trial", gaps.alias("b")), "b", axis)
+    return S.merge_on_axis({"a": a, "b": b, "c": a.where("k >= 9")})
+
+
 @query("join1_merge_on_axis", f"""
 WITH {SERIES}, {LENGTHS}, a AS (SELECT trial, k, x0 FROM series WHERE k >= 2),
 b AS (SELECT trial, k, x1 FROM series JOIN lengths USING (trial) WHERE k % 11 <> 5 AND k < n_bins - 3),

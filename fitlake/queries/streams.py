@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fitlake.queries.convergence import BASE, CONSTANT, DIVERGING, PARAMS, base
 from fitlake.queries.registry import query
 from fitlake.sources.tables import table
 from fitlake.streaming import live
@@ -48,6 +49,51 @@ def _(spark, sf):
     return live.run_to_table(changes, "status")
 
 
+def trace_files(spark, sf):
+    """The long traces as a stream of several files in order of their steps."""
+    folder = live.work_folder(spark, "traces")
+    df = base(spark, sf)
+    for i in range(PARTS):  # one write after the other, as the source reads files by their time
+        df.where((F.col("k") >= 200 * i) & ((F.col("k") < 200 * (i + 1)) | F.lit(i == PARTS - 1))).coalesce(
+            1).write.mode("append").parquet(folder)
+    return live.read_files(spark, folder, "*.parquet", per_trigger=1)
+
+
+@query("str2_live_tests", f"""
+WITH {BASE}, {DIVERGING}, {CONSTANT}, {PARAMS}
+SELECT run, step, k, div.status AS div, cost.status AS cost, par.status AS par,
+       bit_or(div.status | cost.status | par.status) OVER (PARTITION BY run ORDER BY k) AS run_status
+FROM div JOIN cost USING (run, step, k) JOIN par USING (run, step, k)""")
+def _(spark, sf):
+    tests = live.LiveTests(("xn", True, 60000.0), ("x2", 3, 2**-7), (("x0", "x1"), 4, 0.9))
+    return live.run_to_table(live.live_tests(trace_files(spark, sf), tests, stop=False), "tests")
+
+
+@query("str4_merge_catalogue", """
+WITH e AS (SELECT user_id % 40 AS run, event_type AS kind, user_id,
+             least(event_id * 3 // ((SELECT max(event_id) FROM events) + 1), 2) AS part FROM events),
+g AS (SELECT run, kind, user_id, part, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, kind ORDER BY part, user_id) AS nr,
+             min(part) OVER (PARTITION BY run, kind) AS since FROM g)
+SELECT run, kind, user_id, 'kept' AS reason, 1::BIGINT AS n_rows FROM r WHERE nr = 1
+UNION ALL SELECT run, kind, user_id, CASE WHEN part > since THEN 'trial already present' ELSE 'trial given twice' END,
+       sum(n - (nr = 1)::INT)::BIGINT FROM r GROUP BY ALL HAVING sum(n - (nr = 1)::INT) > 0""")
+def _(spark, sf):
+    folder = live.work_folder(spark, "trials")
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).scalar()
+    part = F.least(F.floor(F.col("event_id") * PARTS / (last + 1)), F.lit(PARTS - 1))
+    trials = events.select((F.col("user_id") % 40).alias("run"), F.col("event_type").alias("kind"), "user_id",
+                           part.alias("part"))
+    for i in range(PARTS):
+        trials.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    kept, refused = live.merge_catalogue(live.read_files(spark, folder, "*.parquet", per_trigger=1), ["run", "kind"],
+                                         "merged")
+    gone = refused.groupBy("run", "kind", "user_id", "reason").agg(F.sum("n_rows").alias("n_rows"))
+    return kept.select("run", "kind", "user_id", F.lit("kept").alias("reason"), F.lit(1).cast("long").alias("n_rows")
+                       ).unionByName(gone)
+
+
 @query("str3_last_records", """
 SELECT user_id AS run, event_id AS step, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")

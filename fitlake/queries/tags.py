@@ -107,6 +107,49 @@ def _(spark, sf):
     }).select("selector", "id", "name")
 
 
+@query("tag7_origins_of_items", """
+WITH f AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', ''), '/') AS p,
+             ['model', 'objective', 'prior', 'paramset'][page_id % 4 + 1] AS kind FROM pages),
+i AS (SELECT page_id, kind, CASE WHEN kind = 'paramset' AND page_id % 8 = 3 THEN p[-1] || '.paramset' ELSE p[-1] || '.py' END AS file,
+        p[-2] AS folder, 'Obj' || page_id % 30 AS name, md5((page_id % 11)::VARCHAR) AS digest,
+        CASE WHEN page_id % 3 > 0 THEN ['own' || page_id % 5, 'x'] END AS own FROM f),
+t AS (SELECT kind, name, digest, CASE kind WHEN 'paramset' THEN digest ELSE name END AS grp,
+        list_concat(coalesce(own, []), [folder], CASE WHEN kind = 'model' THEN [name]
+          WHEN kind = 'paramset' AND ends_with(file, '.paramset') THEN [regexp_replace(file, '[.][^.]*$', '')]
+          WHEN kind = 'paramset' THEN [name] ELSE [] END) AS tags
+      FROM i WHERE folder IS NOT NULL AND NOT regexp_matches(folder, '^[_.]') AND folder <> 'blog'
+        AND (kind <> 'prior' OR own IS NOT NULL))
+SELECT kind, min(name) AS name, min(digest) AS digest,
+       array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM t GROUP BY kind, grp""")
+def _(spark, sf):
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "")
+    kind = F.get(F.array(*[F.lit(k) for k in ("model", "objective", "prior", "paramset")]),
+                 (F.col("page_id") % 4).cast("int"))
+    stored = (kind == "paramset") & (F.col("page_id") % 8 == 3)
+    found = table(spark, sf, "pages").select(
+        F.concat(bare, F.when(stored, ".paramset").otherwise(".py")).alias("path"), kind.alias("kind"),
+        F.concat(F.lit("Obj"), F.col("page_id") % 30).alias("name"), (F.col("page_id") % 11).alias("content"),
+        F.when(F.col("page_id") % 3 > 0, F.array(F.concat(F.lit("own"), F.col("page_id") % 5), F.lit("x"))).alias("tags"))
+    out = T.collect_tagged(found, F.md5(F.col("content").cast("string").cast("binary")), skipped=["blog"])
+    return out.withColumn("tags", F.concat_ws(",", "tags"))
+
+
+@query("tag8_nested_selectors", f"""
+WITH {ITEMS}, h AS (
+  SELECT 0 AS nr, 'dyn.fast' AS submodel, id, '{{"scale":"2.5"}}' AS keywords FROM items WHERE list_has_all(tags, ['ECONOMY', 'red'])
+  UNION ALL SELECT 1, 'dyn', id, '{{}}' FROM items WHERE list_contains(tags, 'ring') AND NOT list_contains(tags, 'SMALL')
+  UNION ALL SELECT 2, 'obs', id, '{{"order":"[1, 2]"}}' FROM items WHERE list_contains(tags, 'Brand#3')
+  UNION ALL SELECT 3, '', id, '{{}}' FROM items WHERE list_contains(tags, 'widget'))
+SELECT nr, submodel, id, CASE submodel WHEN '' THEN id::VARCHAR ELSE submodel || '.' || id END AS name,
+       replace(replace(keywords, '"[', '['), ']"', ']') AS keywords, count(*) OVER (PARTITION BY nr) AS n_found FROM h""")
+def _(spark, sf):
+    out = T.resolve_nested(items(spark, sf), [
+        {"dyn": [{"fast": ("ECONOMY", "red", {"scale": 2.5})}, ("ring", "!SMALL")], "obs": ("Brand#3", {"order": [1, 2]})},
+        "widget"])
+    return out.select("nr", "submodel", "id", "name", F.regexp_replace(F.regexp_replace(
+        F.to_json("keywords"), r'"\[', "["), r'\]"', "]").alias("keywords"), "n_found")
+
+
 @query("tag9_compose_prior", f"""
 WITH {ITEMS}, s AS (
   SELECT 'dyn' AS sub, id FROM items WHERE list_has_all(tags, ['ECONOMY', 'red'])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fitlake.functions.labels import extract
 
+SLOT, RANGE = "_slot", "_range"
 DESC_SCHEMA = "project string, accessor string, trial map<string,string>"
 
 
@@ -41,9 +42,47 @@ def load(series: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame
     return series.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def write_series(series: DataFrame, path: str, by: str) -> None:
-    """Store series partitioned by a trial field, so loading prunes by it."""
-    series.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+def _slot(by: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(slots)).cast("int")
+
+
+def write_series(series: DataFrame, path: str, by: str, order: str = "k", span: int = 1_000_000,
+                 slots: int = 64, mode: str = "overwrite") -> None:
+    """Store series in folders of (slot of the trial, range of the order column).
+
+    A trial has one of ``slots`` folders per ``span`` of the order column. Rows are dealt by their place in (slot, range,
+    trial, order), cut by a sample, so a long trial is spread over tasks and files and short ones share them; inside a file
+    rows are sorted, which makes its statistics of trial and order narrow. The layout is kept with the column ``order``.
+    """
+    place = [SLOT, RANGE, by, order]
+    spread = series.withColumns({SLOT: _slot(F.col(by), slots), RANGE: F.floor(F.col(order) / span).cast("long")})
+    kept = spread.withMetadata(order, {"series_by": by, "series_span": span, "series_slots": slots})
+    kept.repartitionByRange(*place).sortWithinPartitions(*place).write.mode(mode).partitionBy(
+        SLOT, RANGE).parquet(path)
+
+
+def read_series(spark: SparkSession, path: str, wanted: DataFrame | None = None, first: float | None = None,
+                last: float | None = None) -> DataFrame:
+    """Stored series: of the wanted trials only, and between two places of the order column, both included.
+
+    The range and the slots of the wanted trials choose folders before a file is opened; the statistics inside the files do
+    the rest.
+    """
+    store = spark.read.parquet(path)
+    found = [f for f in store.schema.fields if "series_by" in (f.metadata or {})]
+    if len(found) != 1:
+        raise ValueError(f"{path} is no store of series")
+    order, layout = found[0].name, found[0].metadata
+    by, span = layout["series_by"], layout["series_span"]
+    for edge, above in ((first, True), (last, False)):
+        if edge is not None:
+            at, cell = F.col(order), F.col(RANGE)
+            store = store.where((at >= edge) & (cell >= edge // span) if above else (at <= edge) & (cell <= edge // span))
+    if wanted is not None:
+        keys = wanted.select(by).distinct().withColumn(SLOT, _slot(F.col(by), layout["series_slots"]))
+        chosen = keys.select(SLOT).distinct().limit(layout["series_slots"]).collect()  # a slot at most once each
+        store = store.where(F.col(SLOT).isin([r[0] for r in chosen])).join(keys, [SLOT, by], "left_semi")
+    return store.drop(SLOT, RANGE)
 
 
 def get_trial(catalogue: DataFrame, wanted: DataFrame, keys: Sequence[str],

@@ -89,3 +89,66 @@ def test_tumbling_statistics_equal_batch(spark, folder):
     both = got.merge(want, on=["run", "start"], suffixes=("", "_w"))
     assert len(both) == len(got) >= len(want) - 6 and (both["n"] == both["n_w"]).all()
     assert (abs(both["mean"] - both["mean_w"]) < 1e-9).all()
+
+
+def test_live_tests_equal_the_batch_tests(spark, folder):
+    """All three tests over six micro-batches, against the batch operators on the same rows."""
+    from fitlake.operators import convergence as C
+    path, rows = folder
+    batch = rows.select("run", "step", F.col("step").alias("k"), "value")
+    tests = {"div": C.diverging_cost("value", maximize=False, tol=9.0), "cost": C.constant_cost("value", n=6),
+             "par": C.constant_params(["value"], n=4, rtol=0.2)}
+    want = {(r.run, r.step): (r.k, r.div, r.cost, r.par) for r in C.evaluate(batch, tests).collect()}
+    live_ = live.LiveTests(("value", False, 9.0), ("value", 6, 2**-7), (["value"], 4, 0.2))
+    got = live.run_to_table(live.live_tests(stream(spark, folder), live_, stop=False), "t").collect()
+    assert {(r.run, r.step): (r.k, r.div, r["cost"], r.par) for r in got} == want
+    assert {s for v in want.values() for s in v[2:]} == {0, 1, 3}
+    stopped = live.run_to_table(live.live_tests(stream(spark, folder), live_), "t").collect()
+    ends = {run: min(r.step for r in got if r.run == run and (r.run_status == -1 or r.run_status & 3 == 3)) for run in (0, 1, 2)}
+    assert {(r.run, r.step, r.run_status) for r in stopped} == {
+        (r.run, r.step, r.run_status) for r in got if r.step <= ends[r.run]}
+
+
+def test_state_of_a_silent_run_goes(spark, tmp_path):
+    """Run 1 is silent for over a second of event time: its state goes, and it starts anew; run 2 goes on."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, rows in enumerate([[(1, 0, 0), (2, 0, 0)], [(2, 1, 60)], [(2, 2, 120)], [(2, 3, 180), (1, 1, 180)]]):
+        df = spark.createDataFrame(rows, "run int, step long, at int").select(
+            "run", "step", F.lit(1.0).alias("v"), F.timestamp_seconds(F.col("at") + 1000).alias("at"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        steps = live.read_files(spark, path, "*.parquet", per_trigger=1).withWatermark("at", "1 second")
+        got = live.run_to_table(live.live_tests(steps, live.LiveTests(cost=("v", 9, 0.1)), time="at", silent=1000), "t", out)
+    assert sorted((r.run, r.step, r.k) for r in got.collect()) == [
+        (1, 0, 0), (1, 1, 0), (2, 0, 0), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+
+
+def test_live_tests_of_values_not_finite(spark, tmp_path):
+    rows = [(1, 0, 1.0), (1, 1, None), (1, 2, 2.0), (2, 0, 5.0), (2, 1, 5.0), (2, 1, 7.0), (2, 2, 5.0), (2, 3, float("inf"))]
+    spark.createDataFrame(rows, "run int, step long, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    steps = live.read_files(spark, str(tmp_path / "in"), "*.parquet")
+    tests = live.LiveTests(("v", True, 1e9), None, (["v"], 2, 0.1))
+    got = {(r.run, r.step): (r.div, r.par, r.run_status) for r in live.run_to_table(
+        live.live_tests(steps, tests, stop=False), "t").collect()}
+    assert got[1, 1] == (-1, 0, -1) and got[1, 2] == (0, 0, -1)
+    assert got[2, 1] == (0, 1, 1) and got[2, 3] == (-1, 0, -1)
+
+
+def test_merge_refuses_known_trials(spark, tmp_path):
+    """A trial that comes again in a later file, or twice in one, is reported; a repeated call adds nothing."""
+    path, out = str(tmp_path / "files"), str(tmp_path / "out")
+    files = [[("a", 1), ("b", 1), ("b", 2), (None, 5)], [("a", 9), ("c", 1), ("c", 1)], [(None, 6), ("d", 0)]]
+    seen: set[str] = set()
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "trial string, v int").coalesce(1).write.mode("append").parquet(path)
+        for name in set(os.listdir(path)) - seen:
+            os.utime(os.path.join(path, name), (1_700_000_000 + 100 * i,) * 2)
+        seen = set(os.listdir(path))
+        if i == 1:  # stopped here and started again
+            live.merge_catalogue(live.read_files(spark, path, "*.parquet", per_trigger=1), ["trial"], "m", out)
+    for _ in range(2):
+        kept, refused = live.merge_catalogue(live.read_files(spark, path, "*.parquet", per_trigger=1), ["trial"], "m", out)
+        assert {(r.trial, r.v, r.version) for r in kept.collect()} == {
+            ("a", 1, 0), ("b", 1, 0), (None, 5, 0), ("c", 1, 1), ("d", 0, 2)}
+        assert {(r.trial, r.v, r.reason, r.n_rows) for r in refused.collect()} == {
+            ("b", 2, "trial given twice", 1), ("c", 1, "trial given twice", 1), ("a", 9, "trial already present", 1),
+            (None, 6, "trial already present", 1)}
