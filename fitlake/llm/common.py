@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,11 +24,22 @@ _CACHE: dict = {}
 def cache(name, make):
     """A worker's cache; it holds that of one operator at a time, as workers outlive a stage."""
     if name not in _CACHE:
-        _CACHE.clear()
+        if _CACHE:
+            _CACHE.clear()
+            give_back()
         _CACHE[name] = make()
     return _CACHE[name]
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system, which else stays with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

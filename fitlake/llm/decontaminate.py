@@ -72,6 +72,7 @@ def spans_of(text: bytes, hit: np.ndarray) -> list[dict]:
 
 def _scan(windows: dict, names: list[str], token: int, again: bool):
     def run(batches):
+        K.cache("automaton", dict)  # caches of earlier stages go
         auto, numbers = _automaton(windows, token)
         number = numbers.get
         for batch in batches:
