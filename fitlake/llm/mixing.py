@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD_SLOTS = 512, 1024
 #: Rows that a window takes at a time, about; also the cells that an interval lookup is spread over.
 PART = 4096
+#: Documents of all sources in a part; that of a hot source is then small beside a task, and tasks are even.
+DOC_PART = 128
 #: Rounds of the permutation. Each swaps about half of all pairs of a random reflection.
 ROUNDS = 24
 #: Tables of up to so many rows (one per source or cell) are broadcast, larger ones joined by shuffle.
@@ -194,7 +196,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """A row per document with the columns of its source and ``start``, its first word's place in the source."""
     n, rows = sizes.count(), sources.count()
-    parts = max(1, -(-n // PART))
+    parts = max(1, -(-n // DOC_PART))
     own = sources.withColumnRenamed("source", "__source")
     at = sizes.withColumn("__part", F.pmod("hash", F.lit(parts))).join(
         _small(own, rows), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
