@@ -14,17 +14,25 @@ KINDS = 4 * 3 * 2 + 1
 _SCRIPTS = ({0xC3A9, 0xC3A8, 0xC3AA, 0xC3A7}, {0xC3B1, 0xC3B3, 0xC3AD}, {0xC3B6, 0xC3A4, 0xC3BC, 0xC39F})
 
 
-def kind_of(word: bytes) -> int:
-    """Kind of a word by its make-up: a fixed partition of all words."""
-    if any(0x30 <= b <= 0x39 for b in word):
-        return KINDS - 1
-    script = 0
-    if not word.isascii():
-        pairs = {word[i] << 8 | word[i + 1] for i in range(len(word) - 1)}
-        script = next((s + 1 for s, own in enumerate(_SCRIPTS) if pairs & own), 0)
-    last = word[-1] if word else 0x61
-    mark = 0 if 0x61 <= last <= 0x7A or last >= 0x80 else 1 if last in b".," else 2
-    return (script * 3 + mark) * 2 + (len(word) > 6)
+def kinds_of(words: list[bytes]) -> np.ndarray:
+    """Kind of each word by its make-up: a fixed partition of all words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    # each word is led by one letter of its own, so that none is empty
+    text = np.frombuffer(b"a" + b"a".join(words), np.uint8)
+    first = np.r_[0, np.cumsum(lengths[:-1] + 1)]
+    digits = np.logical_or.reduceat((text >= 0x30) & (text <= 0x39), first)
+    script = np.zeros(len(words), np.int64)
+    high = np.flatnonzero(text[:-1] >= 0xC0)
+    if len(high):
+        pair = text[high].astype(np.int64) << 8 | text[high + 1]
+        word = np.searchsorted(first, high, side="right") - 1
+        for s in range(len(_SCRIPTS), 0, -1):
+            script[word[np.isin(pair, list(_SCRIPTS[s - 1]))]] = s
+    last = np.where(lengths > 0, text[first + lengths], 0x61)
+    mark = np.where(((last >= 0x61) & (last <= 0x7A)) | (last >= 0x80), 0, np.where((last == 0x2E) | (last == 0x2C), 1, 2))
+    return np.where(digits, KINDS - 1, (script * 3 + mark) * 2 + (lengths > 6))
 
 
 @dataclass
@@ -59,13 +67,21 @@ def unpack(shape: Shape, flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def initial(shape: Shape, seed: int = 11) -> np.ndarray:
+def initial(shape: Shape, seed: int = 11, counts: np.ndarray | None = None) -> np.ndarray:
+    """First weights; with ``counts`` of the words and kinds the outputs start from their shares."""
     rng = np.random.default_rng(seed)
     sizes = shape.arrays()
     flat = np.zeros(sum(int(np.prod(s)) for s in sizes.values()), np.float32)
     p = unpack(shape, flat)
     for name in ("x", "u", "wc", "ww"):
         p[name][...] = rng.normal(0, 0.25 if name == "u" else 0.1, sizes[name])
+    if counts is not None:
+        own = np.zeros(shape.groups * CLASS)
+        own[:shape.words] = counts[:shape.words] + 0.5
+        own = own.reshape(shape.groups, CLASS)
+        each = np.r_[own.sum(axis=1), counts[shape.words:] + 0.5]
+        p["bc"][...] = np.log(each / each.sum())
+        p["bw"][...] = np.log(np.maximum(own, 1e-9) / own.sum(axis=1, keepdims=True))
     if shape.words % CLASS:  # places of the last class that no word has
         p["bw"][-1, shape.words % CLASS:] = -1e4
     return flat
@@ -88,34 +104,43 @@ def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
 
 @dataclass
 class Streams:
-    """Tokens of documents laid out in lanes, time first; ``active[t]`` lanes are in use at time t."""
+    """Tokens of documents in lanes, time first and ragged: those of time t stand from ``edge[t]`` to ``edge[t + 1]``.
+
+    The longest lanes come first, so the lanes in use at a time are the first ones, and nothing is padded: memory is
+    linear in the tokens, whatever the longest document.
+    """
     source: np.ndarray
     token: np.ndarray
     place: np.ndarray
     begin: np.ndarray
-    active: np.ndarray
+    edge: np.ndarray
+    width: int
+
+    @property
+    def steps(self) -> int:
+        return len(self.edge) - 1
 
     @staticmethod
     def of(documents: list[np.ndarray], start: int, width: int) -> Streams:
         lengths = np.array([len(d) for d in documents], np.int64)
-        dealt = lanes(lengths, width)
+        dealt = [lane for lane in lanes(lengths, width) if lane]
         first = np.r_[0, np.cumsum(lengths)]
-        size = np.array([sum(lengths[d] for d in lane) for lane in dealt])
+        size = np.array([int(lengths[lane].sum()) for lane in dealt], np.int64)
         steps = int(size.max()) if len(size) else 0
-        shape = (steps, len(dealt))
-        token, source = np.zeros(shape, np.int32), np.full(shape, start, np.int32)
-        place, begin = np.full(shape, -1, np.int64), np.zeros(shape, bool)
+        edge = np.r_[0, np.cumsum(len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right"))]
+        total = int(size.sum())
+        token, source = np.zeros(total, np.int32), np.full(total, start, np.int32)
+        place, begin = np.zeros(total, np.int64), np.zeros(total, bool)
         for i, lane in enumerate(dealt):
-            if not lane or not size[i]:
+            if not size[i]:
                 continue
             row = np.concatenate([documents[d] for d in lane])
-            at = np.concatenate([np.arange(first[d], first[d + 1]) for d in lane])
-            heads = np.r_[0, np.cumsum([lengths[d] for d in lane])[:-1]]
-            token[:len(row), i], place[:len(row), i] = row, at
-            source[1:len(row), i] = row[:-1]
-            source[heads, i] = start
-            begin[heads, i] = True
-        return Streams(source, token, place, begin, (size[None, :] > np.arange(steps)[:, None]).sum(axis=1))
+            own = edge[:len(row)] + i
+            heads = own[np.cumsum(np.r_[0, lengths[lane[:-1]]])[lengths[lane] > 0]]
+            token[own], source[own[1:]] = row, row[:-1]
+            place[own] = np.concatenate([np.arange(first[d], first[d + 1]) for d in lane])
+            source[heads], begin[heads] = start, True
+        return Streams(source, token, place, begin, edge, len(dealt))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,7 +179,7 @@ def _outputs(shape: Shape, p: dict, h: np.ndarray, token: np.ndarray, grad: dict
         grad["wc"] += h.T @ prob
         grad["bc"] += prob.sum(axis=0)
         dh = prob @ p["wc"].T
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")  # a radix sort
     edge = np.searchsorted(group[order], np.arange(shape.groups + 1))
     for g in range(shape.groups):
         own = order[edge[g]:edge[g + 1]]
@@ -178,25 +203,23 @@ def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: in
     """Natural log-probability of each document, its state carried from its first token to its last."""
     p = unpack(shape, flat)
     s = Streams.of(documents, shape.start, width)
-    value = np.zeros(sum(len(d) for d in documents))
-    h = np.zeros((s.token.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(s.token), window):
-        states, tokens, places = [], [], []
-        for t in range(at, min(at + window, len(s.token))):
-            n = s.active[t]
-            h = h[:n].copy()
-            h[s.begin[t, :n]] = 0
-            h = _step(p, h, s.source[t, :n])[0]
+    value = np.zeros(len(s.token))
+    h = np.zeros((s.width, HIDDEN), np.float32)
+    for at in range(0, s.steps, window):
+        to = min(at + window, s.steps)
+        states = []
+        for t in range(at, to):
+            own = slice(s.edge[t], s.edge[t + 1])
+            h = np.where(s.begin[own, None], np.float32(0), h[:own.stop - own.start])
+            h = _step(p, h, s.source[own])[0]
             states.append(h)
-            tokens.append(s.token[t, :n])
-            places.append(s.place[t, :n])
-        value[np.concatenate(places)] = _outputs(
-            shape, p, np.concatenate(states), np.concatenate(tokens), None, 0.0)[0]
+        own = slice(s.edge[at], s.edge[to])
+        value[s.place[own]] = _outputs(shape, p, np.concatenate(states), s.token[own], None, 0.0)[0]
     ends = np.cumsum([len(d) for d in documents])
     return [float(value[e - len(d):e].sum()) for e, d in zip(ends, documents)]
 
 
-def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: float, width: int = 256,
+def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: float, width: int = 128,
           window: int = 32, rounds: int = 1) -> tuple[np.ndarray, int]:
     """New weights after ``rounds`` passes by truncated backpropagation, and the tokens of a pass.
 
@@ -209,41 +232,39 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
     grad = unpack(shape, slope)
     mean, square, steps = np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(rounds):
-        h = np.zeros((s.token.shape[1] if s.token.size else 0, HIDDEN), np.float32)
-        for at in range(0, len(s.token), window):
+        h = np.zeros((s.width, HIDDEN), np.float32)
+        for at in range(0, s.steps, window):
             slope[...] = 0
             kept, states = [], []
-            times = range(at, min(at + window, len(s.token)))
-            for t in times:
-                n = s.active[t]
-                h = h[:n].copy()
-                h[s.begin[t, :n]] = 0
-                new, z, r, inner_n, inner = _step(p, h, s.source[t, :n])
+            to = min(at + window, s.steps)
+            for t in range(at, to):
+                own = slice(s.edge[t], s.edge[t + 1])
+                h = np.where(s.begin[own, None], np.float32(0), h[:own.stop - own.start])
+                new, z, r, inner_n, inner = _step(p, h, s.source[own])
                 kept.append((h, z, r, inner_n, inner))
                 states.append(new)
                 h = new
-            sizes = [len(x) for x in states]
-            token = np.concatenate([s.token[t, :n] for t, n in zip(times, sizes)])
-            _, dh_out = _outputs(shape, p, np.concatenate(states), token, grad, 1 / len(token))
-            ends = np.cumsum(sizes)
+            from_, all_ = s.edge[at], slice(s.edge[at], s.edge[to])
+            _, dh_out = _outputs(shape, p, np.concatenate(states), s.token[all_], grad, 1 / (all_.stop - from_))
             back = np.zeros((0, HIDDEN), np.float32)
-            das, sources = [], []
-            for i in range(len(states) - 1, -1, -1):
-                h0, z, r, n, inner = kept[i]
-                dh = dh_out[ends[i] - sizes[i]:ends[i]].copy()
+            da = np.empty((all_.stop - from_, 3 * HIDDEN), np.float32)
+            du = np.empty_like(da)
+            for t in range(to - 1, at - 1, -1):
+                h0, z, r, n, inner = kept[t - at]
+                own = slice(s.edge[t] - from_, s.edge[t + 1] - from_)
+                dh = dh_out[own]
                 dh[:len(back)] += back
                 dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h0 - n) * z * (1 - z)
-                dr = dn * inner * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                grad["u"] += h0.T @ du
-                grad["bn"] += du[:, 2 * HIDDEN:].sum(axis=0)
-                back = dh * z + du @ p["u"].T
-                back[s.begin[times[i], :sizes[i]]] = 0
-                das.append(np.concatenate([dz, dr, dn], axis=1))
-                sources.append(s.source[times[i], :sizes[i]])
-            source, da = np.concatenate(sources), np.concatenate(das)
-            order = np.argsort(source, kind="stable")
+                da[own, :HIDDEN] = du[own, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
+                da[own, HIDDEN:2 * HIDDEN] = du[own, HIDDEN:2 * HIDDEN] = dn * inner * r * (1 - r)
+                da[own, 2 * HIDDEN:] = dn
+                du[own, 2 * HIDDEN:] = dn * r
+                back = dh * z + du[own] @ p["u"].T
+                back[s.begin[s.edge[t]:s.edge[t + 1]]] = 0
+            grad["u"] += np.concatenate([k[0] for k in kept]).T @ du
+            grad["bn"] += du[:, 2 * HIDDEN:].sum(axis=0)
+            source = s.source[all_]
+            order = np.argsort(source.astype(np.int16), kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(source[order]) > 0])
             grad["x"][source[order[first]]] += np.add.reduceat(da[order], first)
             norm = float(np.sqrt((slope * slope).sum()))

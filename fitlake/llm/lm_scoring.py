@@ -1,9 +1,9 @@
 """Language-model scoring of documents.
 
 Counts of all words of all training documents give the base score and the probabilities of words inside the
-kinds of rare words. A gated recurrent network over the frequent words and the kinds is warmed up on a
-bounded sample, then trained in every partition on all its training documents, and the weights are averaged
-by tokens. Each block of documents asks for the counts of its distinct words, and scores whole texts
+kinds of rare words. A gated recurrent network over the frequent words and the kinds starts from these counts and is
+trained in rounds: a round takes the next share of all training documents, every partition goes on from the common
+weights with its own, and the weights are averaged by tokens. Each training document is learnt from once. Each block of documents asks for the counts of its distinct words, and scores whole texts
 with the state carried across windows.
 """
 
@@ -23,9 +23,10 @@ from fitlake.llm.quality import remainder
 from fitlake.session import written
 
 BLOCK_BYTES = 16 << 20
-#: Training documents of the warm-up, at most; those with the smallest hash.
-WARM_ROWS = 1500
-WARM_ROUNDS, WARM_RATE, RATE = 3, 0.02, 0.004
+#: Learning rate of each round; the documents are dealt to the rounds by hash.
+RATES = (0.02, 0.008, 0.004)
+#: Tokens that a lane of training runs through without a new start; longer documents train in stretches.
+STRETCH = 2048
 #: Tokens of a partition that are trained on together.
 TRAIN_TOKENS = 4_000_000
 PARTS = 64
@@ -58,7 +59,7 @@ def _count(batches):
             ids = np.fromiter(map(numbers.__getitem__, tokens_of(text)), np.int64)
             rows.setdefault(block, []).append((ids, learn))
         h = _hashes(numbers)
-        kinds = np.fromiter(map(gru.kind_of, numbers), np.int64, len(numbers))
+        kinds = gru.kinds_of(list(numbers))
         for block, own in rows.items():
             every = np.unique(np.concatenate([ids for ids, _ in own]))
             n = np.bincount(np.concatenate([ids for ids, learn in own if learn] or [np.zeros(0, np.int64)]),
@@ -82,7 +83,7 @@ class Model:
         for kind, row in kinds.items():
             self.mass[kind] = row
         self.total, self.distinct = total, distinct
-        self.weights = gru.initial(self.shape)
+        self.weights = gru.initial(self.shape, counts=np.r_[self.counts, self.mass[:, 0]])
 
     def tokens(self, h: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Number of each word: its own for frequent words, else that of its kind."""
@@ -95,11 +96,11 @@ class Model:
 def _documents(model: Model, texts: list[bytes | None]) -> list[np.ndarray]:
     numbers = _Numbers()
     ids = [np.fromiter(map(numbers.__getitem__, tokens_of(t)), np.int64) for t in texts]
-    own = model.tokens(_hashes(numbers), np.fromiter(map(gru.kind_of, numbers), np.int64, len(numbers)))
+    own = model.tokens(_hashes(numbers), gru.kinds_of(list(numbers)))
     return [own[i] for i in ids]
 
 
-def _trained(model: Model, rate: float, rounds: int):
+def _trained(model: Model, rate: float):
     def run(batches):
         weights, seen = model.weights, 0
         held: list[np.ndarray] = []
@@ -108,12 +109,13 @@ def _trained(model: Model, rate: float, rounds: int):
         def learn() -> None:
             nonlocal weights, seen, held, size
             if held:
-                weights, n = gru.train(model.shape, weights, held, rate, rounds=rounds)
+                weights, n = gru.train(model.shape, weights, held, rate)
                 seen, held, size = seen + n, [], 0
 
         for batch in batches:
-            held += _documents(model, K.as_bytes(batch.column("text")))
-            size = sum(map(len, held))
+            for d in _documents(model, K.as_bytes(batch.column("text"))):
+                held += [d[at:at + STRETCH] for at in range(0, len(d), STRETCH)]
+                size += len(d)
             if size >= TRAIN_TOKENS:
                 learn()
         learn()
@@ -152,11 +154,10 @@ def fit(docs: DataFrame, counts: DataFrame, learn: Column) -> Model:
         kinds[r["kind"]][0] -= r["n"]
         kinds[r["kind"]][1] -= 1
     model = Model([r["h"] for r in top], [r["n"] for r in top], kinds, totals["total"] or 0, totals["distinct"])
-    own = docs.where(learn).select("doc_id", "text")
-    schema = "part int, sum binary, seen long"
-    warm = own.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_ROWS).select("text").coalesce(1)
-    model.weights = _averaged(warm.mapInArrow(_trained(model, WARM_RATE, WARM_ROUNDS), schema), model.weights)
-    model.weights = _averaged(own.select("text").mapInArrow(_trained(model, RATE, 1), schema), model.weights)
+    share = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(len(RATES)))
+    for i, rate in enumerate(RATES):
+        own = docs.where(learn & (share == i)).select("text")
+        model.weights = _averaged(own.mapInArrow(_trained(model, rate), "part int, sum binary, seen long"), model.weights)
     return model
 
 
@@ -167,7 +168,7 @@ def _scored(model: Model, names: list[str]):
         numbers = _Numbers()
         ids = [np.fromiter(map(numbers.__getitem__, tokens_of(t)), np.int64) for t in K.as_bytes(docs["text"])]
         h = _hashes(numbers)
-        kinds = np.fromiter(map(gru.kind_of, numbers), np.int64, len(numbers))
+        kinds = gru.kinds_of(list(numbers))
         count = np.zeros(len(h), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)

@@ -79,3 +79,66 @@ def test_held_out_texts_gain(spark):
 def test_few_rows(spark, rows):
     out, _ = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.count() == len(rows)
+
+
+def plain_kind(word):
+    if any(0x30 <= b <= 0x39 for b in word):
+        return gru.KINDS - 1
+    pairs = {word[i] << 8 | word[i + 1] for i in range(len(word) - 1)}
+    script = next((s + 1 for s, own in enumerate(gru._SCRIPTS) if pairs & own), 0)
+    last = word[-1] if word else 0x61
+    mark = 0 if 0x61 <= last <= 0x7A or last >= 0x80 else 1 if last in b".," else 2
+    return (script * 3 + mark) * 2 + (len(word) > 6)
+
+
+def test_kinds_are_those_of_single_words():
+    rng = random.Random(2)
+    words = [b"", b"a", b"\xc3", "é".encode(), "ñandú.".encode(), b"x" * 7, b"7", b"a!", "größe,".encode(), b"\x00"]
+    words += ["".join(rng.choice("abz09.,!éñöß\0") for _ in range(rng.randint(0, 9))).encode() for _ in range(3000)]
+    for own in (words, words[:1], [], [b"", b""]):
+        assert gru.kinds_of(own).tolist() == [plain_kind(w) for w in own]
+
+
+def test_one_very_long_text_takes_memory_by_its_tokens():
+    """A million tokens beside short texts: no lane is padded, and the state runs through the whole text."""
+    rng = np.random.default_rng(3)
+    long = rng.integers(0, 100, 1_000_000).astype(np.int32)
+    docs = [long, *(rng.integers(0, 100, 30).astype(np.int32) for _ in range(2000))]
+    s = gru.Streams.of(docs, 200, 512)
+    total = sum(map(len, docs))
+    assert len(s.token) == len(s.source) == total and s.steps == len(long)
+    assert sorted(s.place[:5].tolist() + s.place[-5:].tolist())[-1] < total and len(np.unique(s.place)) == total
+    assert s.token[np.argsort(s.place)].tolist() == np.concatenate(docs).tolist()
+    shape = gru.Shape(100)
+    flat = gru.initial(shape) * 3
+    part = [long[:3000], *docs[1:40]]
+    assert np.allclose(gru.score(shape, flat, part), [gru.score(shape, flat, [d])[0] for d in part], rtol=1e-4)
+
+
+def test_counts_are_the_start_of_the_network():
+    shape = gru.Shape(70)
+    counts = np.arange(1, 71 + gru.KINDS - 1 + 1)[:70 + gru.KINDS].astype(float)
+    flat = gru.initial(shape, counts=counts)
+    gru.unpack(shape, flat)["x"][...] = 0
+    got = np.array([gru.score(shape, flat, [np.array([t], np.int32)])[0] for t in range(70 + gru.KINDS)])
+    assert np.allclose(got, np.log((counts + 0.5) / (counts + 0.5).sum()), atol=2e-2)
+
+
+def test_every_training_document_is_learnt_from_once(spark):
+    """The rounds part the training documents, and no sample stands in for them."""
+    rows = [(i, f"w{i} a b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    average = lm_scoring._averaged
+
+    def spy(got, weights):
+        got = got.collect()
+        seen.append(sum(r.seen for r in got if r.part == 0))
+        return weights
+
+    try:
+        lm_scoring._averaged = spy
+        _, total = lm_scoring.score(df)
+    finally:
+        lm_scoring._averaged = average
+    assert len(seen) == len(lm_scoring.RATES) and sum(seen) == total
