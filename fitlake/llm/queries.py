@@ -73,7 +73,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, carry=["doc_id"])
     return found.select(
         "doc_id", *(pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE),
-        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"),
+        *(pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.ADDED_KINDS),
+        F.size("spans").cast("long").alias("n_spans"))
 
 
 @query("op6_minhash_near_dedup", r"""

@@ -91,3 +91,43 @@ def test_digest_text_and_counts(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_values_after_key_words_and_grouped_numbers(spark):
+    rows = []
+    for i in range(40):
+        rows += [(10 * i, "his password: correcthorse of old"), (10 * i + 1, "then password: hunter2, he said"),
+                 (10 * i + 2, "set pwd=Summer!Rain and go"), (10 * i + 3, f"please call 555 123 45{i:02d} at noon"),
+                 (10 * i + 4, "the token was kept and the secret known"), (10 * i + 5, f"in 1999 some 1200{i:02d} came to page 12345678")]
+    want = {0: ["correcthorse"], 1: ["hunter2,"], 2: ["Summer!Rain"], 4: [], 5: []}
+    for doc, r in run(spark, rows).items():
+        more = [tuple(s) for s in r.spans][len(r.base):]
+        assert [r.text[b:e] for _, b, e in more] == want.get(doc % 10, [f"555 123 45{doc // 10:02d}"]), (r, more)
+        assert {k for k, _, _ in more} <= ({"number"} if doc % 10 == 3 else {"secret"})
+
+
+def test_very_long_texts_of_numbers(spark):
+    """200,000 numbers in one text: places by folds in stretches, overlaps by a sort."""
+    text = " ".join(f"1.2.3.{i % 300} 4{i:08d}x" for i in range(100_000))
+    row = run(spark, [(1, text), (2, "é " * 100_000 + "a@b.cc")])
+    want = [(k, b, e) for k, b, e in plain(text)]
+    assert [tuple(s) for s in row[1].base] == want and [tuple(s) for s in row[2].base] == [("email", 200_000, 200_006)]
+
+
+def test_columns_named_like_inner_ones(spark):
+    names = ("__text", "__own", "__email", "__found", "__candidates")
+    df = spark.createDataFrame([(1, "mail a@b.cc now")], "doc_id long, text string").selectExpr(
+        "*", *(f"'{n}' AS {n}" for n in names))
+    r = pii.find(df).first()
+    assert [r[n] for n in names] == list(names) and [tuple(s) for s in r.base] == [("email", 5, 11)]
+
+
+def test_touching_spans(spark):
+    rng = __import__("random").Random(1)
+    spans = lambda n: [(a, a + rng.randint(1, 5)) for a in (rng.randint(0, 3000) for _ in range(n))]
+    own, others = sorted(spans(700)), spans(40)
+    kind = "array<struct<start:bigint,end:bigint,surface:string,before:string>>"
+    df = spark.createDataFrame([([(a, b, "s", "b") for a, b in own], [(a, b, "s", "b") for a, b in others])],
+                               f"own {kind}, others {kind}")
+    got = df.select(pii.apart(F.col("own"), F.col("others")).alias("kept")).first().kept
+    assert [(r.start, r.end) for r in got] == [c for c in own if all(b[1] <= c[0] or c[1] <= b[0] for b in others)]
