@@ -42,7 +42,7 @@ STRICT = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|
 GROUPED = r"\(?[0-9]{3}\)?[\x20.-][0-9]{2,3}[\x20.-][0-9]{4}(?![0-9])"
 #: A value set after a key word; a number in groups; or a longer word with a digit, after a blank, quote, bracket or mark.
 KEYED = rf"(?<=(?:(?i:{KEY}))[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'=:()]{{4,}}+"
-WORD = r"(?<![^\s\"'=:(])(?=[^\s\"'=:()]{0,4096}?[0-9])[^\s\"'=:()]{8,}+"
+WORD = r"(?<![^\s\"'=:(])(?=[^\s\"'=:()0-9]*+[0-9])[^\s\"'=:()]{8,}+"
 CANDIDATE = rf"(?<![0-9A-Za-z+.-]){GROUPED}|{WORD}"
 CONTEXT = 24
 LABELERS = ("strict", "key_word", "number_word", "mark", "make_up", "against")
@@ -192,7 +192,8 @@ def _make_up(c: Column) -> dict[str, Column]:
 def candidates(docs: DataFrame) -> DataFrame:
     """Base spans' rows with ``__candidates``: words worth a vote that touch no base span, with votes and features."""
     text, base = F.col("__text"), F.concat(*(F.col(f"__{k}") for k in BASE))
-    found = F.when(text.rlike(f"(?i:{KEY})[\"']?\\s{{0,2}}[=:]"), located(text, f"{KEYED}|{CANDIDATE}")).when(
+    marked = text.contains("=") | text.contains(":")  # most texts need no search for key words
+    found = F.when(marked & text.rlike(f"(?i:{KEY})[\"']?\\s{{0,2}}[=:]"), located(text, f"{KEYED}|{CANDIDATE}")).when(
         text.rlike("[0-9]"), located(text, CANDIDATE))
     # two columns, so that a text is searched once
     out = docs.withColumn("__found", found).withColumn("__candidates", F.when(F.size("__found") > 0, F.when(
