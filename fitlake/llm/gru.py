@@ -143,59 +143,83 @@ class Streams:
         return Streams(source, token, place, begin, edge, len(dealt))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _step(p: dict, h: np.ndarray, source: np.ndarray) -> tuple:
-    a, u = p["x"][source], h @ p["u"]
+def _step(p: dict, h: np.ndarray, a: np.ndarray) -> tuple:
+    """One step of all lanes: states and gates have a row per unit and a column per lane."""
     k = HIDDEN
-    zr = _sigmoid(a[:, :2 * k] + u[:, :2 * k])
-    inner = u[:, 2 * k:] + p["bn"]
-    n = np.tanh(a[:, 2 * k:] + zr[:, k:] * inner)
-    z = zr[:, :k]
-    return n + z * (h - n), z, zr[:, k:], n, inner
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+    u = p["u"].T @ h
+    zr = a[:2 * k] + u[:2 * k]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    inner = u[2 * k:]
+    inner += p["bn"][:, None]
+    n = zr[k:] * inner
+    n += a[2 * k:]
+    np.tanh(n, out=n)
+    z = zr[:k]
+    new = h - n
+    new *= z
+    new += n
+    return new, z, zr[k:], n, inner
+
+
+def _begun(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """States of the lanes in use; those that begin a document start from zero."""
+    h = h[:, :len(begin)]
+    if begin.any():
+        h = h.copy()
+        h[:, begin] = 0
+    return h
+
+
+def _softmax(x: np.ndarray, picked) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of the entry that ``picked`` takes from each column; ``x`` becomes exponentials, summed in ``total``."""
+    x -= x.max(axis=0)
+    out = picked(x)
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return out - np.log(total), total
 
 
 def _outputs(shape: Shape, p: dict, h: np.ndarray, token: np.ndarray, grad: dict | None, weight: float):
-    """Natural log-probability of each token (of its kind, for other words), and the gradient of h."""
-    frequent = token < shape.words
-    group = np.where(frequent, token // CLASS, token - shape.words + shape.groups)
-    x = h @ p["wc"] + p["bc"]
-    prob, total = _softmax(x)
-    row = np.arange(len(h))
-    out = x[row, group] - total
+    """Natural log-probability of each token (of its kind, for other words), and the gradient of h.
+
+    Columns are sorted by class, so that a class is a slice.
+    """
+    group = np.where(token < shape.words, token // CLASS, token - shape.words + shape.groups).astype(np.int16)
+    order = np.argsort(group, kind="stable")  # a radix sort
+    edge = np.searchsorted(group[order], np.arange(shape.classes + 1)).tolist()
+    own = [(g, a, b) for g, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+    h, token = h[:, order], token[order]
+    x = p["wc"].T @ h
+    x += p["bc"][:, None]
+    out, total = _softmax(x, lambda y: np.concatenate([y[g, a:b] for g, a, b in own]))
     dh = None
     if grad is not None:
-        prob[row, group] -= 1
-        prob *= weight
-        grad["wc"] += h.T @ prob
-        grad["bc"] += prob.sum(axis=0)
-        dh = prob @ p["wc"].T
-    order = np.argsort(group.astype(np.int16), kind="stable")  # a radix sort
-    edge = np.searchsorted(group[order], np.arange(shape.groups + 1))
-    for g in range(shape.groups):
-        own = order[edge[g]:edge[g + 1]]
-        if not len(own):
-            continue
-        x = h[own] @ p["ww"][g] + p["bw"][g]
-        prob, total = _softmax(x)
-        place = token[own] % CLASS
-        out[own] += x[np.arange(len(own)), place] - total
+        x *= np.float32(weight) / total
+        for g, a, b in own:
+            x[g, a:b] -= weight
+        grad["wc"] += h @ x.T
+        grad["bc"] += x.sum(axis=1)
+        dh = p["wc"] @ x
+    for g, a, b in own:
+        if g >= shape.groups:
+            break
+        x = p["ww"][g].T @ h[:, a:b]
+        x += p["bw"][g][:, None]
+        at = token[a:b] % CLASS, np.arange(b - a)
+        more, total = _softmax(x, lambda y: y[at])
+        out[a:b] += more
         if grad is not None:
-            prob[np.arange(len(own)), place] -= 1
-            prob *= weight
-            grad["ww"][g] += h[own].T @ prob
-            grad["bw"][g] += prob.sum(axis=0)
-            dh[own] += prob @ p["ww"][g].T
-    return out, dh
+            x *= np.float32(weight) / total
+            x[at] -= weight
+            grad["ww"][g] += h[:, a:b] @ x.T
+            grad["bw"][g] += x.sum(axis=1)
+            dh[:, a:b] += p["ww"][g] @ x
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back], None if dh is None else dh[:, back]
 
 
 def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: int = 512,
@@ -204,17 +228,17 @@ def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: in
     p = unpack(shape, flat)
     s = Streams.of(documents, shape.start, width)
     value = np.zeros(len(s.token))
-    h = np.zeros((s.width, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, s.width), np.float32)
     for at in range(0, s.steps, window):
         to = min(at + window, s.steps)
-        states = []
+        from_, all_ = s.edge[at], slice(s.edge[at], s.edge[to])
+        inputs = np.ascontiguousarray(p["x"][s.source[all_]].T)
+        states = np.empty((HIDDEN, all_.stop - from_), np.float32)
         for t in range(at, to):
-            own = slice(s.edge[t], s.edge[t + 1])
-            h = np.where(s.begin[own, None], np.float32(0), h[:own.stop - own.start])
-            h = _step(p, h, s.source[own])[0]
-            states.append(h)
-        own = slice(s.edge[at], s.edge[to])
-        value[s.place[own]] = _outputs(shape, p, np.concatenate(states), s.token[own], None, 0.0)[0]
+            own = slice(s.edge[t] - from_, s.edge[t + 1] - from_)
+            h = _step(p, _begun(h, s.begin[s.edge[t]:s.edge[t + 1]]), inputs[:, own])[0]
+            states[:, own] = h
+        value[s.place[all_]] = _outputs(shape, p, states, s.token[all_], None, 0.0)[0]
     ends = np.cumsum([len(d) for d in documents])
     return [float(value[e - len(d):e].sum()) for e, d in zip(ends, documents)]
 
@@ -225,6 +249,7 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
 
     The state runs on from window to window of a document; gradients stop at a window's edge.
     """
+    k = HIDDEN
     flat = flat.astype(np.float32).copy()
     p = unpack(shape, flat)
     s = Streams.of(documents, shape.start, width)
@@ -232,41 +257,51 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
     grad = unpack(shape, slope)
     mean, square, steps = np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(rounds):
-        h = np.zeros((s.width, HIDDEN), np.float32)
+        h = np.zeros((k, s.width), np.float32)
         for at in range(0, s.steps, window):
             slope[...] = 0
-            kept, states = [], []
             to = min(at + window, s.steps)
-            for t in range(at, to):
-                own = slice(s.edge[t], s.edge[t + 1])
-                h = np.where(s.begin[own, None], np.float32(0), h[:own.stop - own.start])
-                new, z, r, inner_n, inner = _step(p, h, s.source[own])
-                kept.append((h, z, r, inner_n, inner))
-                states.append(new)
-                h = new
             from_, all_ = s.edge[at], slice(s.edge[at], s.edge[to])
-            _, dh_out = _outputs(shape, p, np.concatenate(states), s.token[all_], grad, 1 / (all_.stop - from_))
-            back = np.zeros((0, HIDDEN), np.float32)
-            da = np.empty((all_.stop - from_, 3 * HIDDEN), np.float32)
-            du = np.empty_like(da)
-            for t in range(to - 1, at - 1, -1):
-                h0, z, r, n, inner = kept[t - at]
-                own = slice(s.edge[t] - from_, s.edge[t + 1] - from_)
-                dh = dh_out[own]
-                dh[:len(back)] += back
-                dn = dh * (1 - z) * (1 - n * n)
-                da[own, :HIDDEN] = du[own, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
-                da[own, HIDDEN:2 * HIDDEN] = du[own, HIDDEN:2 * HIDDEN] = dn * inner * r * (1 - r)
-                da[own, 2 * HIDDEN:] = dn
-                du[own, 2 * HIDDEN:] = dn * r
-                back = dh * z + du[own] @ p["u"].T
-                back[s.begin[s.edge[t]:s.edge[t + 1]]] = 0
-            grad["u"] += np.concatenate([k[0] for k in kept]).T @ du
-            grad["bn"] += du[:, 2 * HIDDEN:].sum(axis=0)
             source = s.source[all_]
+            inputs = np.ascontiguousarray(p["x"][source].T)
+            edge = (s.edge[at:to + 1] - from_).tolist()
+            # a step's values stand together; over the window they are one row each: gates, proposed state, inner part, state before
+            held = np.empty((5, k * len(source)), np.float32)
+            spans = [slice(k * a, k * b) for a, b in zip(edge, edge[1:])]
+            befores, afters = [], []
+            for a, b, own in zip(edge, edge[1:], spans):
+                befores.append(_begun(h, s.begin[from_ + a:from_ + b]))
+                h, *rest = _step(p, befores[-1], inputs[:, a:b])
+                afters.append(h)
+                for row, value in zip(held, (*rest, befores[-1])):
+                    row[own].reshape(k, b - a)[...] = value
+            _, dh_out = _outputs(shape, p, np.concatenate(afters, axis=1), s.token[all_], grad, 1 / len(source))
+            z, r, n, inner, before = held
+            to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+            parts = []  # slopes of the gates, the inner part and the proposed state
+            back = np.zeros((k, 0), np.float32)
+            for a, b, own in zip(edge[-2::-1], edge[:0:-1], reversed(spans)):
+                dh = dh_out[:, a:b].copy()
+                dh[:, :back.shape[1]] += back
+                d = np.empty((4 * k, b - a), np.float32)
+                dn = np.multiply(dh, to_n[own].reshape(k, -1), out=d[3 * k:])
+                np.multiply(dh, to_z[own].reshape(k, -1), out=d[:k])
+                np.multiply(dn, to_r[own].reshape(k, -1), out=d[k:2 * k])
+                np.multiply(dn, r[own].reshape(k, -1), out=d[2 * k:3 * k])
+                parts.append(d)
+                back = p["u"] @ d[:3 * k]
+                dh *= z[own].reshape(k, -1)
+                back += dh
+                begin = s.begin[from_ + a:from_ + b]
+                if begin.any():
+                    back[:, begin] = 0
+            slopes, before = np.concatenate(parts[::-1], axis=1), np.concatenate(befores, axis=1)
+            grad["u"] += before @ slopes[:3 * k].T
+            grad["bn"] += slopes[2 * k:3 * k].sum(axis=1)
+            slopes[2 * k:3 * k] = slopes[3 * k:]
             order = np.argsort(source.astype(np.int16), kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(source[order]) > 0])
-            grad["x"][source[order[first]]] += np.add.reduceat(da[order], first)
+            grad["x"][source[order[first]]] += np.add.reduceat(np.ascontiguousarray(slopes[:3 * k].T)[order], first)
             norm = float(np.sqrt((slope * slope).sum()))
             if norm > 1:
                 slope /= norm
