@@ -50,23 +50,18 @@ def _hashes(words: _Numbers) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _count(batches):
-    for batch in batches:
-        numbers = _Numbers()
-        rows: dict[int, list] = {}
-        for text, block, learn in zip(K.as_bytes(batch.column("text")), batch.column("block").to_pylist(),
-                                      batch.column("learn").to_pylist()):
-            ids = np.fromiter(map(numbers.__getitem__, tokens_of(text)), np.int64)
-            rows.setdefault(block, []).append((ids, learn))
-        h = _hashes(numbers)
-        kinds = gru.kinds_of(list(numbers))
-        for block, own in rows.items():
-            every = np.unique(np.concatenate([ids for ids, _ in own]))
-            n = np.bincount(np.concatenate([ids for ids, learn in own if learn] or [np.zeros(0, np.int64)]),
-                            minlength=len(numbers))[every]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(every), block), pa.int32()), pa.array(K.signed(h[every]), pa.int64()),
-                 pa.array(kinds[every], pa.int32()), pa.array(n, pa.int64())], ["block", "h", "kind", "n"])
+def _count(docs: pa.Table) -> pa.Table:
+    """The distinct words of a block, with how often its training documents hold each."""
+    numbers = _Numbers()
+    count = np.zeros(0, np.int64)
+    for text, learn in zip(K.as_bytes(docs["text"]), docs["learn"].to_pylist()):
+        ids = np.fromiter(map(numbers.__getitem__, tokens_of(text)), np.int64)
+        if len(count) < len(numbers):
+            count = np.concatenate([count, np.zeros(len(numbers) + len(count), np.int64)])
+        if learn:
+            np.add.at(count, ids, 1)
+    return pa.table({"block": pa.repeat(docs["block"][0], len(numbers)), "h": pa.array(K.signed(_hashes(numbers)), pa.int64()),
+                     "kind": pa.array(gru.kinds_of(list(numbers)), pa.int32()), "n": pa.array(count[:len(numbers)])})
 
 
 class Model:
@@ -204,8 +199,7 @@ def score(docs: DataFrame, by: int = 5, held: int = 1, carry: list[str] | None =
     blocks = K.groups_for(K.text_bytes(docs), BLOCK_BYTES)
     asked = written(
         docs.select("text", K.block_of(blocks).alias("block"), learn.alias("learn"))
-        .mapInArrow(_count, "block int, h long, kind int, n long")
-        .groupBy("block", "h", "kind").agg(F.sum("n").alias("n")), "words")
+        .groupBy("block").applyInArrow(_count, "block int, h long, kind int, n long"), "words")
     counts = written(asked.groupBy("h", "kind").agg(F.sum("n").alias("n")), "word-counts")
     model = fit(docs, counts, learn)
     answers = asked.select("block", "h").join(counts.select("h", F.col("n").alias("c")), "h").select("block", "h", "c")
