@@ -21,8 +21,10 @@ from fitlake.functions.scalars import total
 from fitlake.operators.distributions import discard_lowest, high_probability, usable
 from fitlake.operators.ordered import CHUNK, chunk_rows, frames, number
 from fitlake.operators.series import batch_rows
-from fitlake.session import checkpoint_dir, written
+from fitlake.session import checkpoint_dir, shuffle_join, written
 
+#: Components in a table of moves that may be broadcast; larger tables are joined by shuffle.
+BROADCAST_MOVES = 200_000
 SUMS = ("n", "s_d", "s_p", "s_dp", "s_pp", "s_dd")
 
 
@@ -249,12 +251,12 @@ def remove_degeneracies(weights: DataFrame, comps: DataFrame, n_comps: int) -> t
     scale = weights.groupBy("set_id", "comp").agg(F.coalesce(F.nullif(F.abs(F.sum("w")), F.lit(0.0)), F.lit(1.0)).alias("factor"))
     half = F.floor(F.col("comp") / (n_comps // 2))
     order = Window.partitionBy("set_id", "half").orderBy(F.desc("log_sigma"), "comp")
-    scaled = (comps.join(scale, ["set_id", "comp"])
+    scaled = (shuffle_join(comps, scale, ["set_id", "comp"])
               .withColumns({"log_sigma": F.col("log_sigma") + F.ln("factor"),
                             "mu": F.col("mu") * F.col("factor"), "half": half})
               .withColumn("new_comp", (F.col("half") * (n_comps // 2)
                                        + F.row_number().over(order) - 1).cast("int")))
-    moved = weights.join(scaled.select("set_id", "comp", "new_comp", "factor"), ["set_id", "comp"])
+    moved = shuffle_join(weights, scaled.select("set_id", "comp", "new_comp", "factor"), ["set_id", "comp"])
     return (moved.select("set_id", "row", "new_comp", (F.col("w") / F.col("factor")).alias("w")),
             scaled.select("set_id", "comp", "new_comp", "factor", "mu", "log_sigma", "log_tau"))
 
@@ -268,13 +270,22 @@ def moves(comps: DataFrame, n_comps: int) -> DataFrame:
     return comps.groupBy("set_id").agg(F.array_sort(F.collect_list(cell)).alias("moves"))
 
 
+def _with_moves(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """Rows with the moves of their set; the table of moves is settled first, so that its cells can be counted."""
+    found = written(moved, "moves")
+    cells = found.agg(F.sum(F.size("moves"))).first()[0] or 0
+    if cells <= BROADCAST_MOVES:
+        return rows.join(F.broadcast(found), "set_id")
+    return shuffle_join(rows, found, ["set_id"])
+
+
 def moved_rows(rows: DataFrame, moved: DataFrame, times: Sequence[str] = (), over: Sequence[str] = ()) -> DataFrame:
     """Long rows (set_id, comp, ...) at their new component; the columns ``times`` grow by the factor, ``over`` shrink by it.
 
     For latents, means and spreads as for mixing weights and signs: with latents times and weights over the factor, the mixed
-    signal and every score of it stay. The table of moves is settled first, so that its size tells how to join.
+    signal and every score of it stay.
     """
-    found = rows.join(written(moved, "moves"), "set_id")
+    found = _with_moves(rows, moved)
     own = F.element_at("moves", F.col("comp").cast("int") + 1)
     scaled = {c: F.col(c) * own["factor"] for c in times} | {c: F.col(c) / own["factor"] for c in over}
     return found.withColumns({**scaled, "comp": own["to"]}).select(*rows.columns)
@@ -282,7 +293,7 @@ def moved_rows(rows: DataFrame, moved: DataFrame, times: Sequence[str] = (), ove
 
 def moved_arrays(rows: DataFrame, moved: DataFrame, values: str) -> DataFrame:
     """The same for rows with one array of all components: permuted and times the factor, without taking it apart."""
-    found = rows.join(written(moved, "moves"), "set_id")
+    found = _with_moves(rows, moved)
     order = F.array_sort(F.transform("moves", lambda m: F.struct(m["to"].alias("to"), m["comp"].alias("comp"),
                                                                  m["factor"].alias("factor"))))
     return found.withColumn(values, F.transform(order, lambda m: F.get(F.col(values), m["comp"]) * m["factor"])).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join that never broadcasts a side.
+
+    For rows unfolded from shorter ones and for well packed tables: Spark takes them for as small as the file they come
+    from, and would gather all of them in the driver.
+    """
+    return left.join(right.hint("merge"), list(on))

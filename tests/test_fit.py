@@ -211,3 +211,11 @@ def test_search_with_some_scores_missing(spark):
     rows = found.collect()
     assert all(r.converged for r in rows) and all(r.a > 0 for r in rows if r.high)
     assert sum(r.high for r in rows) >= 10
+
+
+def test_unfolded_weights_are_never_broadcast(spark):
+    from fitlake.queries import fitting
+    weights, comps = T.remove_degeneracies(*fitting.mixing(spark, "/root/testdata/sf0.001"), n_comps=4)
+    for df in (weights, comps):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
