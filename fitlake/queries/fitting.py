@@ -11,6 +11,7 @@ from fitlake.operators import fit as T
 from fitlake.operators.sampling import batch_starts
 from fitlake.queries.likelihood import DT, LOG_SIGMA, MU, SIGMA, TAU, W, view
 from fitlake.queries.registry import query
+from fitlake.session import shuffle_join
 from fitlake.sources.tables import series, table
 
 MODEL = T.LatentModel(MU, SIGMA, TAU, W, DT)
@@ -117,11 +118,11 @@ def _(spark, sf):
     whole = latents.groupBy("set_id", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("comp", "value"))),
                                                            lambda x: x["value"]).alias("v"))
     arrays = T.moved_arrays(whole, moved, "v")
-    mixed = (signs.join(new_w.withColumnRenamed("new_comp", "comp"), ["set_id", "row", "comp"])
-             .join(long, ["set_id", "comp"]).groupBy("set_id", "k", "row")
+    signed = shuffle_join(signs, new_w.withColumnRenamed("new_comp", "comp"), ["set_id", "row", "comp"])
+    mixed = (shuffle_join(signed, long, ["set_id", "comp"]).groupBy("set_id", "k", "row")
              .agg(F.round(F.sum(F.col("a") * F.col("w") * F.col("value")), 7).alias("signal")))
     text = F.concat_ws(",", F.transform("v", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")))
-    return mixed.join(arrays.select("set_id", "k", text.alias("latents")), ["set_id", "k"])
+    return shuffle_join(mixed, arrays.select("set_id", "k", text.alias("latents")), ["set_id", "k"])
 
 
 @query("fit6_remove_degeneracies", f"""

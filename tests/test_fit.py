@@ -219,3 +219,11 @@ def test_unfolded_weights_are_never_broadcast(spark):
     for df in (weights, comps):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_mixed_signals_of_many_sets_are_not_broadcast(spark, monkeypatch):
+    from fitlake.queries import QUERIES, load_all
+    load_all()
+    monkeypatch.setattr(T, "BROADCAST_MOVES", 0)
+    plan = QUERIES["fit6_mixed_signal_stays"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
