@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from fitlake.functions import families
 from fitlake.operators.ordered import count_values, counted_summary, number
 from fitlake.operators.tags import resolve
+from fitlake.session import shuffle_join, written
+
+#: Rows of a table with one row per key that may be broadcast; longer ones are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def bin_count(lo: Column, hi: Column, ptp: Column, n: Column, q1: Column, q3: Column) -> Column:
@@ -20,6 +24,16 @@ def bin_count(lo: Column, hi: Column, ptp: Column, n: Column, q1: Column, q3: Co
     return F.when(hi > lo, F.ceil((hi - lo) / width)).otherwise(F.lit(1)).cast("long")
 
 
+def with_key_rows(df: DataFrame, settled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of a written table that has one row per key.
+
+    A short table is broadcast, as a shuffle by few keys would send all rows of a key to one task.
+    """
+    if settled.count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(settled), list(keys))
+    return shuffle_join(df, settled, keys)
+
+
 def bin_edges(counted: DataFrame, keys: Sequence[str], value: str,
               fixed: bool = False) -> DataFrame:
     """Range, size and automatic bin count per key of a table of distinct values with counts.
@@ -54,11 +68,11 @@ def histogram_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
                         bounds: DataFrame | None = None) -> DataFrame:
     v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
     if bounds is not None:
-        counted = counted.join(bounds, list(keys)).where(v.between(lo, hi))
-    edges = bin_edges(counted, keys, value, fixed=bounds is not None)
+        counted = with_key_rows(counted, written(bounds, "bounds"), keys).where(v.between(lo, hi))
+    edges = written(bin_edges(counted, keys, value, fixed=bounds is not None), "bins")
     slot = F.least(F.floor((v - lo) / (hi - lo) * F.col("bins")), F.col("bins") - 1).cast("long")
     width = (hi - lo) / F.col("bins")
-    return (counted.select(*keys, value, "n").join(edges, list(keys))
+    return (with_key_rows(counted.select(*keys, value, "n"), edges, keys)
             .groupBy(*keys, "lo", "hi", "total", "bins", slot.alias("bin"))
             .agg(F.sum("n").alias("freq"))
             .withColumn("density", F.col("freq") / (F.col("total") * width)))
@@ -113,10 +127,10 @@ def objective_marginal(df: DataFrame, keys: Sequence[str], value: str, logp: str
     Bins are open on the left and closed on the right, so a sample on the lowest edge is out.
     Empty bins count as zero and give no row, so a far outlier makes no table of empty bins.
     """
-    edges = bin_edges(count_values(df, keys, value), keys, value)
+    edges = written(bin_edges(count_values(df, keys, value), keys, value), "bins")
     lo, width = F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")
     slot = F.least(F.ceil((F.col(value) - lo) / width) - 1, F.col("bins") - 1)
-    means = (df.join(edges, list(keys)).withColumn("bin", slot.cast("long")).where("bin >= 0")
+    means = (with_key_rows(df, edges, keys).withColumn("bin", slot.cast("long")).where("bin >= 0")
              .groupBy(*keys, "bin").agg(F.avg(F.exp(logp)).alias("_p")))
     full = edges.join(means, list(keys)).withColumns({
         "p": F.col("_p"), "center": lo + (F.col("bin") + 0.5) * width})

@@ -110,3 +110,16 @@ def test_priors_with_finite_ends_and_counts(spark):
     assert got["w"][-1] == (5.25, 0.0)
     assert {x for x, _ in got["c"]} == {float(k) for k in range(7)} and dict(got["c"])[3.0] == pytest.approx(0.22404180765)
     assert got["t"][0] == (0.0, pytest.approx(0.7978845608)) and got["t"][-1][0] == pytest.approx(1.9599639845)
+
+
+def test_rows_of_few_keys_are_not_shuffled_whole(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(2000).selectExpr("'a' AS key", "double(id % 40) AS v", "-double(id % 7) AS logp").write.parquet(path)
+    df = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        for out in (D.objective_marginal(df, ["key"], "v", "logp"), D.histogram(df, ["key"], "v")):
+            assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
