@@ -114,7 +114,7 @@ def smooth_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
     at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (j / (points - 1)) for j in range(points)]
     z = [(a - F.col(value)) / F.col("_h") for a in at]
     kernel = [F.exp(-0.5 * x * x) / (F.col("_h") * (2 * 3.141592653589793) ** 0.5) for x in z]
-    sums = (df.join(stats, list(keys)).groupBy(*keys, "_lo", "_hi")
+    sums = (with_key_rows(df, written(stats, "stats"), keys).groupBy(*keys, "_lo", "_hi")
             .agg(*[F.avg(k).alias(f"_d{j}") for j, k in enumerate(kernel)]))
     cells = F.array(*[F.struct(F.lit(j).alias("j"), at[j].alias("point"),
                                F.col(f"_d{j}").alias("density")) for j in range(points)])

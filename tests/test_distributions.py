@@ -119,7 +119,8 @@ def test_rows_of_few_keys_are_not_shuffled_whole(spark, tmp_path):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
     try:
-        for out in (D.objective_marginal(df, ["key"], "v", "logp"), D.histogram(df, ["key"], "v")):
+        for out in (D.objective_marginal(df, ["key"], "v", "logp"), D.smooth_density(df, ["key"], "v"),
+                    D.histogram(df, ["key"], "v")):
             assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
