@@ -47,13 +47,15 @@ def random_series(axis: DataFrame, keys: Sequence[str], variables: Mapping[str,
                   seed: int = 0) -> DataFrame:
     """Independent draws at every point of a grid: per variable a distribution, a number of
     components and, for Poisson counts, a rate (1 if left out)."""
-    cells = []
+    draws, cells = {}, []
     for name, (dist, size, *rate) in variables.items():
         for i in range(size):
             key = (seed, name, i, *[F.col(k) for k in keys])
-            cells.append(F.struct(F.lit(name).alias("name"), F.lit(i).alias("idx"),
-                                  _draw(dist, key, *rate).alias("value")))
-    return axis.select(*keys, F.inline(F.array(*cells)))
+            drawn = f"_draw{len(cells)}"
+            draws[drawn] = _draw(dist, key, *rate)
+            cells.append(F.struct(F.lit(name).alias("name"), F.lit(i).alias("idx"), F.col(drawn).alias("value")))
+    # draws are columns of their own, as a generator computes what they share anew for each
+    return axis.select(*keys).withColumns(draws).select(*keys, F.inline(F.array(*cells)))
 
 
 def _draw(dist: str, key: Sequence, rate: float = 1.0) -> Column:
@@ -88,7 +90,8 @@ def poisson(rate: float, *key: Column | int | str) -> Column:
     table = F.array(*[F.lit(s) for s in steps])
 
     def part(u: Column) -> Column:
-        return F.size(F.filter(table, lambda s: s <= u)).cast("double")
+        # drawn once, not for every step
+        return families.let(lambda v: F.size(F.filter(table, lambda s: s <= v)), u).cast("double")
 
     if parts == 1:
         return part(rng.uniform(*key))

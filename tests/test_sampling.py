@@ -121,3 +121,9 @@ def test_key_conflicts(spark):
     keys = spark.createDataFrame([([3, 2],), ([3, 2, 1],), ([4],), ([5],), ([5],)], "key array<long>")
     got = {tuple(r["key"]): (r["n"], r["n_below"]) for r in S.key_conflicts(keys, "key").collect()}
     assert got == {(3, 2): (1, 1), (5,): (2, 0)}
+
+
+def test_a_count_is_drawn_from_one_digest(spark):
+    axis = spark.range(3).withColumnRenamed("id", "k")
+    plan = S.random_series(axis, ["k"], {"y": ("poisson", 1)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[plan.index("filter("):]  # no step hashes its key anew
