@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fitlake.functions import families
 from fitlake.operators.ordered import count_values, counted_summary, number
 from fitlake.operators.tags import resolve
-from fitlake.session import shuffle_join, written
+from fitlake.session import shuffle_join, spread, written
 
 #: Rows of a table with one row per key that may be broadcast; longer ones are joined by shuffle.
 BROADCAST_KEYS = 200_000
@@ -266,7 +266,7 @@ def truth_in_prior(df: DataFrame, keys: Sequence[str], points: int = 100) -> Dat
     v, low, high = F.col("v"), F.col("_l"), F.col("_h")
     ends = ends.withColumn("_lo", F.when(v < low, v - 0.05 * (high - v)).otherwise(low))
     ends = ends.withColumn("_hi", F.when(v > high, v + 0.05 * (v - F.col("_lo"))).otherwise(high))
-    grid = ends.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+    grid = spread(ends, points).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("j") / (points - 1))
     grid = grid.withColumn("x", F.when(dist == "poisson", F.floor("x").cast("double")).otherwise(F.col("x")))
     return grid.select(*keys, "j", "x", F.exp(families.log_density(F.col("x"), dist, names=names)).alias("pdf"))

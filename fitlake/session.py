@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Sequence
@@ -9,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Rows that a task of an unfolded table is to make.
+UNFOLDED_ROWS = 1_000_000
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -55,3 +58,12 @@ def shuffle_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFr
     from, and would gather all of them in the driver.
     """
     return left.join(right.hint("merge"), list(on))
+
+
+def spread(df: DataFrame, times: int) -> DataFrame:
+    """Rows dealt evenly over tasks before each of them is unfolded into ``times`` rows.
+
+    A short table is read by few tasks, and all that its rows unfold into would stay with these.
+    """
+    tasks = math.ceil(df.count() * times / UNFOLDED_ROWS)
+    return df.repartition(tasks) if tasks > 1 else df

@@ -124,3 +124,12 @@ def test_rows_of_few_keys_are_not_shuffled_whole(spark, tmp_path):
             assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_priors_of_a_short_table_unfold_in_several_tasks(spark, monkeypatch):
+    from fitlake import session
+    monkeypatch.setattr(session, "UNFOLDED_ROWS", 50)
+    df = spark.range(20).coalesce(1).selectExpr("id", "'normal' AS dist", "double(id) AS a", "2.0D AS b",
+                                                "double(null) AS lo", "double(null) AS hi", "double(id) AS v")
+    out = D.truth_in_prior(df, ["id"], 10)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 200
