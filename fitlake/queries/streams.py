@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fitlake.queries.convergence import BASE, CONSTANT, DIVERGING, PARAMS, base
 from fitlake.queries.registry import query
+from fitlake.session import written
 from fitlake.sources.tables import table
 from fitlake.streaming import live
 
 
 PARTS = 3
+FILE_ROWS = 250_000
+
+
+def stream_of(spark, name, rows, part, run):
+    """Rows as a stream of ``PARTS`` micro-batches in order of ``part``, each of as many files as its rows need.
+
+    The rows that a run has in a part are in one file, and files are read in order of their parts, so that each run
+    arrives in order whichever files a micro-batch takes.
+    """
+    folder = live.work_folder(spark, name)
+    files = max(1, math.ceil(rows.count() / PARTS / FILE_ROWS))
+    for i in range(PARTS):  # one write after the other, as the source reads files by their time
+        rows.where(part == i).repartition(files, run).write.mode("append").parquet(folder)
+    return live.read_files(spark, folder, "*.parquet", per_trigger=files)
 
 
 def steps(spark, sf):
-    """Events as a stream of several files in order of their number, one file per micro-batch."""
-    folder = live.work_folder(spark, "events")
+    """Events as a stream in order of their number."""
     events = table(spark, sf, "events")
     last = events.agg(F.max("event_id")).scalar()
     part = F.least(F.floor(F.col("event_id") * PARTS / (last + 1)), F.lit(PARTS - 1))
-    for i in range(PARTS):  # one write after the other, as the source reads files by their time
-        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    df = live.read_files(spark, folder, "*.parquet", per_trigger=1)
+    df = stream_of(spark, "events", events, part, "user_id")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return df.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value",
                      F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))).alias("at"))
@@ -50,13 +64,9 @@ def _(spark, sf):
 
 
 def trace_files(spark, sf):
-    """The long traces as a stream of several files in order of their steps."""
-    folder = live.work_folder(spark, "traces")
-    df = base(spark, sf)
-    for i in range(PARTS):  # one write after the other, as the source reads files by their time
-        df.where((F.col("k") >= 200 * i) & ((F.col("k") < 200 * (i + 1)) | F.lit(i == PARTS - 1))).coalesce(
-            1).write.mode("append").parquet(folder)
-    return live.read_files(spark, folder, "*.parquet", per_trigger=1)
+    """The long traces as a stream in order of their steps."""
+    part = F.least(F.floor(F.col("k") / 200), F.lit(PARTS - 1))
+    return stream_of(spark, "traces", written(base(spark, sf), "traces"), part, "run")
 
 
 @query("str2_live_tests", f"""

@@ -152,3 +152,19 @@ def test_merge_refuses_known_trials(spark, tmp_path):
         assert {(r.trial, r.v, r.reason, r.n_rows) for r in refused.collect()} == {
             ("b", 2, "trial given twice", 1), ("c", 1, "trial given twice", 1), ("a", 9, "trial already present", 1),
             (None, 6, "trial already present", 1)}
+
+
+def test_a_large_stream_is_written_as_several_files_a_part(spark, monkeypatch):
+    from fitlake.queries import QUERIES, SQL, load_all, streams
+    from tests.compare import compare, duck
+    load_all()
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    sf = "/root/testdata/sf0.001"
+    con = duck(sf)
+    n = con.execute("select count(*) from events").fetchone()[0]
+    sizes = []
+    read = streams.live.read_files
+    monkeypatch.setattr(streams.live, "read_files", lambda spark, folder, *a, **k: sizes.append(
+        (len(spark.read.parquet(folder).inputFiles()), k["per_trigger"])) or read(spark, folder, *a, **k))
+    assert compare(QUERIES["str2_live_convergence"](spark, sf), con, SQL["str2_live_convergence"]) is None
+    assert sizes[0][0] > streams.PARTS and sizes[0][1] == -(-n // (streams.PARTS * 40))
