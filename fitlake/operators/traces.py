@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fitlake.operators.ordered import frames, neighbours, number, running
 from fitlake.operators.series import grid_knots
+from fitlake.session import written
 
 # Default recording intervals of parameters, log-likelihood and latents.
 INTERVALS = {"Θ": 1.1, "log L": 1.05, "latents": 1.65}
@@ -110,6 +111,7 @@ def rebuild_state(
         key, F.col("asked").alias("request"),
         F.when(F.col("asked") == -1, F.col("_last")).otherwise(F.col("asked")).alias("asked"))
     first = nearest_step(latents, want, key).select(key, "request", F.col("nearest").alias("asked"))
+    first = written(first, "latent_steps")  # counted and read; one row per request
     return nearest_step(params, first, key).select(
         key, "request", F.col("asked").alias("latent_step"), F.col("nearest").alias("param_step"),
         (~F.col("exact")).alias("differs"))

@@ -9,6 +9,7 @@ from fitlake.operators.ordered import number
 from fitlake.operators.series import components, resample, slices
 from fitlake.queries.common import NAN_TRACES, RUNS, SERIES, TRACES
 from fitlake.queries.registry import query
+from fitlake.session import written
 from fitlake.sources.tables import irregular, runs, series, table, traces
 
 LONG_SQL = """long AS (
@@ -177,7 +178,8 @@ SELECT p.run, request::BIGINT AS request, latent_step, param_step, latent_step <
 FROM p JOIN series s ON s.trial = p.run AND s.k BETWEEN latent_step AND latent_step + 20
 GROUP BY ALL""")
 def _(spark, sf):
-    data = series(spark, sf).select(F.col("trial").alias("run"), F.col("k").alias("step"), "x1")
+    # lines are numbered once; latents, parameters and observations read the result
+    data = written(series(spark, sf).select(F.col("trial").alias("run"), F.col("k").alias("step"), "x1"), "series")
     latents = data.where("step % 10 = 0")
     params = data.where("step % 4 = 1")
     asked = table(spark, sf, "supplier").select(
