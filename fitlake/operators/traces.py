@@ -84,12 +84,16 @@ def last_records(asked: DataFrame, streams: Mapping[str, DataFrame], key: str =
 
     ``streams`` maps a name to records (key, step, ...); ``asked`` has the key and the step. All streams are merged with
     the asked steps into one sorted sequence, which is numbered once and carries the last record of every stream along, in
-    chunks where a run is long. Adds a struct per stream (its columns but the key); null before its first record.
+    chunks where a run is long. Records of runs that nothing is asked of stay out of it. Adds a struct per stream (its
+    columns but the key); null before its first record.
     """
     names = list(streams)
+    runs = asked.select(F.col(key).alias("_run")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_run"))  # a null key is a run too
     marks = {n: F.struct(F.col(step).alias(step), *[F.col(c) for c in s.columns if c not in (key, step)])
              for n, s in streams.items()}
-    rows = [s.select(F.col(key), F.col(step), marks[n].alias(n)) for n, s in streams.items()]
+    rows = [s.join(runs, same, "left_semi").select(F.col(key), F.col(step), marks[n].alias(n))
+            for n, s in streams.items()]
     extra = [c for c in asked.columns if c not in (key, step)]
     rows.append(asked.withColumn("_asked", F.lit(True)))
     merged = rows[0]

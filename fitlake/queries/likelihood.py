@@ -15,6 +15,7 @@ from fitlake.operators.traces import last_records
 from fitlake.queries.common import SERIES
 from fitlake.queries.registry import query
 from fitlake.queries.series import BATCHES, LENGTHS, batches, lengths
+from fitlake.session import written
 from fitlake.sources.tables import series, table
 
 DT = 0.5
@@ -318,7 +319,8 @@ s AS (SELECT a.*, mu0, x2, p2, x3, p3, y0, y1, p.step AS param_step FROM a ASOF
 SELECT trial AS run, step, id, param_step, round(-{NORM}, 10) AS norm,
        round(-{FQUAD.replace("p2 - 0.05", "p2 - mu0")}, 10) AS gauss, round({SE}, 10) AS se FROM s""")
 def _(spark, sf):
-    df = view(spark, sf, before=True).withColumnsRenamed({"trial": "run", "k": "step"})
+    # lines are numbered once; all three streams read the result
+    df = written(view(spark, sf, before=True).withColumnsRenamed({"trial": "run", "k": "step"}), "bins")
     asked = table(spark, sf, "orders").groupBy(
         (F.col("o_custkey") % 97 + 1).alias("run"), (F.col("o_orderkey") % 500).alias("step")).agg(
         F.min("o_orderkey").alias("id"))

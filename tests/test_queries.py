@@ -45,7 +45,7 @@ def test_entry(spark):
     assert df.columns[0] == "run" and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["join5_rebuild_state"])
+@pytest.mark.parametrize("name", ["join5_rebuild_state", "lik14_terms_of_recorded_steps"])
 def test_lines_are_numbered_once(spark, name):
     """All uses of the series read the numbered rows, not the lines again."""
     assert not [f for f in QUERIES[name](spark, SF).inputFiles() if f.endswith("lineitem.parquet")]
