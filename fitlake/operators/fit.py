@@ -177,27 +177,33 @@ Rule = tuple[Column, bool]
 
 def latent_updates(df: DataFrame, keys: Sequence[str], latents: Sequence[str],
                    seen: Sequence[str], model: LatentModel, rate: Mapping[str, float],
-                   rules: Sequence[Rule]) -> DataFrame:
+                   rules: Sequence[Rule], before: bool = False,
+                   longest: int | None = None) -> DataFrame:
     """Apply latent updates one after the other: each moves the rows of its condition along
-    the gradient, with or without the dynamics term.
+    the gradient, with or without the dynamics term. With ``before``, ``prev_x`` is the moved
+    value of the bin before, from the same sort.
 
     An update looks one bin to either side, so a halo of one bin per update makes the whole
-    sequence local to a chunk: all updates share one shuffle and one sort.
+    sequence local to a chunk: all updates share one shuffle and one sort. Where the bins of the
+    ``longest`` trace are known and fit a chunk, nothing has to be copied.
     """
-    n = len(rules)
+    n = len(rules) + int(before)
     size = max(chunk_rows(df), 2 * n)
+    split = longest is None or longest > size
     here, within = F.floor(F.col("k") / size), F.pmod(F.col("k"), F.lit(size))
     copies = F.array_compact(F.array(here, F.when(within >= size - n, here + 1),
                                      F.when((within < n) & (here > 0), here - 1)))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("k")
-    out = df.withColumn(CHUNK, F.explode(copies))
+    w = Window.partitionBy(*keys, *[CHUNK] * split).orderBy("k")
+    out = df.withColumn(CHUNK, F.explode(copies)) if split else df
     for condition, dynamics in rules:
         x, y = [F.col(c) for c in latents], [F.col(c) for c in seen]
         moved = {c: F.when(condition, F.col(c) + rate[c] * model.gradient(
             m, x, F.lag(c).over(w), F.lead(c).over(w), y, dynamics)).otherwise(F.col(c))
             for m, c in enumerate(latents)}
         out = out.withColumns(moved)
-    return out.where(F.col(CHUNK) == F.floor(F.col("k") / size)).drop(CHUNK)
+    if before:
+        out = out.withColumns({f"prev_{c}": F.lag(c).over(w) for c in latents})
+    return out.where(F.col(CHUNK) == F.floor(F.col("k") / size)).drop(CHUNK) if split else out
 
 
 def full_trace_rules(n: int) -> list[Rule]:

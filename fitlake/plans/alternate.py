@@ -13,7 +13,7 @@ from fitlake.operators.fit import (
 )
 from fitlake.operators.likelihood import with_neighbours
 from fitlake.operators.sampling import batch_starts
-from fitlake.session import checkpoint_dir
+from fitlake.session import checkpoint_dir, written
 
 PARAMS = ("mu", "log_sigma", "log_tau")
 
@@ -26,18 +26,22 @@ def alternated_fit(
     """Fit all runs at once; returns the parameter trace and the fitted latents.
 
     A round is two jobs whatever the number of runs: the batch sums with the parameter updates,
-    and the latent updates. The state after a round goes to the shared checkpoint folder, so a
-    lost executor costs at most one round.
+    and the latent updates. The bins and the state after a round go to the shared checkpoint folder, so
+    the bins are made once and a lost executor costs at most one round. They are stored with the latents of
+    the bin before, which a round takes from its own sort.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    columns = df.columns
+    df = written(with_neighbours(df, latents, [key]), "bins")
     segments = df.groupBy(key).agg(F.count("*").alias("K")).checkpoint()
+    longest = segments.agg(F.max("K")).first()[0]
     theta = None
     trace: list[DataFrame] = []
     for r in range(rounds):
         batches = batch_starts(segments, key, Kb, Nb, stream=r)
         pairs = {m: (c, f"prev_{c}") for m, c in enumerate(latents)}
-        sums = batch_sums(with_neighbours(df, latents, [key]), batches, key, Kb, pairs).join(segments, key)
+        sums = batch_sums(df, batches, key, Kb, pairs).join(segments, key)
         first: Sequence = start
         if theta is not None:
             sums = sums.join(theta, [key, "comp"])
@@ -54,6 +58,8 @@ def alternated_fit(
         model = LatentModel([F.col(f"_mu_{m}") for m in comps],
                             [F.exp(f"_log_sigma_{m}") for m in comps],
                             [F.exp(f"_log_tau_{m}") for m in comps], weights, dt)
-        df = latent_updates(df.join(wide, key), [key], latents, seen, model, rate,
-                            full_trace_rules(latent_steps)).select(*df.columns).checkpoint()
-    return reduce(DataFrame.unionByName, trace), df
+        more = r + 1 < rounds  # the last latents need no neighbours
+        df = latent_updates(df.join(wide, key), [key], latents, seen, model, rate, full_trace_rules(latent_steps),
+                            before=more, longest=longest)
+        df = written(df.select(*columns, *[f"prev_{c}" for c in latents if more]), "bins")
+    return reduce(DataFrame.unionByName, trace), df.select(*columns)

@@ -194,6 +194,19 @@ def test_alternated_fit_improves(spark, df):
     assert t.loc[2] > t.loc[0] and latents.count() == 1200
 
 
+def test_alternated_fit_makes_its_bins_once(spark, df):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    alternated_fit(df.withColumn("y0", counted("y0")), "trial", ["x2", "x3"], ["y0", "y1"], W, DT, [0.0, 0.0, 0.0],
+                   {"x2": 1e-3, "x3": 1e-3}, rounds=2, Kb=40, Nb=12, latent_steps=2)[0].count()
+    assert made.value == df.count()
+
+
 @pytest.mark.parametrize("score", [float("nan"), None, 1.0, float("inf")])
 def test_search_without_a_region_ends(spark, score):
     """Scores that are all NaN, null, infinite or equal say nothing: the search ends, and not as converged."""
