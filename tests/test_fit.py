@@ -194,6 +194,23 @@ def test_alternated_fit_improves(spark, df):
     assert t.loc[2] > t.loc[0] and latents.count() == 1200
 
 
+def test_alternated_fit_with_split_runs(spark, df):
+    def fitted():
+        trace, latents = alternated_fit(df, "trial", ["x2", "x3"], ["y0", "y1"], W, DT, [0.0, 0.0, 0.0],
+                                        {"x2": 1e-3, "x3": 1e-3}, rounds=2, Kb=40, Nb=12, latent_steps=2)
+        return (trace.orderBy("round", "trial", "comp", "step").toPandas()[["mean_logp", "mu", "log_tau"]],
+                latents.orderBy("trial", "k").toPandas()[["x2", "x3"]])
+
+    whole = fitted()
+    spark.conf.set("spark.fitlake.chunkRows", "7")
+    try:
+        cut = fitted()
+    finally:
+        spark.conf.unset("spark.fitlake.chunkRows")
+    for a, b in zip(whole, cut):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
 def test_alternated_fit_makes_its_bins_once(spark, df):
     made = spark.sparkContext.accumulator(0)
 
