@@ -120,6 +120,11 @@ class Streams:
     def steps(self) -> int:
         return len(self.edge) - 1
 
+    def heads(self) -> tuple[np.ndarray, list[int]]:
+        """Lanes that begin a document, by time, and where each time's stand among them."""
+        at = np.flatnonzero(self.begin)
+        return at - self.edge[np.searchsorted(self.edge, at, side="right") - 1], np.searchsorted(at, self.edge).tolist()
+
     @staticmethod
     def of(documents: list[np.ndarray], start: int, width: int) -> Streams:
         lengths = np.array([len(d) for d in documents], np.int64)
@@ -143,34 +148,45 @@ class Streams:
         return Streams(source, token, place, begin, edge, len(dealt))
 
 
-def _step(p: dict, h: np.ndarray, a: np.ndarray) -> tuple:
-    """One step of all lanes: states and gates have a row per unit and a column per lane."""
+def _led(*size: int) -> np.ndarray:
+    """Room for states, a row per unit and a column per lane, with a last row of ones that takes the biases."""
+    out = np.empty((*size[:-1], HIDDEN + 1, size[-1]), np.float32)
+    out[..., HIDDEN, :] = 1
+    return out
+
+
+def _biased(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _forward(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of states and of inputs as a step takes them; those of the gates are negated."""
+    bias = np.zeros(3 * HIDDEN, np.float32)
+    bias[2 * HIDDEN:] = p["bn"]
+    u, x = _biased(p["u"], bias), p["x"].copy()
+    for w in (u, x):
+        np.negative(w[:, :2 * HIDDEN], out=w[:, :2 * HIDDEN])
+    return u.T.copy(), x
+
+
+def _step(u: np.ndarray, before: np.ndarray, a: np.ndarray, gates: np.ndarray, n: np.ndarray, after: np.ndarray) -> None:
+    """One step of all lanes: states and gates have a row per unit and a column per lane.
+
+    ``gates`` takes the two gates and the inner part, ``n`` the proposed state, ``after`` the new one.
+    """
     k = HIDDEN
-    u = p["u"].T @ h
-    zr = a[:2 * k] + u[:2 * k]
-    np.negative(zr, out=zr)
+    np.matmul(u, before, out=gates)
+    zr = gates[:2 * k]
+    zr += a[:2 * k]
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    inner = u[2 * k:]
-    inner += p["bn"][:, None]
-    n = zr[k:] * inner
+    np.multiply(zr[k:], gates[2 * k:], out=n)
     n += a[2 * k:]
     np.tanh(n, out=n)
-    z = zr[:k]
-    new = h - n
-    new *= z
-    new += n
-    return new, z, zr[k:], n, inner
-
-
-def _begun(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """States of the lanes in use; those that begin a document start from zero."""
-    h = h[:, :len(begin)]
-    if begin.any():
-        h = h.copy()
-        h[:, begin] = 0
-    return h
+    np.subtract(before[:k], n, out=after)
+    after *= zr[:k]
+    after += n
 
 
 def _softmax(x: np.ndarray, picked) -> tuple[np.ndarray, np.ndarray]:
@@ -182,63 +198,88 @@ def _softmax(x: np.ndarray, picked) -> tuple[np.ndarray, np.ndarray]:
     return out - np.log(total), total
 
 
-def _outputs(shape: Shape, p: dict, h: np.ndarray, token: np.ndarray, grad: dict | None, weight: float):
-    """Natural log-probability of each token (of its kind, for other words), and the gradient of h.
+def _heads(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the words in them, with their biases."""
+    return _biased(p["wc"], p["bc"]), _biased(p["ww"], p["bw"])
+
+
+def _outputs(shape: Shape, of: tuple[np.ndarray, np.ndarray], h: np.ndarray, token: np.ndarray, grad: dict | None,
+             weight: float):
+    """Natural log-probability of each token (of its kind, for other words), and the gradient of h, whose last row is ones.
 
     Columns are sorted by class, so that a class is a slice.
     """
+    k, (classes, words) = HIDDEN, of
     group = np.where(token < shape.words, token // CLASS, token - shape.words + shape.groups).astype(np.int16)
     order = np.argsort(group, kind="stable")  # a radix sort
     edge = np.searchsorted(group[order], np.arange(shape.classes + 1)).tolist()
     own = [(g, a, b) for g, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
-    h, token = h[:, order], token[order]
-    x = p["wc"].T @ h
-    x += p["bc"][:, None]
+    h, token = np.take(h, order, axis=1), token[order]
+    x = classes.T @ h
     out, total = _softmax(x, lambda y: np.concatenate([y[g, a:b] for g, a, b in own]))
     dh = None
     if grad is not None:
-        x *= np.float32(weight) / total
         for g, a, b in own:
-            x[g, a:b] -= weight
-        grad["wc"] += h @ x.T
-        grad["bc"] += x.sum(axis=1)
-        dh = p["wc"] @ x
+            x[g, a:b] -= total[a:b]
+        scale = np.float32(weight) / total
+        slope = (h * scale) @ x.T
+        grad["wc"] += slope[:k]
+        grad["bc"] += slope[k]
+        dh = classes[:k] @ x
+        dh *= scale
     for g, a, b in own:
         if g >= shape.groups:
             break
-        x = p["ww"][g].T @ h[:, a:b]
-        x += p["bw"][g][:, None]
+        x = words[g].T @ h[:, a:b]
         at = token[a:b] % CLASS, np.arange(b - a)
         more, total = _softmax(x, lambda y: y[at])
         out[a:b] += more
         if grad is not None:
-            x *= np.float32(weight) / total
-            x[at] -= weight
-            grad["ww"][g] += h[:, a:b] @ x.T
-            grad["bw"][g] += x.sum(axis=1)
-            dh[:, a:b] += p["ww"][g] @ x
+            x[at] -= total
+            scale = np.float32(weight) / total
+            slope = (h[:, a:b] * scale) @ x.T
+            grad["ww"][g] += slope[:k]
+            grad["bw"][g] += slope[k]
+            more = words[g, :k] @ x
+            more *= scale
+            dh[:, a:b] += more
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    return out[back], None if dh is None else dh[:, back]
+    return out[back], None if dh is None else np.take(dh, back, axis=1)
 
 
 def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: int = 512,
-          window: int = 32) -> list[float]:
-    """Natural log-probability of each document, its state carried from its first token to its last."""
-    p = unpack(shape, flat)
+          window: int = 8192) -> list[float]:
+    """Natural log-probability of each document, its state carried from its first token to its last.
+
+    Probabilities are taken for about ``window`` tokens at a time, so that a few long lanes do not make many small windows.
+    """
+    k, p = HIDDEN, unpack(shape, flat)
+    u, x = _forward(p)
+    of = _heads(p)
     s = Streams.of(documents, shape.start, width)
     value = np.zeros(len(s.token))
-    h = np.zeros((HIDDEN, s.width), np.float32)
-    for at in range(0, s.steps, window):
-        to = min(at + window, s.steps)
-        from_, all_ = s.edge[at], slice(s.edge[at], s.edge[to])
-        inputs = np.ascontiguousarray(p["x"][s.source[all_]].T)
-        states = np.empty((HIDDEN, all_.stop - from_), np.float32)
+    heads, begun = s.heads()
+    edge = s.edge.tolist()
+    h = _led(s.width)
+    at = 0
+    while at < s.steps:
+        to = max(at + 1, int(np.searchsorted(s.edge, edge[at] + window, side="right")) - 1)
+        from_, all_ = edge[at], slice(edge[at], edge[to])
+        inputs = np.take(x, s.source[all_], axis=0)
+        states = []
         for t in range(at, to):
-            own = slice(s.edge[t] - from_, s.edge[t + 1] - from_)
-            h = _step(p, _begun(h, s.begin[s.edge[t]:s.edge[t + 1]]), inputs[:, own])[0]
-            states[:, own] = h
-        value[s.place[all_]] = _outputs(shape, p, states, s.token[all_], None, 0.0)[0]
+            a, n = edge[t] - from_, edge[t + 1] - edge[t]
+            if n < h.shape[1]:
+                h = h[:, :n]
+            if begun[t] < begun[t + 1]:
+                h = h.copy()
+                h[:k, heads[begun[t]:begun[t + 1]]] = 0
+            states.append(_led(n))
+            _step(u, h, inputs[a:a + n].T, np.empty((3 * k, n), np.float32), np.empty((k, n), np.float32), states[-1][:k])
+            h = states[-1]
+        value[s.place[all_]] = _outputs(shape, of, np.concatenate(states, axis=1), s.token[all_], None, 0.0)[0]
+        at = to
     ends = np.cumsum([len(d) for d in documents])
     return [float(value[e - len(d):e].sum()) for e, d in zip(ends, documents)]
 
@@ -247,12 +288,15 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
           window: int = 32, rounds: int = 1) -> tuple[np.ndarray, int]:
     """New weights after ``rounds`` passes by truncated backpropagation, and the tokens of a pass.
 
-    The state runs on from window to window of a document; gradients stop at a window's edge.
+    The state runs on from window to window of a document; gradients stop at a window's edge. A window has a column for
+    each of its steps and lanes; those of lanes that end within it take no part in the loss, so their slopes are zero.
     """
     k = HIDDEN
     flat = flat.astype(np.float32).copy()
     p = unpack(shape, flat)
     s = Streams.of(documents, shape.start, width)
+    heads, begun = s.heads()
+    edge = s.edge.tolist()
     slope = np.zeros_like(flat)
     grad = unpack(shape, slope)
     mean, square, steps = np.zeros_like(flat), np.zeros_like(flat), 0
@@ -261,48 +305,62 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
         for at in range(0, s.steps, window):
             slope[...] = 0
             to = min(at + window, s.steps)
-            from_, all_ = s.edge[at], slice(s.edge[at], s.edge[to])
+            all_, long, wide = slice(edge[at], edge[to]), to - at, edge[at + 1] - edge[at]
+            size = edge[to] - edge[at]
+            full = size == long * wide
             source = s.source[all_]
-            inputs = np.ascontiguousarray(p["x"][source].T)
-            edge = (s.edge[at:to + 1] - from_).tolist()
-            # a step's values stand together; over the window they are one row each: gates, proposed state, inner part, state before
-            held = np.empty((5, k * len(source)), np.float32)
-            spans = [slice(k * a, k * b) for a, b in zip(edge, edge[1:])]
-            befores, afters = [], []
-            for a, b, own in zip(edge, edge[1:], spans):
-                befores.append(_begun(h, s.begin[from_ + a:from_ + b]))
-                h, *rest = _step(p, befores[-1], inputs[:, a:b])
-                afters.append(h)
-                for row, value in zip(held, (*rest, befores[-1])):
-                    row[own].reshape(k, b - a)[...] = value
-            _, dh_out = _outputs(shape, p, np.concatenate(afters, axis=1), s.token[all_], grad, 1 / len(source))
-            z, r, n, inner, before = held
-            to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
-            parts = []  # slopes of the gates, the inner part and the proposed state
-            back = np.zeros((k, 0), np.float32)
-            for a, b, own in zip(edge[-2::-1], edge[:0:-1], reversed(spans)):
-                dh = dh_out[:, a:b].copy()
-                dh[:, :back.shape[1]] += back
-                d = np.empty((4 * k, b - a), np.float32)
-                dn = np.multiply(dh, to_n[own].reshape(k, -1), out=d[3 * k:])
-                np.multiply(dh, to_z[own].reshape(k, -1), out=d[:k])
-                np.multiply(dn, to_r[own].reshape(k, -1), out=d[k:2 * k])
-                np.multiply(dn, r[own].reshape(k, -1), out=d[2 * k:3 * k])
-                parts.append(d)
-                back = p["u"] @ d[:3 * k]
-                dh *= z[own].reshape(k, -1)
-                back += dh
-                begin = s.begin[from_ + a:from_ + b]
-                if begin.any():
-                    back[:, begin] = 0
-            slopes, before = np.concatenate(parts[::-1], axis=1), np.concatenate(befores, axis=1)
-            grad["u"] += before @ slopes[:3 * k].T
-            grad["bn"] += slopes[2 * k:3 * k].sum(axis=1)
-            slopes[2 * k:3 * k] = slopes[3 * k:]
+            if not full:
+                count = np.diff(s.edge[at:to + 1])
+                used = np.arange(size) + np.repeat(np.arange(long) * wide - (s.edge[at:to] - edge[at]), count)
+                source = np.full(long * wide, shape.start, np.int32)
+                source[used] = s.source[all_]
+            u, x = _forward(p)
+            inputs = np.take(x, source, axis=0).reshape(long, wide, 3 * k)
+            before, after = _led(long, wide), _led(long, wide)
+            gates, n = np.empty((long, 3 * k, wide), np.float32), np.empty((long, k, wide), np.float32)
+            h = h[:, :wide]
+            for i in range(long):
+                before[i, :k] = h
+                own = slice(begun[at + i], begun[at + i + 1])
+                if own.start < own.stop:
+                    before[i, :k, heads[own]] = 0
+                h = after[i, :k]
+                _step(u, before[i], inputs[i].T, gates[i], n[i], h)
+            states = after.transpose(1, 0, 2).reshape(k + 1, -1)
+            _, out = _outputs(shape, _heads(p), states if full else np.take(states, used, axis=1), s.token[all_], grad, 1 / size)
+            if not full:
+                out, there = np.zeros((k, long * wide), np.float32), out
+                out[:, used] = there
+            dh = np.ascontiguousarray(out.reshape(k, long, wide).transpose(1, 0, 2))
+            # slopes by those of the new state: state before (as it is kept), inner part, gates, proposed state
+            z, r, inner = (gates[:, i * k:(i + 1) * k] for i in range(3))
+            slopes = np.empty((long, 5, k, wide), np.float32)
+            slopes[:, 0] = z
+            kept = 1 - z
+            np.multiply(kept, 1 - n * n, out=slopes[:, 4])
+            np.multiply(slopes[:, 4], r, out=slopes[:, 1])
+            np.multiply((before[:, :k] - n) * z, kept, out=slopes[:, 2])
+            np.multiply(slopes[:, 1] * inner, 1 - r, out=slopes[:, 3])
+            to_before = np.concatenate([np.eye(k, dtype=np.float32), p["u"][:, 2 * k:], p["u"][:, :2 * k]], axis=1)
+            rows = slopes.reshape(long, 5 * k, wide)
+            for i in reversed(range(long)):
+                slopes[i] *= dh[i]
+                if i:
+                    back = to_before @ rows[i, :4 * k]
+                    own = slice(begun[at + i], begun[at + i + 1])
+                    if own.start < own.stop:
+                        back[:, heads[own]] = 0
+                    dh[i - 1] += back
+            states = np.matmul(before, rows[:, k:4 * k].transpose(0, 2, 1)).sum(axis=0)
+            grad["u"][:, 2 * k:] += states[:k, :k]
+            grad["u"][:, :2 * k] += states[:k, k:]
+            grad["bn"] += states[k, :k]
             order = np.argsort(source.astype(np.int16), kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(source[order]) > 0])
-            grad["x"][source[order[first]]] += np.add.reduceat(np.ascontiguousarray(slopes[:3 * k].T)[order], first)
-            norm = float(np.sqrt((slope * slope).sum()))
+            own = np.take(rows[:, 2 * k:].transpose(0, 2, 1).reshape(-1, 3 * k), order, axis=0)
+            # added in pairs of units, as complex numbers, which halves the calls of the inner loop
+            grad["x"][source[order[first]]] += np.add.reduceat(own.view(np.complex64), first).view(np.float32)
+            norm = float(np.sqrt(slope @ slope))
             if norm > 1:
                 slope /= norm
             steps += 1

@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,35 +34,42 @@ PARTS = 64
 ADDED = ("n_tokens", "n_known", "base_score", "score")
 
 
-class _Numbers(dict):
-    """Numbers distinct words in the order they are met."""
+def tokens_of(texts: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, all tokens by number, and how many each text has.
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words of a text and its end, which is the empty word."""
-    return [*(text or b"").lower().split(), b""]
-
-
-def _hashes(words: _Numbers) -> np.ndarray:
+    The tokens of a text are its words and its end, which is the empty word.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.chunked_array(texts).fill_null("")))
+    coded = pc.list_flatten(split).dictionary_encode().unify_dictionaries()
+    lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+    number = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
+    words = K.as_bytes(coded.chunk(0).dictionary) if coded.num_chunks else []
+    if b"" in words:  # beside white space at an edge of a text, which is no word
+        end = words.index(b"")
+        there = number != end
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[there], minlength=len(lengths))
+        number = number[there]
+    else:
+        end = len(words)
+        words.append(b"")
+    return words, np.insert(number, np.cumsum(lengths), end), lengths + 1
+
+
+def _by_text(values: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _count(docs: pa.Table) -> pa.Table:
     """The distinct words of a block, with how often its training documents hold each."""
-    numbers = _Numbers()
-    count = np.zeros(0, np.int64)
-    for text, learn in zip(K.as_bytes(docs["text"]), docs["learn"].to_pylist()):
-        ids = np.fromiter(map(numbers.__getitem__, tokens_of(text)), np.int64)
-        if len(count) < len(numbers):
-            count = np.concatenate([count, np.zeros(len(numbers) + len(count), np.int64)])
-        if learn:
-            np.add.at(count, ids, 1)
-    return pa.table({"block": pa.repeat(docs["block"][0], len(numbers)), "h": pa.array(K.signed(_hashes(numbers)), pa.int64()),
-                     "kind": pa.array(gru.kinds_of(list(numbers)), pa.int32()), "n": pa.array(count[:len(numbers)])})
+    words, ids, lengths = tokens_of(docs["text"])
+    learn = np.repeat(docs["learn"].to_numpy(), lengths)
+    return pa.table({"block": pa.repeat(docs["block"][0], len(words)), "h": pa.array(K.signed(_hashes(words)), pa.int64()),
+                     "kind": pa.array(gru.kinds_of(words), pa.int32()),
+                     "n": pa.array(np.bincount(ids[learn], minlength=len(words)), pa.int64())})
 
 
 class Model:
@@ -88,11 +96,9 @@ class Model:
         return np.where(self.sorted[at] == h, self.token[at], kinds + self.shape.words).astype(np.int32)
 
 
-def _documents(model: Model, texts: list[bytes | None]) -> list[np.ndarray]:
-    numbers = _Numbers()
-    ids = [np.fromiter(map(numbers.__getitem__, tokens_of(t)), np.int64) for t in texts]
-    own = model.tokens(_hashes(numbers), gru.kinds_of(list(numbers)))
-    return [own[i] for i in ids]
+def _documents(model: Model, texts: pa.Array) -> list[np.ndarray]:
+    words, ids, lengths = tokens_of(texts)
+    return _by_text(model.tokens(_hashes(words), gru.kinds_of(words))[ids], lengths)
 
 
 def _trained(model: Model, rate: float):
@@ -108,7 +114,7 @@ def _trained(model: Model, rate: float):
                 seen, held, size = seen + n, [], 0
 
         for batch in batches:
-            for d in _documents(model, K.as_bytes(batch.column("text"))):
+            for d in _documents(model, batch.column("text")):
                 held += [d[at:at + STRETCH] for at in range(0, len(d), STRETCH)]
                 size += len(d)
             if size >= TRAIN_TOKENS:
@@ -160,10 +166,8 @@ def _scored(model: Model, names: list[str]):
     def run(key, docs, counts):
         order = np.argsort(K.unsigned(counts["h"].to_numpy()))
         known, c = K.unsigned(counts["h"].to_numpy())[order], counts["c"].to_numpy()[order]
-        numbers = _Numbers()
-        ids = [np.fromiter(map(numbers.__getitem__, tokens_of(t)), np.int64) for t in K.as_bytes(docs["text"])]
-        h = _hashes(numbers)
-        kinds = gru.kinds_of(list(numbers))
+        words, ids, lengths = tokens_of(docs["text"])
+        h, kinds = _hashes(words), gru.kinds_of(words)
         count = np.zeros(len(h), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -172,11 +176,13 @@ def _scored(model: Model, names: list[str]):
         base = np.log10((count + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
         rare = token >= model.shape.words
         inside = np.where(rare, np.log10((count + 0.5) / (model.mass[kinds, 0] + 0.5 * (model.mass[kinds, 1] + 1))), 0)
-        network = gru.score(model.shape, model.weights, [token[i] for i in ids])
-        new = [pa.array([len(i) for i in ids], pa.int64()),
-               pa.array([int((count[i] > 0).sum()) for i in ids], pa.int64()),
-               pa.array([math.fsum(base[i]) for i in ids], pa.float64()),
-               pa.array([s / math.log(10) + float(inside[i].sum()) for s, i in zip(network, ids)], pa.float64())]
+        network = gru.score(model.shape, model.weights, _by_text(token[ids], lengths))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        rest = np.bincount(row, inside[ids], len(lengths))
+        new = [pa.array(lengths, pa.int64()),
+               pa.array(np.bincount(row[count[ids] > 0], minlength=len(lengths)), pa.int64()),
+               pa.array(list(map(math.fsum, _by_text(base[ids], lengths))), pa.float64()),
+               pa.array(np.array(network) / math.log(10) + rest, pa.float64())]
         return pa.Table.from_arrays([docs[n].combine_chunks() for n in names] + new, names=[*names, *ADDED])
 
     return run

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fitlake.llm import gru, lm_scoring
@@ -142,3 +143,48 @@ def test_every_training_document_is_learnt_from_once(spark):
     finally:
         lm_scoring._averaged = average
     assert len(seen) == len(lm_scoring.RATES) and sum(seen) == total
+
+
+def test_tokens_are_words_and_ends():
+    """White space at the edges gives no word, other blanks part none, and equal words share a number over all chunks."""
+    rng = random.Random(6)
+    texts = [None, "", " ", " a", "b ", "A\x1cB c", "É Ab\x85", " \x0b\x0c\r\n\t"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 AbÉé9.") for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    whole = pa.array(texts, pa.string())
+    bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 4], np.int32)), pa.py_buffer(b"A \xffB")])
+    for column in (whole, whole[3:9], pa.chunked_array([whole[:7], whole[7:]]), whole[:0], pa.chunked_array([], pa.string())):
+        words, ids, lengths = lm_scoring.tokens_of(column)
+        own = [[words[i].decode() for i in d] for d in lm_scoring._by_text(ids, lengths)]
+        assert own == [tokens(t) for t in column.to_pylist()] and len(set(words)) == len(words)
+    assert lm_scoring.tokens_of(bad)[0] == [b"a", b"\xffb", b""]
+
+
+def test_a_few_long_lanes_are_not_scored_in_small_windows(monkeypatch):
+    """Work per window is not paid every 32 steps where only one lane is left."""
+    sizes, outputs = [], gru._outputs
+    monkeypatch.setattr(gru, "_outputs", lambda *a: sizes.append(len(a[3])) or outputs(*a))
+    shape, docs = gru.Shape(100), [np.arange(20_000, dtype=np.int32) % 100, *documents()]
+    gru.score(shape, gru.initial(shape), docs)
+    assert len(sizes) < 10 and sum(sizes) == sum(map(len, docs)) and max(sizes) < 10_000
+
+
+def test_slopes_where_lanes_end_within_a_window():
+    """The first step of training goes against the slope found by differences, for every kind of weight."""
+    shape = gru.Shape(100)
+    docs = [d[:n] for d, n in zip(documents(5, 9), (1, 3, 30, 8, 8, 20, 2, 31, 5))]
+    flat = gru.initial(shape) * 3
+    new, _ = gru.train(shape, flat, docs, 1e-3, width=6, window=64)
+    loss = lambda w: -sum(gru.score(shape, w.astype(np.float32), docs)) / sum(map(len, docs))
+    at, seen = 0, 0
+    rng = np.random.default_rng(8)
+    for size in shape.arrays().values():
+        n = int(np.prod(size))
+        for i in rng.choice(np.arange(at, at + n), min(n, 60), replace=False):
+            step = np.zeros(len(flat))
+            step[i] = 0.01
+            slope = (loss(flat + step) - loss(flat - step)) / 0.02
+            if abs(slope) > 3e-4:
+                seen += 1
+                assert np.sign(new[i] - flat[i]) == -np.sign(slope)
+        at += n
+    assert seen > 60
