@@ -11,6 +11,8 @@ HIDDEN = 16
 VOCABULARY, CLASS = 1024, 64
 #: Kinds of all other words: a script hint, the mark at the end and the length; one more for digits.
 KINDS = 4 * 3 * 2 + 1
+#: Columns of a softmax over the classes that are worked on together.
+COLUMNS = 1024
 _SCRIPTS = ({0xC3A9, 0xC3A8, 0xC3AA, 0xC3A7}, {0xC3B1, 0xC3B3, 0xC3AD}, {0xC3B6, 0xC3A4, 0xC3BC, 0xC39F})
 
 
@@ -189,10 +191,18 @@ def _step(u: np.ndarray, before: np.ndarray, a: np.ndarray, gates: np.ndarray, n
     after += n
 
 
-def _softmax(x: np.ndarray, picked) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of the entry that ``picked`` takes from each column; ``x`` becomes exponentials, summed in ``total``."""
-    x -= x.max(axis=0)
-    out = picked(x)
+def _small(weights: np.ndarray) -> bool:
+    """Whether no entry of a softmax can overflow: states lie between -1 and 1, the last row holds the biases."""
+    bias = weights[..., -1, :]
+    used = np.where(bias > -9e3, np.abs(bias), 0)  # places that no word has vanish
+    return float((np.abs(weights[..., :-1, :]).sum(axis=-2) + used).max(initial=0)) < 80
+
+
+def _softmax(x: np.ndarray, at: tuple, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of the entry at ``at`` of each column; ``x`` becomes exponentials, summed in ``total``."""
+    if not small:
+        x -= x.max(axis=0)
+    out = x[at]
     np.exp(x, out=x)
     total = x.sum(axis=0)
     return out - np.log(total), total
@@ -210,29 +220,33 @@ def _outputs(shape: Shape, of: tuple[np.ndarray, np.ndarray], h: np.ndarray, tok
     Columns are sorted by class, so that a class is a slice.
     """
     k, (classes, words) = HIDDEN, of
+    small = _small(classes), _small(words)
     group = np.where(token < shape.words, token // CLASS, token - shape.words + shape.groups).astype(np.int16)
     order = np.argsort(group, kind="stable")  # a radix sort
     edge = np.searchsorted(group[order], np.arange(shape.classes + 1)).tolist()
     own = [(g, a, b) for g, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
     h, token = np.take(h, order, axis=1), token[order]
-    x = classes.T @ h
-    out, total = _softmax(x, lambda y: np.concatenate([y[g, a:b] for g, a, b in own]))
-    dh = None
-    if grad is not None:
-        for g, a, b in own:
-            x[g, a:b] -= total[a:b]
-        scale = np.float32(weight) / total
-        slope = (h * scale) @ x.T
-        grad["wc"] += slope[:k]
-        grad["bc"] += slope[k]
-        dh = classes[:k] @ x
-        dh *= scale
+    which = group[order].astype(np.intp)
+    out = np.empty(len(token), np.float32)
+    dh = None if grad is None else np.empty((k, len(token)), np.float32)
+    for a in range(0, len(token), COLUMNS):  # as many as stay in a core's cache
+        part = slice(a, a + COLUMNS)
+        x = classes.T @ h[:, part]
+        at = which[part], np.arange(x.shape[1])
+        out[part], total = _softmax(x, at, small[0])
+        if grad is not None:
+            x[at] -= total
+            scale = np.float32(weight) / total
+            slope = (h[:, part] * scale) @ x.T
+            grad["wc"] += slope[:k]
+            grad["bc"] += slope[k]
+            np.multiply(classes[:k] @ x, scale, out=dh[:, part])
     for g, a, b in own:
         if g >= shape.groups:
             break
         x = words[g].T @ h[:, a:b]
         at = token[a:b] % CLASS, np.arange(b - a)
-        more, total = _softmax(x, lambda y: y[at])
+        more, total = _softmax(x, at, small[1])
         out[a:b] += more
         if grad is not None:
             x[at] -= total
@@ -262,6 +276,8 @@ def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: in
     heads, begun = s.heads()
     edge = s.edge.tolist()
     h = _led(s.width)
+    h[:k] = 0
+    gates, inner = np.empty((3 * k, s.width), np.float32), np.empty((k, s.width), np.float32)
     at = 0
     while at < s.steps:
         to = max(at + 1, int(np.searchsorted(s.edge, edge[at] + window, side="right")) - 1)
@@ -272,11 +288,13 @@ def score(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], width: in
             a, n = edge[t] - from_, edge[t + 1] - edge[t]
             if n < h.shape[1]:
                 h = h[:, :n]
+            if n < gates.shape[1]:
+                gates, inner = np.empty((3 * k, n), np.float32), np.empty((k, n), np.float32)
             if begun[t] < begun[t + 1]:
                 h = h.copy()
                 h[:k, heads[begun[t]:begun[t + 1]]] = 0
             states.append(_led(n))
-            _step(u, h, inputs[a:a + n].T, np.empty((3 * k, n), np.float32), np.empty((k, n), np.float32), states[-1][:k])
+            _step(u, h, inputs[a:a + n].T, gates, inner, states[-1][:k])
             h = states[-1]
         value[s.place[all_]] = _outputs(shape, of, np.concatenate(states, axis=1), s.token[all_], None, 0.0)[0]
         at = to
@@ -366,5 +384,6 @@ def train(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], rate: flo
             steps += 1
             mean += 0.1 * (slope - mean)
             square += 0.001 * (slope * slope - square)
-            flat -= rate * (mean / (1 - 0.9 ** steps)) / (np.sqrt(square / (1 - 0.999 ** steps)) + 1e-8)
+            root = float(np.sqrt(1 - 0.999 ** steps))
+            flat -= rate * root / (1 - 0.9 ** steps) * mean / (np.sqrt(square) + 1e-8 * root)
     return flat, sum(len(d) for d in documents)

@@ -43,7 +43,7 @@ def tokens_of(texts: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], np.ndarra
     coded = pc.list_flatten(split).dictionary_encode().unify_dictionaries()
     lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
     number = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
-    words = K.as_bytes(coded.chunk(0).dictionary) if coded.num_chunks else []
+    words = coded.chunk(0).dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist() if coded.num_chunks else []
     if b"" in words:  # beside white space at an edge of a text, which is no word
         end = words.index(b"")
         there = number != end

@@ -188,3 +188,15 @@ def test_slopes_where_lanes_end_within_a_window():
                 assert np.sign(new[i] - flat[i]) == -np.sign(slope)
         at += n
     assert seen > 60
+
+
+def test_softmax_without_its_largest_entry(monkeypatch):
+    """It is left out only where weights exclude an overflow, and changes no score."""
+    shape, docs = gru.Shape(100), documents()
+    plain, huge = gru.initial(shape) * 3, gru.initial(shape) * 3000
+    assert all(map(gru._small, gru._heads(gru.unpack(shape, plain))))
+    assert not any(map(gru._small, gru._heads(gru.unpack(shape, huge))))
+    own = gru.score(shape, plain, docs)
+    assert np.isfinite(gru.score(shape, huge, docs)).all()
+    monkeypatch.setattr(gru, "_small", lambda weights: False)
+    assert np.allclose(own, gru.score(shape, plain, docs), rtol=1e-5)
